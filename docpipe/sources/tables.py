@@ -50,14 +50,16 @@ def chunk_rows(chunks: DataFrame) -> DataFrame:
     )
 
 
-def write_table(df: DataFrame, path: str, mode: str = "append") -> None:
+def write_table(df: DataFrame, path: str, mode: str = "append", cluster: bool = False) -> None:
     """Parquet, one directory per day of fetching.
 
-    Rows of a day stay spread over the tasks that made them; small files of many days in one task are avoided by
-    a hash on day and record, of which a single busy day fills many partitions.
+    Responses mostly arrive day by day, so rows are written where they are, without a shuffle. ``cluster`` is for
+    input that mixes many days in every task: a hash on day and record avoids many small files, and even a day that
+    holds most of the rows is spread over many tasks.
     """
-    rows = df.repartition(F.col("fetched_date"), F.col("record_id"))
-    rows.sortWithinPartitions("fetched_date", "record_id").write.mode(mode).partitionBy("fetched_date").parquet(path)
+    if cluster:
+        df = df.repartition(F.col("fetched_date"), F.col("record_id"))
+    df.write.mode(mode).partitionBy("fetched_date").parquet(path)
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
