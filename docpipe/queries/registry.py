@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docpipe.functions.classify import content_kind, is_binary, url_extension
+from docpipe.functions import classify as K
 from docpipe.functions.html import decode_entities
 from docpipe.functions.text import decode_utf8, is_large, slug
 from docpipe.operators import archive as A
@@ -144,21 +144,21 @@ def stream_ingest(spark, sf_dir):
 
 
 @query
-def url_extensions(spark, sf_dir):
+def url_extension(spark, sf_dir):
     rows = D.responses_headers(spark, sf_dir)
-    return rows.select("page_id", url_extension(F.col("url")).alias("extension"))
+    return rows.select("page_id", K.url_extension(F.col("url")).alias("extension"))
 
 
 @query
 def detect_content_type(spark, sf_dir):
     rows = D.responses_headers(spark, sf_dir)
-    return rows.select("page_id", content_kind(F.col("content_type"), F.col("url")).alias("kind"))
+    return rows.select("page_id", K.content_kind(F.col("content_type"), F.col("url")).alias("kind"))
 
 
 @query
 def binary_predicate(spark, sf_dir):
     rows = D.responses_headers(spark, sf_dir)
-    return rows.select("page_id", is_binary(F.col("content_type")).alias("is_binary"))
+    return rows.select("page_id", K.is_binary(F.col("content_type")).alias("is_binary"))
 
 
 @query
