@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from docpipe.functions import html as H
 from docpipe.functions.arrays import let, ordered_concat
-from docpipe.functions.text import is_blank, slug, trim, trim_long
-from docpipe.operators.common import by_document, in_order
+from docpipe.functions.text import chunk, is_blank, slug, trim, trim_long
+from docpipe.operators.common import by_document, explode_chunks, in_order
 
 PAIRS = [("\x01", "\x02", "\x11", "\x12"), ("\x03", "\x04", "\x13", "\x14"), ("\x0e", "\x0f", "\x15", "\x16")]
 # Same marks inside each other are matched this many levels deep.
@@ -183,46 +183,45 @@ def html_blocks(
     )
 
 
-def _block_text(raw: Column, open_link: Column) -> Column:
-    """Markdown of the marked-up text of one block."""
+def _block_text_sql() -> str:
+    """Markdown of the marked-up text of one block, from the columns raw and open_link."""
+
+    def replace(t: str, old: str, new: str) -> str:
+        return f"replace({t}, '{old}', '{new}')"
+
+    def regexp(t: str, pattern: str, new: str) -> str:
+        return f"regexp_replace({t}, '{pattern}', '{new}')"
+
     # A link still open at the end of the block is closed there.
-    text = F.concat(raw, F.when(open_link.isNotNull(), F.concat(F.lit("\x06"), open_link, F.lit("\x07"))).otherwise(""))
-
-    def marks(t: Column) -> Column:
-        for start, end, paired_start, paired_end in PAIRS:
-            for _ in range(PAIRING_ROUNDS):
-                t = F.regexp_replace(t, f"{start}([^{start}{end}]*){end}", f"{paired_start}$1{paired_end}")
-            t = F.replace(t, F.lit(end), F.lit(""))
-        # Space moves out of the marks, empty marks and links go away.
-        t = F.regexp_replace(t, "([\x01\x03\x11\x13\x05]+) +", " $1")
-        t = F.regexp_replace(t, " +([\x12\x14]+)", "$1 ")
-        t = F.regexp_replace(t, "\x11\x12|\x13\x14|\x15\x16", "")
-        t = F.regexp_replace(t, "\x11\x12|\x13\x14", "")
-        return F.regexp_replace(t, "\x05( *)\x06[^\x07]*\x07", "$1")
-
-    def finish(t: Column) -> Column:
-        t = F.regexp_replace(t, " {2,}", " ")
-        t = F.regexp_replace(t, " *\x0b *", "\x0b")
-        t = F.rtrim(F.ltrim(t, F.lit(" \x0b")), F.lit(" \x0b\x01\x03\x0e"))
-        return let(t, unmark)
-
-    def unmark(t: Column) -> Column:
-        for start, end in (("\x0e", "`"), ("\x03", "_"), ("\x01", "**")):
-            n = F.length(t) - F.length(F.replace(t, F.lit(start), F.lit("")))
-            t = F.concat(t, F.repeat(F.lit(end), n))
-        for mark, out in (
-            ("\x01", "**"), ("\x11", "**"), ("\x12", "**"), ("\x03", "_"), ("\x13", "_"), ("\x14", "_"),
-            ("\x0e", "`"), ("\x15", "`"), ("\x16", "`"), ("\x05", "["), ("\x06", "]("), ("\x07", ")"), ("\x0b", "  \n"),
-        ):
-            t = F.replace(t, F.lit(mark), F.lit(out))
-        return t
-
-    return let(
-        text,
-        lambda t: F.when(
-            t.rlike("[\x01-\x07\x0b\x0e\x0f]"), let(marks(t), finish)
-        ).otherwise(F.btrim(F.regexp_replace(t, " {2,}", " "))),
-    )
+    text = "concat(raw, CASE WHEN open_link IS NOT NULL THEN concat('\x06', open_link, '\x07') ELSE '' END)"
+    marks = "t"
+    for start, end, paired_start, paired_end in PAIRS:
+        for _ in range(PAIRING_ROUNDS):
+            marks = regexp(marks, f"{start}([^{start}{end}]*){end}", f"{paired_start}$1{paired_end}")
+        marks = replace(marks, end, "")
+    # Space moves out of the marks, empty marks and links go away.
+    marks = regexp(marks, "([\x01\x03\x11\x13\x05]+) +", " $1")
+    marks = regexp(marks, " +([\x12\x14]+)", "$1 ")
+    marks = regexp(marks, "\x11\x12|\x13\x14|\x15\x16", "")
+    marks = regexp(marks, "\x11\x12|\x13\x14", "")
+    marks = regexp(marks, "\x05( *)\x06[^\x07]*\x07", "$1")
+    marks = regexp(regexp(marks, " {2,}", " "), " *\x0b *", "\x0b")
+    marks = f"rtrim(' \x0b\x01\x03\x0e', ltrim(' \x0b', {marks}))"
+    # What is open is closed at the end of the block.
+    closed = "m"
+    for start, end in (("\x0e", "`"), ("\x03", "_"), ("\x01", "**")):
+        closed = f"concat({closed}, repeat('{end}', length(m) - length(replace(m, '{start}', ''))))"
+    for mark, out in (
+        ("\x01", "**"), ("\x11", "**"), ("\x12", "**"), ("\x03", "_"), ("\x13", "_"), ("\x14", "_"),
+        ("\x0e", "`"), ("\x15", "`"), ("\x16", "`"), ("\x05", "["), ("\x06", "]("), ("\x07", ")"), ("\x0b", "  \\n"),
+    ):
+        closed = replace(closed, mark, out)
+    marked = H.bind(marks, "m", closed)
+    plain = f"trim({regexp('t', ' {2,}', ' ')})"
+    return H.bind(text, "t", f"CASE WHEN t RLIKE '[\x01-\x07\x0b\x0e\x0f]' THEN {marked} ELSE {plain} END")
+
+
+BLOCK_TEXT = _block_text_sql()
 
 
 def _code_block(raw: Column, language: Column) -> Column:
@@ -246,7 +245,7 @@ def _markdown_blocks(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
         *keys, "block", "tag", "quote_depth", "start",
         F.when(is_item & (F.col("list_depth") == 0), 1).otherwise(F.col("list_depth")).alias("list_depth"),
         F.when(tag == "pre", _code_block(F.col("raw"), F.col("language")))
-        .otherwise(_block_text(F.col("raw"), F.col("open_link")))
+        .otherwise(F.expr(BLOCK_TEXT))
         .alias("text"),
     )
     blocks = blocks.select(
@@ -385,11 +384,20 @@ def html_sections(df: DataFrame, id_col: str = "page_id", html_col: str = "html"
         | (bare & inline_tag & (((kind == "open") & (inline_depth == 1)) | ((kind == "close") & (inline_depth <= 0))))
     )
     top_text = bare & (kind == "text") & (inline_depth <= 0)
+    # Nothing is lost: what is no content stands between 01 and 02, the source of a decoded text before it between
+    # 03 and 02 and the text up to 04. Pages without content are put together again from that.
+    decoded = F.expr(H.decode_entities("token"))
     fragment = (
-        F.when(edge, "\x01").when(in_heading, "").when(top_text, F.expr(H.decode_entities("token"))).otherwise(token)
+        F.when(edge | in_heading, F.concat(F.lit("\x01"), token, F.lit("\x02")))
+        .when(top_text, F.concat(F.lit("\x03"), token, F.lit("\x02"), decoded, F.lit("\x04")))
+        .otherwise(token)
+    )
+    title_part = F.when(in_heading & (kind == "text"), decoded).otherwise("")
+    visible = F.translate(F.regexp_replace("raw", "\x03[^\x02]*\x02", ""), "\x04", "")
+    parts = F.filter(F.split(visible, "\x01[^\x02]*\x02", -1), lambda p: ~is_blank(p))
+    source = F.regexp_replace(
+        F.regexp_replace("raw", "\x03([^\x02]*)\x02[^\x04]*\x04", "$1"), "\x01([^\x02]*)\x02", "$1"
     )
-    title_part = F.when(in_heading & (kind == "text"), F.expr(H.decode_entities("token"))).otherwise("")
-    parts = F.filter(F.split(F.col("raw"), "\x01", -1), lambda p: ~is_blank(p))
     sections = (
         tokens.groupBy(id_col, "section")
         .agg(
@@ -399,37 +407,29 @@ def html_sections(df: DataFrame, id_col: str = "page_id", html_col: str = "html"
         .select(
             id_col,
             "section",
+            F.when(F.col("section") == 0, "content").otherwise(trim(F.col("raw_title"))).alias("title"),
             let(F.array_join(parts, "\n"), trim_long).alias("content"),
-            trim(F.col("raw_title")).alias("text"),
+            source.alias("source"),
         )
-        .filter(F.col("content") != "")
-        .select(
-            id_col,
-            "section",
-            F.when(F.col("section") == 0, "content")
-            .when(F.col("text") == "", "section")
-            .otherwise(F.col("text"))
-            .alias("title"),
-            "content",
-        )
-    )
-    found = sections.select(
-        id_col,
-        (F.row_number().over(Window.partitionBy(id_col).orderBy("section")) - 1).alias("chunk_index"),
-        slug(F.col("title")).alias("key"),
-        "title",
-        "content",
+        .select("*", F.when(F.col("content") == "", F.col("source")).alias("empty"))
     )
-    # Pages without any content between headings: the body as it is.
-    docs = by_document(df.select(id_col, F.expr(H.clean_html(html_col)).alias("body")), keys)
-    whole = docs.join(found.select(id_col).distinct(), id_col, "left_anti").select(
-        id_col,
-        F.lit(0).alias("chunk_index"),
-        F.lit("content").alias("key"),
-        F.lit("content").alias("title"),
-        let(F.col("body"), trim_long).alias("content"),
-    )
-    return found.unionByName(whole)
+    rows = F.array_sort(F.collect_list(F.struct("section", "title", "content", "empty")))
+
+    def chunks(all_rows: Column) -> Column:
+        found = F.transform(
+            F.filter(all_rows, lambda r: r["content"] != ""),
+            lambda r: let(
+                F.when(r["title"] == "", "section").otherwise(r["title"]),
+                lambda title: chunk(slug(title), title, r["content"]),
+            ),
+        )
+        # No content between headings at all: the body as it is.
+        body = F.array_join(F.transform(all_rows, lambda r: r["empty"]), "")
+        whole = let(body, lambda text: F.array(chunk(F.lit("content"), F.lit("content"), trim_long(text))))
+        return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(whole))
+
+    pages = sections.groupBy(id_col).agg(rows.alias("rows"))
+    return explode_chunks(pages, id_col, let(F.col("rows"), chunks))
 
 
 def html_section_markdown(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:

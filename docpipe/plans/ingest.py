@@ -35,12 +35,16 @@ class Tables:
         return f"{self.base.rstrip('/')}/{name}"
 
 
-def stage(responses: DataFrame, path: str, size_limit: int = SIZE_LIMIT_BYTES) -> DataFrame:
-    """Classified responses as a table partitioned by kind. One pass over the bodies, no shuffle."""
-    spark = responses.sparkSession
-    classify(admitted(responses, size_limit)).write.mode("overwrite").partitionBy("kind").parquet(path)
-    schema = classify(responses).schema
-    return spark.read.schema(schema).parquet(path)
+def stage(classified: DataFrame, path: str) -> DataFrame:
+    """Classified responses as a table partitioned by kind: one pass over the bodies, no shuffle."""
+    classified.write.mode("overwrite").partitionBy("kind").parquet(path)
+    return classified.sparkSession.read.schema(classified.schema).parquet(path)
+
+
+def staged_conversion(staged: DataFrame, path: str) -> DataFrame:
+    """The Markdown of the staged HTML, written and read back."""
+    convert_html(staged).write.mode("overwrite").parquet(path)
+    return staged.sparkSession.read.parquet(path)
 
 
 def run_ingest(
@@ -55,10 +59,8 @@ def run_ingest(
     spark = responses.sparkSession
     tables = Tables(out)
     work = work_dir(spark, "ingest")
-    staged = stage(responses, f"{work}/staged", size_limit)
-    converted_path = f"{work}/converted"
-    convert_html(staged).write.mode("overwrite").parquet(converted_path)
-    converted = spark.read.parquet(converted_path)
+    staged = stage(classify(admitted(responses, size_limit)), f"{work}/staged")
+    converted = staged_conversion(staged, f"{work}/converted")
     routed = route(staged, converted, members, force_inline, limit)
 
     routed.results.select("doc.*", "url", "type", "inline", "data").write.mode(mode).parquet(tables.path("results"))

@@ -19,7 +19,7 @@ from docpipe.operators import json_tokens as J
 from docpipe.operators import store as R
 from docpipe.operators import text as X
 from docpipe.plans import route as P
-from docpipe.plans.ingest import work_dir
+from docpipe.plans.ingest import stage, staged_conversion, work_dir
 from docpipe.queries import fixtures as D
 from docpipe.sources import responses as S
 from docpipe.sources import tables as W
@@ -207,7 +207,9 @@ def _mixed_responses(spark, sf_dir):
 @query
 def route_summary(spark, sf_dir):
     """How responses of all kinds are returned: type, inline or not, number of documents and chunks."""
-    routed = P.route(_mixed_responses(spark, sf_dir))
+    work = work_dir(spark, "route")
+    staged = stage(_mixed_responses(spark, sf_dir), f"{work}/staged")
+    routed = P.route(staged, staged_conversion(staged, f"{work}/converted"))
     per_doc = routed.chunks.groupBy("doc").agg(F.count("*").alias("n_chunks"))
     # PDFs keep their chunks under the record of the text, which is another document.
     results = routed.results.join(per_doc, "doc", "left")
