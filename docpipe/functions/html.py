@@ -87,8 +87,10 @@ def decode_entities(text: str) -> str:
     # Folded into one constant when the plan is optimized.
     entries = "\x02".join(f"{name}\x01{char}" for name, char in entity_table().items()).replace("'", "\\'")
     table = f"str_to_map('{entries}', '\x02', '\x01')"
-    digits = "regexp_replace(p, '[&#xX;]', '')"
-    code = f"CAST(conv({digits}, CASE WHEN p RLIKE '^&#[xX]' THEN 16 ELSE 10 END, 10) AS DECIMAL(20, 0))"
+    # More than eight digits, leading zeros aside, are no character, and could overflow.
+    base = "CASE WHEN p RLIKE '^&#[xX]' THEN 16 ELSE 10 END"
+    number = f"CASE WHEN length(d) <= 8 THEN CAST(conv(d, {base}, 10) AS BIGINT) END"
+    code = bind("regexp_replace(p, '^&#[xX]?0*|;', '')", "d", number)
     # What is no character becomes U+FFFD.
     safe = "CASE WHEN c BETWEEN 1 AND 1114111 AND NOT c BETWEEN 55296 AND 57343 THEN CAST(c AS INT) ELSE 65533 END"
     char = f"decode(unhex(lpad(hex({safe}), 8, '0')), 'UTF-32')"
