@@ -10,13 +10,22 @@ from pyspark.sql import functions as F
 CHUNK_COLUMNS = ["chunk_index", "key", "title", "content"]
 
 
-def by_document(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distribute whole documents before they are exploded.
+# Tells rows with equal keys apart, see by_document.
+ROW = "_row"
+
+
+def by_document(df: DataFrame, keys: Sequence[str], distribute: bool = True) -> DataFrame:
+    """Distribute whole documents before they are exploded, and number them.
 
     Tokens keep the partitioning of the row they come from, so that the windows and groupings that follow need
     no further exchange, and what is shuffled is the document once, not its many times larger token rows.
+
+    The number keeps the tokens of repeated documents apart. It is given after the shuffle and used up in the same
+    stage, so that a task that runs again is consistent in itself; it never reaches a result.
     """
-    return df.repartition(*[F.col(k) for k in keys])
+    if distribute:
+        df = df.repartition(*[F.col(k) for k in keys])
+    return df.withColumn(ROW, F.monotonically_increasing_id())
 
 
 def in_order(keys: Sequence[str], *order: str) -> WindowSpec:

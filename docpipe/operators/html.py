@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from docpipe.functions import html as H
 from docpipe.functions.arrays import let, ordered_concat
 from docpipe.functions.text import chunk, is_blank, slug, trim, trim_long
-from docpipe.operators.common import by_document, explode_chunks, in_order
+from docpipe.operators.common import ROW, by_document, explode_chunks, in_order
 
 PAIRS = [("\x01", "\x02", "\x11", "\x12"), ("\x03", "\x04", "\x13", "\x14"), ("\x0e", "\x0f", "\x15", "\x16")]
 # Same marks inside each other are matched this many levels deep.
@@ -38,12 +38,10 @@ def html_tokens(
     ``distribute=False`` is for input that is already partitioned by (a prefix of) the keys. Position 0 is an
     empty text, so that empty documents stay in the result.
     """
-    docs = df.select(*keys, F.expr(H.clean_html(html_col)).alias("body"))
-    if distribute:
-        docs = by_document(docs, keys)
+    docs = by_document(df.select(*keys, F.expr(H.clean_html(html_col)).alias("body")), keys, distribute)
     tokens = F.concat(F.array(F.lit("")), F.expr(H.html_tokens("body")))
     return (
-        docs.select(*keys, F.posexplode(tokens).alias("pos", "token"))
+        docs.select(*keys, ROW, F.posexplode(tokens).alias("pos", "token"))
         .withColumn("tag", F.expr(H.tag_name("token")))
         .withColumn("kind", F.expr(H.tag_kind("token", "tag")))
     )
@@ -125,17 +123,14 @@ def html_blocks(
     df: DataFrame, keys: Sequence[str] = ("page_id",), html_col: str = "html", distribute: bool = True
 ) -> DataFrame:
     """Blocks in document order: raw text with marks, and where the block stands."""
-    keys = list(keys)
     kind, tag, token = F.col("kind"), F.col("tag"), F.col("token")
+    source = html_tokens(df, keys, html_col, distribute)
+    keys = [*keys, ROW]
     running = in_order(keys, "pos")
     at = Window.partitionBy(*keys).orderBy("pos")
     earlier = at.rowsBetween(Window.unboundedPreceding, -1)
 
-    tokens = _depths(
-        html_tokens(df, keys, html_col, distribute),
-        keys,
-        {"list": ["ul", "ol"], "quote": ["blockquote"], "pre": ["pre"]},
-    )
+    tokens = _depths(source, keys, {"list": ["ul", "ol"], "quote": ["blockquote"], "pre": ["pre"]})
     # A block tag starts a new block, except inside preformatted text; so does what follows a rule.
     boundary = (
         F.coalesce(tag.isin(H.BLOCK_TAGS), F.lit(False)) & ((F.col("pre_depth") == 0) | (tag == "pre"))
@@ -233,7 +228,7 @@ def _code_block(raw: Column, language: Column) -> Column:
 
 def _markdown_blocks(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds the list item numbers, the prefix of every line and the separator before the block."""
-    keys = list(keys)
+    keys = [*keys, ROW]
     tag = F.col("tag")
     order = Window.partitionBy(*keys).orderBy("block")
     running = in_order(keys, "block")
@@ -304,7 +299,9 @@ def html_to_markdown(
 ) -> DataFrame:
     """Markdown of every document, '' for an empty one."""
     blocks = _markdown_blocks(html_blocks(df, keys, html_col, distribute), keys)
-    return blocks.groupBy(*keys).agg(ordered_concat(F.col("block"), F.col("markdown")).alias("markdown"))
+    return (
+        blocks.groupBy(*keys, ROW).agg(ordered_concat(F.col("block"), F.col("markdown")).alias("markdown")).drop(ROW)
+    )
 
 
 def markdown_blocks(df: DataFrame, keys: Sequence[str] = ("page_id",), html_col: str = "html") -> DataFrame:
@@ -316,7 +313,7 @@ def markdown_blocks(df: DataFrame, keys: Sequence[str] = ("page_id",), html_col:
 def html_links(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Anchors with a target: number in the page, target, text."""
     tag, kind = F.col("tag"), F.col("kind")
-    running = in_order([id_col], "pos")
+    running = in_order([id_col, ROW], "pos")
     href = F.when((tag == "a") & (kind == "open"), F.expr(H.attribute("token", "href")))
     tokens = html_tokens(df, [id_col], html_col).withColumn("href", F.when(href != "", href))
     tokens = tokens.select(
@@ -327,7 +324,7 @@ def html_links(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     text = F.when(kind == "text", F.expr(H.decoded_text("token"))).when(tag == "br", " ").otherwise("")
     return (
         tokens.filter("inside")
-        .groupBy(id_col, "link_no")
+        .groupBy(id_col, ROW, "link_no")
         .agg(F.max("href").alias("href"), ordered_concat(F.col("pos"), text).alias("text"))
         .select(id_col, "link_no", "href", trim(F.regexp_replace("text", " {2,}", " ")).alias("text"))
     )
@@ -339,11 +336,11 @@ def html_sections(df: DataFrame, id_col: str = "page_id", html_col: str = "html"
     A heading ends the section before it and gives the title of the next one. The other children contribute what
     is inside them, texts their text; blank ones are left out and so are sections without content.
     """
-    keys = [id_col]
+    keys = [id_col, ROW]
     tag, kind, token = F.col("tag"), F.col("kind"), F.col("token")
     running = in_order(keys, "pos")
     inline_step = F.when(~tag.isin(H.BLOCK_TAGS), F.when(kind == "open", 1).when(kind == "close", -1))
-    tokens = _depths(html_tokens(df, keys, html_col), keys, {"container": H.CONTAINER_TAGS}).select(
+    tokens = _depths(html_tokens(df, [id_col], html_col), keys, {"container": H.CONTAINER_TAGS}).select(
         "*",
         F.coalesce(tag.isin(H.BLOCK_TAGS), F.lit(False)).alias("is_block"),
         F.coalesce(tag.isin(H.CONTAINER_TAGS), F.lit(False)).alias("is_container"),
@@ -399,13 +396,13 @@ def html_sections(df: DataFrame, id_col: str = "page_id", html_col: str = "html"
         F.regexp_replace("raw", "\x03([^\x02]*)\x02[^\x04]*\x04", "$1"), "\x01([^\x02]*)\x02", "$1"
     )
     sections = (
-        tokens.groupBy(id_col, "section")
+        tokens.groupBy(*keys, "section")
         .agg(
             ordered_concat(F.col("pos"), fragment).alias("raw"),
             ordered_concat(F.col("pos"), title_part).alias("raw_title"),
         )
         .select(
-            id_col,
+            *keys,
             "section",
             F.when(F.col("section") == 0, "content").otherwise(trim(F.col("raw_title"))).alias("title"),
             let(F.array_join(parts, "\n"), trim_long).alias("content"),
@@ -428,7 +425,7 @@ def html_sections(df: DataFrame, id_col: str = "page_id", html_col: str = "html"
         whole = let(body, lambda text: F.array(chunk(F.lit("content"), F.lit("content"), trim_long(text))))
         return let(found, lambda f: F.when(F.size(f) > 0, f).otherwise(whole))
 
-    pages = sections.groupBy(id_col).agg(rows.alias("rows"))
+    pages = sections.groupBy(*keys).agg(rows.alias("rows"))
     return explode_chunks(pages, id_col, let(F.col("rows"), chunks))
 
 

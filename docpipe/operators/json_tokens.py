@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from docpipe.functions import json as J
 from docpipe.functions.arrays import ordered_concat
-from docpipe.operators.common import by_document, in_order
+from docpipe.operators.common import ROW, by_document, in_order
 
 OPENERS = ["{", "["]
 CLOSERS = ["}", "]"]
@@ -22,11 +22,11 @@ CLOSERS = ["}", "]"]
 def json_tokens(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
     """Token rows with class, depth after the token and neighbours; a text without tokens gives one row."""
     docs = by_document(df.select(id_col, json_col), [id_col])
-    tokens = docs.select(id_col, F.posexplode_outer(J.json_tokens(F.col(json_col))).alias("pos", "token")).select(
-        id_col, "pos", "token", J.token_class(F.col("token")).alias("cls")
+    tokens = docs.select(id_col, ROW, F.posexplode_outer(J.json_tokens(F.col(json_col))).alias("pos", "token")).select(
+        id_col, ROW, "pos", "token", J.token_class(F.col("token")).alias("cls")
     )
-    running = in_order([id_col], "pos")
-    at = Window.partitionBy(id_col).orderBy("pos")
+    running = in_order([id_col, ROW], "pos")
+    at = Window.partitionBy(id_col, ROW).orderBy("pos")
     step = F.when(F.col("cls").isin(OPENERS), 1).when(F.col("cls").isin(CLOSERS), -1).otherwise(0)
     return tokens.select(
         "*",
@@ -42,7 +42,7 @@ def json_tokens(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -
 def with_validity(tokens: DataFrame, id_col: str) -> DataFrame:
     """Adds ``ok``: whether the token may stand where it does. A text is valid if all of its tokens are ok."""
     level = F.col("depth") + F.when(F.col("cls").isin(CLOSERS), 1).otherwise(0)
-    same_level = in_order([id_col, "level"], "pos")
+    same_level = in_order([id_col, ROW, "level"], "pos")
     # The container a token separates or closes is the last one opened on its level.
     container = F.last(F.when(F.col("cls").isin(OPENERS), F.col("cls")), ignorenulls=True).over(same_level)
     cls, nxt = F.col("cls"), F.col("next")
@@ -88,7 +88,7 @@ def _fragment(depth: Column, inner: Column) -> Column:
 def json_valid(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
     """Strict validity of every text; a null or empty one is not valid."""
     tokens = with_validity(json_tokens(df, id_col, json_col), id_col)
-    return tokens.groupBy(id_col).agg(F.every("ok").alias("valid"))
+    return tokens.groupBy(id_col, ROW).agg(F.every("ok").alias("valid")).drop(ROW)
 
 
 def json_pretty(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
@@ -96,7 +96,7 @@ def json_pretty(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -
     tokens = with_validity(json_tokens(df, id_col, json_col), id_col)
     pretty = ordered_concat(F.col("pos"), _fragment(F.col("depth"), F.lit(True)))
     return (
-        tokens.groupBy(id_col)
+        tokens.groupBy(id_col, ROW)
         .agg(F.every("ok").alias("valid"), pretty.alias("text"))
         .select(id_col, "valid", F.when(F.col("valid"), F.col("text")).alias("pretty"))
     )
@@ -115,7 +115,7 @@ def split_json(
     tokens = tokens.select(
         "*",
         root.alias("kind"),
-        F.sum(F.when(comma, 1).otherwise(0)).over(in_order([id_col], "pos")).cast("int").alias("member"),
+        F.sum(F.when(comma, 1).otherwise(0)).over(in_order([id_col, ROW], "pos")).cast("int").alias("member"),
         comma.alias("comma"),
     )
     tokens = with_validity(tokens, id_col)
@@ -131,7 +131,7 @@ def split_json(
     text = F.when(nested, text).otherwise(F.col("token"))
     content = ~(outer | between | is_key)
 
-    members = tokens.groupBy(id_col, "kind", "member").agg(
+    members = tokens.groupBy(id_col, ROW, "kind", "member").agg(
         F.every("ok").alias("ok"),
         F.max(F.when(is_key, J.string_value(F.col("token")))).alias("name"),
         F.max(F.when(content, 1).otherwise(0)).alias("used"),
@@ -139,7 +139,7 @@ def split_json(
     )
     index = F.col("member").cast("string")
     return (
-        members.withColumn("valid", F.min("ok").over(Window.partitionBy(id_col)))
+        members.withColumn("valid", F.min("ok").over(Window.partitionBy(id_col, ROW)))
         .filter(F.col("valid") & (F.col("used") == 1) & F.col("kind").isin(*roots))
         .select(
             id_col,

@@ -46,7 +46,9 @@ def resolve_records(records: DataFrame, chunks: DataFrame, requests: DataFrame,
     wanted = wanted.select("record_id", "url", "content_type", "fetched_at", "status")
     detail = chunks.select("record_id", "chunk_index", "key", "title", "size_bytes")
     found = wanted.join(detail, "record_id")
-    empty = wanted.join(chunks.select("record_id").distinct(), "record_id", "left_anti")
+    # Few are wanted, as a rule: the chunk table is reduced to those before anything of it is moved.
+    present = chunks.select("record_id").join(wanted.select("record_id"), "record_id", "left_semi").distinct()
+    empty = wanted.join(present, "record_id", "left_anti")
     return found.unionByName(empty, allowMissingColumns=True)
 
 
@@ -55,13 +57,14 @@ def chunk_lookup(
 ) -> DataFrame:
     """Content of the requested (record_id, key): the first chunk with that key of a live record.
 
-    The first chunk per key is found on the narrow columns, combined before the shuffle; the content is then
-    fetched by (record_id, chunk_index), which is unique.
+    The first chunk per key is found on the narrow columns of the wanted records, combined before the shuffle; the
+    content is then fetched by (record_id, chunk_index), which is unique. Few requests are broadcast by their size;
+    many go through a join that can split a large group.
     """
     wanted = requests.select("record_id", "key").distinct()
     wanted = wanted.join(live_records(records, as_of).select("record_id"), "record_id", "left_semi")
-    first = chunks.groupBy("record_id", "key").agg(F.min("chunk_index").alias("chunk_index"))
-    hits = wanted.join(first, ["record_id", "key"])
+    narrow = chunks.select("record_id", "key", "chunk_index").join(wanted, ["record_id", "key"], "left_semi")
+    hits = narrow.groupBy("record_id", "key").agg(F.min("chunk_index").alias("chunk_index"))
     return hits.join(
         chunks.select("record_id", "chunk_index", "title", "content"), ["record_id", "chunk_index"]
     ).select("record_id", "key", "chunk_index", "title", "content")
@@ -72,7 +75,8 @@ def lookup_misses(records: DataFrame, chunks: DataFrame, requests: DataFrame, as
     live = live_records(records, as_of).select("record_id")
     known = requests.join(live, "record_id", "left_semi")
     no_record = requests.join(live, "record_id", "left_anti").withColumn("reason", F.lit("record not found"))
-    keys = chunks.select("record_id", "key").distinct()
+    pairs = known.select("record_id", "key").distinct()
+    keys = chunks.select("record_id", "key").join(pairs, ["record_id", "key"], "left_semi").distinct()
     no_chunk = known.join(keys, ["record_id", "key"], "left_anti").withColumn("reason", F.lit("chunk not found"))
     return no_record.unionByName(no_chunk).select("record_id", "key", "reason")
 

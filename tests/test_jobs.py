@@ -4,6 +4,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
+from docpipe.operators import html as H
+from docpipe.operators import json_tokens as J
 from docpipe.plans.ingest import run_ingest
 from docpipe.plans.route import classify, route
 from docpipe.sources import responses as S
@@ -109,7 +111,7 @@ def test_originals_and_rejects(spark, tables):
 def test_forced_inline_returns_all_data(responses):
     staged = classify(S.admitted(responses))
     got = {number(r.url): (r.inline, len(r.data)) for r in route(staged, force_inline=True).results.collect()}
-    assert got["5"] == (False, 100_101) and got["8"][1] > 1_000 and got["12"] == (False, 60_000) and got["14"][1] > 75_000
+    assert got["5"] == (False, len(json.dumps(json.loads(ROWS[4][4]), indent=2))) and got["8"][1] > 1_000 and got["12"] == (False, 60_000) and got["14"][1] > 75_000
     assert got["1"] == (True, len("# Hi\n\nx"))
 
 
@@ -143,3 +145,12 @@ def test_stream_equals_batch(spark, tmp_path):
     # New files only: a second run adds what is new, and nothing twice.
     df.limit(1).withColumn("url", F.lit("http://b/1")).write.mode("append").parquet(source)
     assert len(run()) == len(batch) + 1
+
+
+def test_repeated_documents_stay_apart(spark):
+    html = spark.createDataFrame([(1, "<h2>a</h2><p>x</p>")] * 2 + [(1, "<h2>b</h2>y")], "page_id long, html string")
+    assert sorted(r.markdown for r in H.html_to_markdown(html).collect()) == ["## a\n\nx"] * 2 + ["## b\n\ny"]
+    assert sorted((r.key, r.content) for r in H.html_sections(html).collect()) == [("a", "x")] * 2 + [("b", "y")]
+    texts = spark.createDataFrame([(1, '{"a": 1}')] * 2 + [(1, "[2")], "doc_id long, json string")
+    assert sorted((r.valid, r.pretty or "") for r in J.json_pretty(texts).collect()) == [(False, "")] + [(True, '{\n  "a": 1\n}')] * 2
+    assert [(r.key, r.content) for r in J.split_json(texts).collect()] == [("a", "1")] * 2

@@ -42,7 +42,7 @@ def test_slug(apply):
     "line, expected",
     [
         ("1. Intro", True), ("1.2.3 Deep", True), ("1.", False), ("1.2.", True), ("2024", True), ("----", True), ("Chapter 1", True),
-        ("section  12 x", True), ("Section x", False), ("ABC", False), ("ABCD", True), ("Introductory words", True),
+        ("section  12 x", True), ("Section x", False), ("ABC", False), ("ABCD", True), ("Introductions follow", True), ("Introductory words", False),
         ("methodical", True), ("plain line", False), ("A" * 120, True), ("A" * 121, False), ("x", False), ("straße", False),
         ("STRAßE", False), ("1 Title x", True), ("a line:", False),
     ],
