@@ -25,8 +25,8 @@ def json_tokens(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -
     tokens = docs.select(id_col, ROW, F.posexplode_outer(J.json_tokens(F.col(json_col))).alias("pos", "token")).select(
         id_col, ROW, "pos", "token", J.token_class(F.col("token")).alias("cls")
     )
-    running = in_order([id_col, ROW], "pos")
-    at = Window.partitionBy(id_col, ROW).orderBy("pos")
+    running = in_order([ROW, id_col], "pos")
+    at = Window.partitionBy(ROW, id_col).orderBy("pos")
     step = F.when(F.col("cls").isin(OPENERS), 1).when(F.col("cls").isin(CLOSERS), -1).otherwise(0)
     return tokens.select(
         "*",
@@ -42,7 +42,7 @@ def json_tokens(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -
 def with_validity(tokens: DataFrame, id_col: str) -> DataFrame:
     """Adds ``ok``: whether the token may stand where it does. A text is valid if all of its tokens are ok."""
     level = F.col("depth") + F.when(F.col("cls").isin(CLOSERS), 1).otherwise(0)
-    same_level = in_order([id_col, ROW, "level"], "pos")
+    same_level = in_order([ROW, id_col, "level"], "pos")
     # The container a token separates or closes is the last one opened on its level.
     container = F.last(F.when(F.col("cls").isin(OPENERS), F.col("cls")), ignorenulls=True).over(same_level)
     cls, nxt = F.col("cls"), F.col("next")
@@ -115,7 +115,7 @@ def split_json(
     tokens = tokens.select(
         "*",
         root.alias("kind"),
-        F.sum(F.when(comma, 1).otherwise(0)).over(in_order([id_col, ROW], "pos")).cast("int").alias("member"),
+        F.sum(F.when(comma, 1).otherwise(0)).over(in_order([ROW, id_col], "pos")).cast("int").alias("member"),
         comma.alias("comma"),
     )
     tokens = with_validity(tokens, id_col)
@@ -139,7 +139,7 @@ def split_json(
     )
     index = F.col("member").cast("string")
     return (
-        members.withColumn("valid", F.min("ok").over(Window.partitionBy(id_col, ROW)))
+        members.withColumn("valid", F.min("ok").over(Window.partitionBy(ROW, id_col)))
         .filter(F.col("valid") & (F.col("used") == 1) & F.col("kind").isin(*roots))
         .select(
             id_col,
