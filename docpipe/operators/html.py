@@ -125,7 +125,7 @@ def html_blocks(
     """Blocks in document order: raw text with marks, and where the block stands."""
     kind, tag, token = F.col("kind"), F.col("tag"), F.col("token")
     source = html_tokens(df, keys, html_col, distribute)
-    keys = [ROW, *keys]
+    keys = [*keys, ROW]
     running = in_order(keys, "pos")
     at = Window.partitionBy(*keys).orderBy("pos")
     earlier = at.rowsBetween(Window.unboundedPreceding, -1)
@@ -228,7 +228,7 @@ def _code_block(raw: Column, language: Column) -> Column:
 
 def _markdown_blocks(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Adds the list item numbers, the prefix of every line and the separator before the block."""
-    keys = [ROW, *keys]
+    keys = [*keys, ROW]
     tag = F.col("tag")
     order = Window.partitionBy(*keys).orderBy("block")
     running = in_order(keys, "block")
@@ -313,7 +313,7 @@ def markdown_blocks(df: DataFrame, keys: Sequence[str] = ("page_id",), html_col:
 def html_links(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
     """Anchors with a target: number in the page, target, text."""
     tag, kind = F.col("tag"), F.col("kind")
-    running = in_order([ROW, id_col], "pos")
+    running = in_order([id_col, ROW], "pos")
     href = F.when((tag == "a") & (kind == "open"), F.expr(H.attribute("token", "href")))
     tokens = html_tokens(df, [id_col], html_col).withColumn("href", F.when(href != "", href))
     tokens = tokens.select(
@@ -336,7 +336,7 @@ def html_sections(df: DataFrame, id_col: str = "page_id", html_col: str = "html"
     A heading ends the section before it and gives the title of the next one. The other children contribute what
     is inside them, texts their text; blank ones are left out and so are sections without content.
     """
-    keys = [ROW, id_col]
+    keys = [id_col, ROW]
     tag, kind, token = F.col("tag"), F.col("kind"), F.col("token")
     running = in_order(keys, "pos")
     inline_step = F.when(~tag.isin(H.BLOCK_TAGS), F.when(kind == "open", 1).when(kind == "close", -1))

@@ -21,6 +21,7 @@ from docpipe.operators import text as X
 from docpipe.plans import route as P
 from docpipe.plans.ingest import stage, staged_conversion, work_dir
 from docpipe.queries import fixtures as D
+from docpipe.session import configure
 from docpipe.sources import responses as S
 from docpipe.sources import tables as W
 from docpipe.streaming.ingest import write_batches
@@ -32,7 +33,7 @@ MAX_BODY_IN_QUERIES = 6_000
 
 def query(fn: Query) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return _plain_types(fn(spark, sf_dir))
+        return _plain_types(fn(configure(spark), sf_dir))
 
     QUERIES[fn.__name__] = run
     return run

@@ -15,8 +15,6 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # Token jobs sort many small groups per task; keep them in the hash map for longer before sorting.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
-    # Token jobs are sorted by document anyway; grouping by document can use that.
-    "spark.sql.execution.replaceHashWithSortAgg": "true",
     "spark.sql.parquet.filterPushdown": "true",
 }
 
