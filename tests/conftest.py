@@ -9,8 +9,14 @@ from docpipe.session import local_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
-    return local_session(8, "tests", driver_memory="4g")
+def spark(tmp_path_factory):
+    shared = tmp_path_factory.mktemp("shared")
+    return local_session(
+        8,
+        "tests",
+        driver_memory="4g",
+        **{"spark.checkpoint.dir": str(shared / "checkpoints"), "spark.sql.warehouse.dir": str(shared / "warehouse")},
+    )
 
 
 @pytest.fixture
