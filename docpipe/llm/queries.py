@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from docpipe.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from docpipe.llm.pii import OP10_SQL, op10_pii
+from docpipe.llm.quality_rules import OP5_SQL, op5_quality_rules
 
 QUERIES = {
+    "op5_quality_rules": op5_quality_rules,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_pii": op10_pii,
 }
 
 ORACLES = {
+    "op5_quality_rules": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op10_pii": OP10_SQL,
 }
