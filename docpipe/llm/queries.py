@@ -6,10 +6,12 @@ from docpipe.llm.bpe import op8_bpe
 from docpipe.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from docpipe.llm.pii import OP10_SQL, op10_pii
 from docpipe.llm.quality_rules import OP5_SQL, op5_quality_rules
+from docpipe.llm.minhash import op1_minhash
 from docpipe.llm.packing import op9_packing
 from docpipe.llm.sharding import op6_sharding
 
 QUERIES = {
+    "op1_minhash": op1_minhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
     "op8_bpe": op8_bpe,
