@@ -5,12 +5,16 @@ from __future__ import annotations
 from docpipe.llm.bpe import op8_bpe
 from docpipe.llm.exact_dedup import OP7_SQL, op7_exact_dedup
 from docpipe.llm.pii import OP10_SQL, op10_pii
+from docpipe.llm.quality_model import op3_quality_model
 from docpipe.llm.quality_rules import OP5_SQL, op5_quality_rules
 from docpipe.llm.minhash import op1_minhash
 from docpipe.llm.packing import op9_packing
 from docpipe.llm.sharding import op6_sharding
+from docpipe.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op2_warc": op2_warc,
+    "op3_quality_model": op3_quality_model,
     "op1_minhash": op1_minhash,
     "op5_quality_rules": op5_quality_rules,
     "op6_sharding": op6_sharding,
@@ -21,6 +25,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op2_warc": OP2_SQL,
     "op5_quality_rules": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op10_pii": OP10_SQL,
