@@ -34,6 +34,30 @@ def body(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def text_hash(column: str = "text") -> Column:
+    """Tells rows with one doc_id but different texts apart."""
+    return F.xxhash64(body(column))
+
+
+def without(docs: DataFrame, dropped: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """The rows of docs whose keys (column of dropped: expression on docs, nulls equal) are not in dropped."""
+    names = {k: fresh(docs, f"_{k}") for k in keys}
+    marked = docs.withColumns({names[k]: c for k, c in keys.items()})
+    gone = dropped.select(*[F.col(k).alias(f"{names[k]}_gone") for k in keys]).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same &= F.col(names[k]).eqNullSafe(F.col(f"{names[k]}_gone"))
+    return marked.join(gone, same, "left_anti").drop(*names.values())
+
+
 def with_rank(df: DataFrame, group: str, order: list[str], rank: str, rows: int) -> DataFrame:
     """Add the gapless rank (from 0) of each row within its group, however large a group is.
 

@@ -11,7 +11,7 @@ from hashlib import md5
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import body, scratch, table, written
+from docpipe.llm.common import body, fresh, scratch, table, text_hash, without, written
 
 BUCKETS = 16
 
@@ -22,8 +22,9 @@ def normalised(column: str = "text") -> Column:
 
 
 def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """(doc_id, digest): SHA-256 of the normalised text as 32 bytes. Other columns are left aside."""
-    return docs.select(F.col(id_column).alias("doc_id"), F.unhex(F.sha2(normalised(text_column), 256)).alias("digest"))
+    """(doc_id, text_hash, digest): SHA-256 of the normalised text as 32 bytes. Other columns are left aside."""
+    digest = F.unhex(F.sha2(normalised(text_column), 256))
+    return docs.select(F.col(id_column).alias("doc_id"), text_hash(text_column).alias("text_hash"), digest.alias("digest"))
 
 
 class DigestIndex:
@@ -52,7 +53,7 @@ class DigestIndex:
     def deduplicate(self, rows: DataFrame) -> DataFrame:
         """Decide on a batch of digests() and add it to the index.
 
-        Returns one row per row of the batch: doc_id, digest, keep_id, group_size, kept.
+        Returns one row per row of the batch: doc_id, text_hash, digest, keep_id, group_size, kept.
 
         * keep_id is the document that stays for this text: of an earlier batch if one had it, else the smallest doc_id
           of this batch. group_size counts the rows of this batch with the text.
@@ -64,7 +65,7 @@ class DigestIndex:
         settled = written(groups.select("digest", "group_size").join(self.table().hint("merge"), "digest"), "settled")
         # A text may have any number of rows: both sides are plain shuffles, so that a hot digest is split at run time.
         return rows.join(settled, "digest", "left").select(
-            "doc_id", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+            "doc_id", "text_hash", "digest", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
         )
 
 
@@ -75,6 +76,18 @@ def exact_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataF
     return index.deduplicate(written(digests(docs), "digests"))
 
 
+def deduplicate(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """docs without the rows that have a text of another row; of repeated rows (same doc_id and text) one stays."""
+    found = written(exact_duplicates(docs, index), "decisions")
+    keys = {"doc_id": F.col("doc_id"), "text_hash": text_hash()}
+    kept = without(docs, found.filter(~F.col("kept")), keys)
+    repeated = found.filter("kept").groupBy("doc_id", "digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    if repeated.isEmpty():
+        return kept
+    name = fresh(docs, "_text")
+    return kept.withColumn(name, normalised()).dropDuplicates(["doc_id", name]).drop(name)
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))

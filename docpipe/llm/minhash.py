@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import body, table, written
+from docpipe.llm.common import body, table, text_hash, written
 from docpipe.llm.words import blocks, grams, mix, words
 
 SHINGLE = 5
@@ -196,8 +196,7 @@ def describe(docs: DataFrame, size: int = SHINGLE, id_column: str = "doc_id", te
 
 
 def _rows(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    text = body(text_column)
-    return docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text).alias("text_hash"), text.alias("text"))
+    return docs.select(F.col(id_column).alias("doc_id"), text_hash(text_column).alias("text_hash"), body(text_column).alias("text"))
 
 
 def near_duplicates(

@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import body, table
+from docpipe.llm.common import body, fresh, table
 
 BLOCK = 256
 NEAR = 40
@@ -159,8 +159,9 @@ def mask_pii(docs: DataFrame, text_column: str = "text") -> DataFrame:
 
     Null texts stay null. The texts between the spans are kept as they are.
     """
-    found = find_pii(docs, text_column, "_pii")
-    order = F.array_sort(F.transform("_pii", lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
+    name = fresh(docs, "_pii")
+    found = find_pii(docs, text_column, name)
+    order = F.array_sort(F.transform(name, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
 
     def join(state: Column, s: Column) -> Column:
         overlaps = s["start"] < state["at"]
@@ -173,7 +174,7 @@ def mask_pii(docs: DataFrame, text_column: str = "text") -> DataFrame:
         return F.concat(F.array_join(state["parts"], ""), rest)
 
     masked = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), join, finish)
-    return found.withColumn(text_column, F.when(F.size("_pii") > 0, masked).otherwise(F.col(text_column))).drop("_pii")
+    return found.withColumn(text_column, F.when(F.size(name) > 0, masked).otherwise(F.col(text_column))).drop(name)
 
 
 def _line(spans: Column) -> Column:

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import body, table, written
+from docpipe.llm.common import body, table, text_hash, written
 from docpipe.llm.words import blocks, grams, repeated, sums, words
 
 WINDOW = 8
@@ -53,6 +53,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 {
                     "doc_id": part.column("doc_id"),
                     "host": part.column("host"),
+                    "text_hash": part.column("text_hash"),
                     "n_words": found.counts.astype(np.int64),
                     "word_chars": chars,
                     "n_symbols": sums(_SYMBOL[data], offsets),
@@ -63,10 +64,10 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def statistics(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", host_column: str = "source") -> DataFrame:
-    """One row per document: doc_id, host, and the counts of STATISTICS over its whole text (null: none)."""
-    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(host_column).cast("string").alias("host"), body(text_column).alias("text"))
+    """One row per document: doc_id, host, text_hash, and the counts of STATISTICS over its whole text (null: none)."""
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(host_column).cast("string").alias("host"), text_hash(text_column).alias("text_hash"), body(text_column).alias("text"))
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.mapInArrow(_statistics, f"doc_id {kinds['doc_id']}, host string, {STATISTICS}")
+    return rows.mapInArrow(_statistics, f"doc_id {kinds['doc_id']}, host string, text_hash long, {STATISTICS}")
 
 
 def base_failed() -> Column:

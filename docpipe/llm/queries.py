@@ -9,10 +9,12 @@ from docpipe.llm.quality_model import op3_quality_model
 from docpipe.llm.quality_rules import OP5_SQL, op5_quality_rules
 from docpipe.llm.minhash import op1_minhash
 from docpipe.llm.packing import op9_packing
+from docpipe.llm.repeats import op4_repeats
 from docpipe.llm.sharding import op6_sharding
 from docpipe.llm.warc import OP2_SQL, op2_warc
 
 QUERIES = {
+    "op4_repeats": op4_repeats,
     "op2_warc": op2_warc,
     "op3_quality_model": op3_quality_model,
     "op1_minhash": op1_minhash,
