@@ -14,16 +14,19 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
+from itertools import groupby
+from operator import itemgetter
 from uuid import uuid4
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docpipe.llm.common import body, table, written
-from docpipe.llm.tokens import LONGEST, Encoder
+from docpipe.llm.tokens import WordEncoder
 from docpipe.llm.words import blocks, mix
 
 #: A chunk ends where this many low bits of the rolling hash are zero: 1 KiB on average.
@@ -33,26 +36,36 @@ BITS_PER_CHUNK = 16
 SMALLEST_BITMAP, LARGEST_BITMAP = 1 << 20, 1 << 28
 
 _GEAR = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).astype(np.uint32)
-RESULT = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+_PACK, _UNPACK = zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
 
 
-def cuts(data: np.ndarray) -> np.ndarray:
-    """Offsets at which chunks of UTF-8 bytes start (0 first), given by the 32 bytes before each.
+def cuts(data: np.ndarray, offsets: np.ndarray) -> list[list[int]]:
+    """Offsets at which chunks of each UTF-8 text of a block start and the last one ends, given by the 32 bytes before.
 
     The rolling hash is the sum of a value per byte, shifted by its distance; sums over 2, 4, 8, 16 and 32 bytes are
-    made for all offsets at once. A cut never falls inside a code point.
+    made for all offsets at once. The window lies inside the text, and a cut never falls inside a code point.
     """
     rolled = _GEAR[data]
     for span in (1, 2, 4, 8, 16):
-        rolled[span:] = rolled[span:] + (rolled[:-span] << np.uint32(span)) if len(rolled) > span else rolled[span:]
+        if len(rolled) > span:
+            rolled[span:] = rolled[span:] + (rolled[:-span] << np.uint32(span))
     ends = np.flatnonzero((rolled >> np.uint32(32 - CHUNK_BITS)) == 0) + 1
-    ends = ends[(ends >= 32) & (ends < len(data))]
-    return np.concatenate(([0], ends[(data[ends] & 0xC0) != 0x80])).astype(np.int64)
+    ends = ends[ends < len(data)]
+    ends = ends[(data[ends] & 0xC0) != 0x80]
+    text = np.searchsorted(offsets, ends, side="right") - 1
+    inside = (ends - offsets[text] >= 32) & (ends < offsets[text + 1])
+    ends, text = ends[inside], text[inside]
+    bounds = np.searchsorted(text, np.arange(len(offsets)))
+    return [
+        [int(offsets[d]), *ends[bounds[d] : bounds[d + 1]].tolist(), int(offsets[d + 1])] if offsets[d] < offsets[d + 1] else []
+        for d in range(len(offsets) - 1)
+    ]
 
 
-def chunks(text: bytes) -> list[bytes]:
-    at = [*cuts(np.frombuffer(text, np.uint8)).tolist(), len(text)]
-    return [text[a:b] for a, b in zip(at[:-1], at[1:], strict=True)] if text else []
+def block_chunks(data: np.ndarray, offsets: np.ndarray) -> list[list[bytes]]:
+    """The chunks of each text of a block; an empty text has none."""
+    raw = data.tobytes()
+    return [[raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)] for at in cuts(data, offsets)]
 
 
 def _key(chunk: bytes) -> bytes:
@@ -62,8 +75,7 @@ def _key(chunk: bytes) -> bytes:
 def _chunk_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for _, data, offsets in blocks(batch, "text"):
-            raw = data.tobytes()
-            keys = [_key(c) for a, b in zip(offsets[:-1], offsets[1:], strict=True) for c in chunks(raw[a:b])]
+            keys = [_key(c) for own in block_chunks(data, offsets) for c in own]
             yield pa.record_batch({"key": pa.array(keys, pa.binary())})
 
 
@@ -99,26 +111,6 @@ class Bitmap:
 # --- encoding
 
 
-class ChunkEncoder:
-    """Whole texts and chunks to (ids, decoded text), for vocabularies that drop white space.
-
-    In these no token crosses ASCII white space, so the words between it are encoded one by one and remembered, and the
-    decoded text is that of the words with a space between them.
-    """
-
-    def __init__(self, path: str):
-        self.encoder = Encoder(path, decode=True)
-
-    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
-        cut = [[w.decode() for w in t.split()] for t in texts]
-        self.encoder.learn({w for c in cut for w in c if len(w) <= LONGEST})
-        seen, out = self.encoder.seen, []
-        for c in cut:
-            found = [seen[w] if w in seen else self.encoder.get(w) for w in c]
-            out.append((b"".join([x[0] for x in found]), " ".join([x[1] for x in found if x[0]]).encode()))
-        return out
-
-
 def _ends(chunk: bytes) -> tuple[bytes, bytes | None, bytes]:
     """(part of a word before the first white space, what lies between, part of a word after the last white space).
 
@@ -135,51 +127,57 @@ def _ends(chunk: bytes) -> tuple[bytes, bytes | None, bytes]:
     return head, rest[: len(rest) - len(tail)], tail
 
 
-def _digest(doc, ids: bytes, text: bytes) -> tuple:
-    return doc, len(ids) // 4, sha256(ids).hexdigest(), sha256(text).hexdigest()
+def encoded_part(chunk: bytes, ids: bytes) -> dict:
+    head, between, tail = _ends(chunk)
+    return {"head": head, "spaced": between is not None, "tail": tail, "ids": _PACK.compress(ids)}
 
 
-def _results(rows: list[tuple], kind: pa.DataType) -> dict:
-    cols = list(zip(*rows, strict=True)) or [[], [], [], []]
-    return {
-        "doc_id": pa.array(cols[0], kind),
-        "n_tokens": pa.array(cols[1], pa.int64()),
-        "ids_sha256": pa.array(cols[2], pa.string()),
-        "decoded_sha256": pa.array(cols[3], pa.string()),
-    }
+def encode_parts(encoder: WordEncoder, chunks: list[bytes]) -> list[dict]:
+    """head, spaced, tail and the packed ids of what lies between, for each chunk."""
+    found = encoder.ids([_ends(c)[1] or b"" for c in chunks])
+    return [encoded_part(c, ids) for c, ids in zip(chunks, found, strict=True)]
 
 
-def join_chunks(parts: list[tuple[bytes, bytes | None, bytes, bytes, bytes]], encoder: ChunkEncoder) -> tuple[bytes, bytes]:
-    """Ids and decoded text of a text from its chunks (head, between or None, tail, ids, decoded) in order.
+def join_parts(encoder: WordEncoder, texts: list[list[dict]]) -> list[tuple[bytes, bytes]]:
+    """Ids and decoded text of each text from its parts in order.
 
-    The word across each join is encoded as a whole; a chunk without white space only lengthens it.
+    The word across each join is encoded as a whole; a part without white space only lengthens it.
     """
-    ids, texts, word = [], [], b""
     joins: list[bytes] = []
-    order: list[tuple[bytes, bytes] | int] = []
-
-    def close() -> None:
-        nonlocal word
-        if word:
-            order.append(len(joins))
-            joins.append(word)
-            word = b""
-
-    for head, between, tail, own, decoded in parts:
-        word += head
-        if between is None:
-            continue
-        close()
-        order.append((own, decoded))
-        word = tail
-    close()
-    again = encoder.encode(joins)
-    for x in order:
-        own, decoded = again[x] if isinstance(x, int) else x
-        if own:
-            ids.append(own)
-            texts.append(decoded)
-    return b"".join(ids), b" ".join(texts)
+    orders: list[list[bytes | int]] = []
+    for parts in texts:
+        order: list[bytes | int] = []
+        word: list[bytes] = []
+        for p in parts:
+            word.append(p["head"])
+            if p["spaced"]:
+                order += [len(joins), _UNPACK.decompress(p["ids"])]
+                joins.append(b"".join(word))
+                word = [p["tail"]]
+        order.append(len(joins))
+        joins.append(b"".join(word))
+        orders.append(order)
+    again = encoder.ids(joins)
+    out = []
+    for order in orders:
+        ids = b"".join([again[x] if isinstance(x, int) else x for x in order])
+        out.append((ids, encoder.decode(ids)))
+    return out
+
+
+def _digest(doc, ids: bytes, text: bytes) -> tuple:
+    return doc, len(ids) // 4, sha256(ids).hexdigest(), sha256(text).hexdigest()
+
+
+_RESULT = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
+_PART = {"head": pa.binary(), "spaced": pa.bool_(), "tail": pa.binary(), "ids": pa.binary()}
+_SENT = {"row": pa.binary(), "place": pa.int32(), "key": pa.binary(), "chunk": pa.binary()}
+_PART_SQL = "head binary, spaced boolean, tail binary, ids binary"
+
+
+def _results(rows: list[tuple], kind: pa.DataType) -> pa.RecordBatch:
+    schema = pa.schema({"doc_id": kind} | _RESULT)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 4, schema.types, strict=True)], schema=schema)
 
 
 def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -196,80 +194,58 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_column:
     bitmap = spark.sparkContext.broadcast(Bitmap.of(recurring, recurring.count()))
 
     def first_pass(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Results of texts without recurring chunks; the chunks of the others, under a name of their row."""
-        encoder = ChunkEncoder(vocabulary)
+        """Results of texts without recurring chunks. Of the others, under a name of their row: chunks that may recur,
+        and what lies between them already encoded."""
+        encoder = WordEncoder(vocabulary)
         for batch in batches:
+            schema = pa.schema({"doc_id": batch.schema.field("doc_id").type} | _RESULT | _SENT | _PART)
             for part, data, offsets in blocks(batch, "text"):
-                raw, ids = data.tobytes(), part.column("doc_id").to_pylist()
-                texts = [raw[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-                alone, rest = [], []
-                for i, text in enumerate(texts):
-                    own = chunks(text)
-                    keys = [_key(c) for c in own]
-                    if keys and bitmap.value.has(keys).any():
-                        name = uuid4().bytes
-                        rest += [(ids[i], name, j, k, c) for j, (k, c) in enumerate(zip(keys, own, strict=True))]
-                    else:
-                        alone.append(i)
-                done = [_digest(ids[i], *x) for i, x in zip(alone, encoder.encode([texts[i] for i in alone]), strict=True)]
-                kind = part.column("doc_id").type
-                none = pa.nulls(len(done))
-                first = _results(done, kind) | {"row": none.cast(pa.binary()), "place": none.cast(pa.int32()), "key": none.cast(pa.binary()), "chunk": none.cast(pa.binary())}
-                cols = list(zip(*rest, strict=True)) or [[]] * 5
-                none = pa.nulls(len(rest))
-                second = {
-                    "doc_id": pa.array(cols[0], kind),
-                    "n_tokens": none.cast(pa.int64()),
-                    "ids_sha256": none.cast(pa.string()),
-                    "decoded_sha256": none.cast(pa.string()),
-                    "row": pa.array(cols[1], pa.binary()),
-                    "place": pa.array(cols[2], pa.int32()),
-                    "key": pa.array(cols[3], pa.binary()),
-                    "chunk": pa.array(cols[4], pa.binary()),
-                }
-                yield pa.record_batch(first)
-                yield pa.record_batch(second)
+                ids = part.column("doc_id").to_pylist()
+                alone, whole, sent, own = [], [], [], []
+                for doc, chunks in zip(ids, block_chunks(data, offsets), strict=True):
+                    keys = [_key(c) for c in chunks]
+                    shared = bitmap.value.has(keys).tolist() if keys else []
+                    if not any(shared):
+                        alone.append(doc)
+                        whole.append(b"".join(chunks))
+                        continue
+                    row = uuid4().bytes
+                    for place, (again, run) in enumerate(groupby(zip(shared, keys, chunks, strict=True), key=itemgetter(0))):
+                        if again:
+                            sent += [{"doc_id": doc, "row": row, "place": place << 20 | i, "key": k, "chunk": c} for i, (_, k, c) in enumerate(run)]
+                        else:
+                            own.append(({"doc_id": doc, "row": row, "place": place << 20}, b"".join([c for _, _, c in run])))
+                done = [_digest(doc, *x) for doc, x in zip(alone, encoder.encode(whole), strict=True)]
+                sent += [name | p for (name, _), p in zip(own, encode_parts(encoder, [c for _, c in own]), strict=True)]
+                sent += [dict(zip(("doc_id", *_RESULT), x, strict=True)) for x in done]
+                yield pa.RecordBatch.from_pylist(sent, schema)
 
     def encode_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(vocabulary)
+        encoder = WordEncoder(vocabulary)
+        schema = pa.schema({"key": pa.binary()} | _PART)
         for batch in batches:
             for part, _, _ in blocks(batch, "chunk"):
-                cut = [_ends(c) for c in part.column("chunk").to_pylist()]
-                found = encoder.encode([between or b"" for _, between, _ in cut])
-                yield pa.record_batch(
-                    {
-                        "key": part.column("key"),
-                        "head": pa.array([c[0] for c in cut], pa.binary()),
-                        "spaced": pa.array([c[1] is not None for c in cut], pa.bool_()),
-                        "tail": pa.array([c[2] for c in cut], pa.binary()),
-                        "ids": pa.array([x[0] for x in found], pa.binary()),
-                        "decoded": pa.array([x[1] for x in found], pa.binary()),
-                    }
-                )
+                found = encode_parts(encoder, part.column("chunk").to_pylist())
+                yield pa.RecordBatch.from_pylist([{"key": k} | p for k, p in zip(part.column("key").to_pylist(), found, strict=True)], schema)
 
     def put_together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = ChunkEncoder(vocabulary)
+        encoder = WordEncoder(vocabulary)
         for batch in batches:
-            done = []
-            for row in batch.to_pylist():
-                parts = [(p["head"], b"" if p["spaced"] else None, p["tail"], p["ids"], p["decoded"]) for p in row["parts"]]
-                done.append(_digest(row["doc_id"], *join_chunks(parts, encoder)))
-            yield pa.record_batch(_results(done, batch.column("doc_id").type))
-
-    passed = written(
-        rows.mapInArrow(first_pass, f"doc_id {doc_kind}, {RESULT}, row binary, place int, key binary, chunk binary"), "passed"
-    )
-    parts = passed.filter("row IS NOT NULL")
-    encoded = written(
-        parts.select("key", "chunk").dropDuplicates(["key"]).mapInArrow(
-            encode_chunks, "key binary, head binary, spaced boolean, tail binary, ids binary, decoded binary"
-        ),
-        "encoded",
-    )
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                found = join_parts(encoder, part.column("parts").to_pylist())
+                yield _results([_digest(d, *x) for d, x in zip(part.column("doc_id").to_pylist(), found, strict=True)], batch.column("doc_id").type)
+
+    result = "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    passed = written(rows.mapInArrow(first_pass, f"doc_id {doc_kind}, {result}, row binary, place int, key binary, chunk binary, {_PART_SQL}"), "passed")
+    recurs = passed.filter("key IS NOT NULL")
+    encoded = written(recurs.select("key", "chunk").dropDuplicates(["key"]).mapInArrow(encode_chunks, f"key binary, {_PART_SQL}"), "encoded")
     # A chunk may stand in any number of texts: a plain join of two shuffles, split at run time where a key is hot.
-    placed = written(parts.select("doc_id", "row", "place", "key").join(encoded, "key").drop("key"), "placed")
-    whole = placed.groupBy("row", "doc_id").agg(F.sort_array(F.collect_list(F.struct("place", "head", "spaced", "tail", "ids", "decoded"))).alias("parts"))
-    joined = whole.select("doc_id", "parts").mapInArrow(put_together, f"doc_id {doc_kind}, {RESULT}")
+    columns = ("doc_id", "row", "place", "head", "spaced", "tail", "ids")
+    placed = recurs.select("doc_id", "row", "place", "key").join(encoded, "key").select(*columns)
+    placed = placed.unionByName(passed.filter("row IS NOT NULL AND key IS NULL").select(*columns))
+    whole = placed.groupBy("row").agg(F.any_value("doc_id").alias("doc_id"), F.sort_array(F.collect_list(F.struct("place", "head", "spaced", "tail", "ids"))).alias("parts"))
+    joined = whole.select("doc_id", "parts").mapInArrow(put_together, f"doc_id {doc_kind}, {result}")
     return passed.filter("row IS NULL").select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").unionByName(joined)
 
 

@@ -1,21 +1,25 @@
-"""Token ids of texts, word by word with a bounded memory of words seen; the same ids as the library gives for the text.
+"""Token ids of whole texts: the ids of the tokenizers library.
 
-A text is cut only where no token can cross: before ASCII white space that follows another character. Each piece is
-encoded by the library once and remembered. Texts with other white space are handed to the library whole.
+Texts of usual characters go through a faster library that is given the same vocabulary; all others through the
+library whose ids are wanted. tests/llm/test_tokens.py compares both on texts of all kinds.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
+import unicodedata
+from array import array
 
 import numpy as np
+import public_tokenizers
+import tiktoken
 
-REMEMBERED = 300_000
-LONGEST = 64
-#: White space outside ASCII, and separators that some patterns count as such.
-_OTHER_SPACE = re.compile(r"[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200d\u2028\u2029\u202f\u205f\u2060\u3000\ufeff]")
-_WITH_SPACE = re.compile(r"\s*\S+|\s+", re.ASCII)
+#: Characters whose class, case and composition no version of Unicode changed: ASCII and Latin letters, less the white
+#: space outside ASCII and the zero byte. Texts of these are encoded by the faster library with the same vocabulary.
+_UNUSUAL = re.compile(r"[^\x01-\x1b\x20-\x84\x86-\x9f\xa1-\u024f]")
+_END_OF_WORD = "\0"
 
 
 def load(path: str):
@@ -29,46 +33,83 @@ def load(path: str):
     return tokenizer
 
 
-class Encoder:
-    """Pieces to ids as little-endian 32-bit bytes, and to their decoded text if wanted."""
+def _usual(kind: str) -> str:
+    """The usual characters of a class (L: letters, N: numbers), for a set in a pattern."""
+    return "".join(c for c in map(chr, range(1, 0x250)) if unicodedata.category(c)[0] == kind)
 
-    def __init__(self, path: str, decode: bool = False):
+
+def _byte_letters() -> dict[str, int]:
+    """The byte each letter of a byte-level vocabulary stands for: printable ones for themselves, the rest from U+0100."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in printable]
+    return {chr(b): b for b in printable} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def _ranks(path: str) -> tuple[dict[bytes, int], dict[str, int], dict]:
+    """Ranks by the bytes of a token (a zero byte ends a word), special tokens, and the file's content."""
+    with open(path, encoding="utf-8") as file:
+        content = json.load(file)
+    letters, ending = _byte_letters(), content["model"]["end_of_word_suffix"] or ""
+    special = {t["content"]: t["id"] for t in content["added_tokens"]}
+    ranks = {}
+    for token, number in content["model"]["vocab"].items():
+        if token not in special:
+            ends = bool(ending) and token.endswith(ending) and token != ending
+            ranks[bytes(letters[c] for c in token[: len(token) - len(ending) * ends]) + b"\0" * ends] = number
+    return ranks, special, content
+
+
+class SpaceEncoder:
+    """For vocabularies that join a space with the word after it: whole texts to ids as little-endian 32-bit bytes."""
+
+    def __init__(self, path: str):
+        self.tokenizer = load(path)
+        ranks, special, _ = _ranks(path)
+        self.fast = tiktoken.Encoding("fast", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        out = []
+        for t in texts:
+            if _UNUSUAL.search(t):
+                ids = self.tokenizer.encode(t, add_special_tokens=False).ids
+            else:
+                ids = self.fast.encode(t, allowed_special="all")
+            out.append(array("I", ids).tobytes())
+        return out
+
+
+class WordEncoder:
+    """For vocabularies that drop white space and mark ends of words: UTF-8 to (ids as bytes, decoded text as UTF-8)."""
+
+    def __init__(self, path: str):
         self.tokenizer = load(path)
-        self.decode = decode
-        self.seen: dict = {}
-
-    def _encode(self, pieces: list[str]) -> list:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
-        packed = [np.array(x, "<u4").tobytes() for x in ids]
-        if not self.decode:
-            return packed
-        return list(zip(packed, self.tokenizer.decode_batch(ids, skip_special_tokens=False), strict=True))
-
-    def learn(self, pieces: set[str]) -> None:
-        """Remember all these pieces, so that get() finds them until the next call."""
-        new = [p for p in pieces if p not in self.seen]
-        if len(self.seen) + len(new) > REMEMBERED:
-            self.seen.clear()
-            new = list(pieces)
-        for i in range(0, len(new), 4096):
-            part = new[i : i + 4096]
-            self.seen.update(zip(part, self._encode(part), strict=True))
-
-    def get(self, piece: str):
-        return self.seen.get(piece) or self._encode([piece])[0]
-
-
-def pieces_with_space(text: str) -> list[str]:
-    """Cuts for vocabularies that join a space with the word after it."""
-    return [text] if _OTHER_SPACE.search(text) else _WITH_SPACE.findall(text)
-
-
-def encode_with_space(encoder: Encoder, texts: list[str]) -> list[bytes]:
-    """Ids of each text as bytes."""
-    cut = [pieces_with_space(t) for t in texts]
-    encoder.learn({p for c in cut for p in c if len(p) <= LONGEST})
-    seen = encoder.seen
-    out = []
-    for c in cut:
-        out.append(b"".join([seen[p] if p in seen else encoder.get(p) for p in c]))
-    return out
+        ranks, self.special, content = _ranks(path)
+        # Every piece is given a mark at its end, which joins with its last byte first: those pairs have the lowest ranks.
+        self.fast = tiktoken.Encoding("fast", pat_str=rf"[^{_END_OF_WORD}]+{_END_OF_WORD}", mergeable_ranks=ranks, special_tokens={})
+        pattern = content["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        for kind in "LN":
+            pattern = pattern.replace(rf"[\p{{{kind}}}]", f"[{_usual(kind)}]").replace(rf"\p{{{kind}}}", _usual(kind))
+        self.cut = re.compile(pattern)
+        # Without a decoder the library joins the tokens with spaces.
+        self.names = None
+        if self.tokenizer.decoder is None:
+            self.names = [(self.tokenizer.id_to_token(i) or "").encode() for i in range(self.tokenizer.get_vocab_size())]
+
+    def _ids(self, text: str) -> list[int]:
+        if _UNUSUAL.search(text) or any(x in text for x in self.special):
+            return self.tokenizer.encode(text, add_special_tokens=False).ids
+        pieces = self.cut.findall(text.lower())
+        return self.fast.encode_ordinary(_END_OF_WORD.join(pieces) + _END_OF_WORD) if pieces else []
+
+    def decode(self, ids: bytes) -> bytes:
+        numbers = np.frombuffer(ids, "<u4").tolist()
+        if self.names is None:
+            return self.tokenizer.decode(numbers, skip_special_tokens=False).encode()
+        names = self.names
+        return b" ".join([names[i] for i in numbers])
+
+    def ids(self, texts: list[bytes]) -> list[bytes]:
+        return [array("I", self._ids(t.decode())).tobytes() for t in texts]
+
+    def encode(self, texts: list[bytes]) -> list[tuple[bytes, bytes]]:
+        return [(ids, self.decode(ids)) for ids in self.ids(texts)]
