@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docpipe.llm.common import body, table, with_rank, written
-from docpipe.llm.tokens import Encoder, encode_with_space
+from docpipe.llm.tokens import SpaceEncoder
 from docpipe.llm.words import blocks
 
 SEQUENCE = 2048
@@ -44,12 +44,12 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = SEQUENCE, id_column
     rows = docs.select(F.col(id_column).alias("doc_id"), body(text_column).alias("text"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(vocabulary)
+        encoder = SpaceEncoder(vocabulary)
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             for part, _, _ in blocks(batch, "text"):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, ids in enumerate(encode_with_space(encoder, part.column("text").to_pylist())):
+                for i, ids in enumerate(encoder.encode(part.column("text").to_pylist())):
                     ids = memoryview(ids + end)
                     n = len(ids) // 4
                     stop, k = n - (n - 1) // capacity * capacity, 0
