@@ -7,6 +7,7 @@ they match is the same as with plain greedy loops.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,6 +82,11 @@ def _valid(kind: str, hit: Column, before: Column, after: Column) -> Column:
     return F.lit(True)
 
 
+def _once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), with value computed once however often use() mentions it: a lambda over a list of one names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _placed(hits: Column, gaps: Column) -> Column:
     """array<struct<hit, before, after, start, end>>: hits with their code-point positions, from the gaps between them.
 
@@ -122,15 +128,13 @@ def _placed(hits: Column, gaps: Column) -> Column:
             )
         )
 
-    # A lambda over a list of one gives the blocks a name, so that they are computed once.
-    return F.when(n > 0, F.get(F.transform(F.array(blocks), shifted), F.lit(0))).otherwise(F.array().cast(empty))
+    return F.when(n > 0, _once(blocks, shifted)).otherwise(F.array().cast(empty))
 
 
 def _spans_of(kind: Kind, text: Column) -> Column:
     """array<struct<kind, start, end, score>> of one kind: confirmed, and scored with the words nearby."""
-    hits = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
-    gaps = F.split(text, kind.pattern, -1)
-    good = F.filter(_placed(hits, gaps), lambda s: _valid(kind.name, s["hit"], s["before"], s["after"]))
+    proposed = F.struct(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("hits"), F.split(text, kind.pattern, -1).alias("gaps"))
+    good = F.filter(_once(proposed, lambda p: _placed(p["hits"], p["gaps"])), lambda s: _valid(kind.name, s["hit"], s["before"], s["after"]))
 
     def scored(s: Column) -> Column:
         near = F.lower(F.concat_ws(" ", F.right(s["before"], F.lit(NEAR)), F.left(s["after"], F.lit(NEAR))))
