@@ -102,7 +102,7 @@ def fit_prior(hosts: DataFrame, rule: str) -> Prior:
     mean = row["mean"] or 0.0
     chance = mean * (1 - mean)
     excess = (row["spread"] or 0.0) - chance * (row["small"] or 0.0)
-    weight = chance / excess - 1 if excess > 0 and chance > excess else 100.0
+    weight = chance / excess - 1 if excess > 0 else 100.0
     weight = min(max(weight, 1.0), 10_000.0)
     return Prior(mean * weight + 1e-6, (1 - mean) * weight + 1e-6)
 
@@ -140,7 +140,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _sql() -> str:
     def prior(rule: str) -> str:
-        return f"""(SELECT {{part}} FROM (SELECT mean, CASE WHEN excess > 0 AND mean * (1 - mean) > excess
+        return f"""(SELECT {{part}} FROM (SELECT mean, CASE WHEN excess > 0
             THEN least(greatest(mean * (1 - mean) / excess - 1, 1), 10000) ELSE 100 END AS w FROM (
                 SELECT avg({rule} / n) AS mean, coalesce(var_samp({rule} / n), 0) - avg({rule} / n) * (1 - avg({rule} / n)) * avg(1 / n) AS excess FROM hosts)))"""
 

@@ -1,7 +1,7 @@
 """WARC archives: one gzip member per record, written by tasks and read in byte ranges.
 
 A reading task scans its range for the first bytes of a gzip member, takes a candidate for a member if it decodes to a
-record's header and is followed by another member or the end of the file, and goes on from member to member. It owns
+record's header and other records follow it up to the end of the range, and goes on from member to member. It owns
 the records that start inside its range and reads beyond the end for the last of them. So files of any size are read by
 any number of tasks, without an index.
 """
@@ -148,30 +148,35 @@ def _is_record(file, at: int) -> bool:
     return head.startswith(b"warc/1.") and b"\ncontent-length:" in head and b"\nwarc-type:" in head
 
 
-def _is_chained(file, size: int, at: int) -> bool:
-    """Whether a record starts here, decodes whole, and another one or the end follows.
+def _is_chained(file, size: int, at: int, end: int) -> bool:
+    """Whether records follow one another from here to the end of the range or of the file.
 
-    The last condition tells records from archives that stand uncompressed inside a payload.
+    This tells records from those of an archive that stands uncompressed inside a payload: their chain breaks where
+    the payload ends.
     """
-    if not _is_record(file, at):
-        return False
-    member = Member(file, at)
-    try:
-        while member.some():
-            pass
-    except (zlib.error, EOFError):
-        return False
-    return member.end >= size or _is_record(file, member.end)
+    while at < min(end, size):
+        if not _is_record(file, at):
+            return False
+        member = Member(file, at)
+        try:
+            while member.some():
+                pass
+        except (zlib.error, EOFError):
+            return False
+        at = member.end
+    return True
 
 
 def _first(file, size: int, start: int, end: int) -> int | None:
     """Where the first record at or after start begins, if that is before end."""
+    if start == 0 and _is_record(file, 0):
+        return 0
     at = start
     while at < end:
         block = file.read_at(min(1 << 20, end - at) + len(MAGIC) - 1, at)
         found = block.find(MAGIC)
         while found >= 0:
-            if at + found < end and _is_chained(file, size, at + found):
+            if at + found < end and _is_chained(file, size, at + found, end):
                 return at + found
             found = block.find(MAGIC, found + 1)
         at += 1 << 20
@@ -206,12 +211,14 @@ def parse(record: bytes) -> dict:
 
 
 def records(file, size: int, start: int, end: int) -> Iterator[dict]:
-    """Records of a file that start in [start, end). Bytes between members that are no records are passed over."""
+    """Records of a file that start in [start, end). A file that holds anything but records one after another fails."""
     at = _first(file, size, start, end)
     while at is not None and at < end:
+        if not _is_record(file, at):
+            raise ValueError(f"no record at byte {at}")
         member = Member(file, at)
         yield parse(member.all())
-        at = member.end if member.end >= size or _is_record(file, member.end) else _first(file, size, member.end, end)
+        at = member.end
 
 
 _SCHEMA = pa.schema(
