@@ -5,8 +5,10 @@ permutation never share a band. Steps:
 
 1. every text becomes a set of word shingles, its digest and its signature; equal sets are one class from here on,
    whatever their number,
-2. classes that agree in a band meet at the band's smallest class (a pivot), not in pairs; later rounds use other pivots
-   for those that are still apart, and at last whoever is left meets whom it has not met,
+2. classes that agree in a band meet at one of the band's classes (a pivot, first the one that shares most bands), not
+   in pairs; later rounds use other pivots for those that are still apart. At last whoever is left meets those of other
+   components that it has not met, unless one of the two has too many shingles that occur nowhere else (such a pair
+   cannot reach the threshold, whatever the rest),
 3. a pair goes on if its signatures agree as far as those of similar sets do (six standard deviations below the
    threshold is enough), and is a link if the full sets confirm it,
 4. links are contracted to components round by round with min-label steps; links inside a component are not looked for.
@@ -159,6 +161,19 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _shingle_rows(size: int):
+    """(node, gram) for each distinct shingle of the texts (node, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part, data, offsets in blocks(batch, "text"):
+                gram, bounds = shingle_sets(data, offsets, size)
+                owner = np.repeat(np.arange(part.num_rows), np.diff(bounds))
+                yield pa.record_batch({"node": part.column("node").take(pa.array(owner)), "gram": gram.astype(np.int64)})
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root): the smallest node reachable, for all nodes of links (a, b) that are not roots themselves.
 
@@ -213,7 +228,7 @@ def near_duplicates(
     """
     described = written(describe(docs, size, id_column, text_column), "described")
     classes = described.filter("n_shingles > 0").groupBy("digest").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("bands").alias("bands"), F.any_value("low").alias("low")
+        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("bands").alias("bands"), F.any_value("low").alias("low"), F.any_value("n_shingles").alias("size")
     )
     classes = written(classes.withColumnRenamed("digest", "node"), "classes")
     exploded = classes.select("node", F.explode("bands").alias("band"))
@@ -238,21 +253,33 @@ def near_duplicates(
 
     def apart(members: DataFrame, labels: DataFrame) -> DataFrame:
         """Members (band, node, label) of the bands in which more than one component meets."""
-        known = members.select("band", "node").join(labels, "node")
+        known = members.drop("label").join(labels, "node")
         several = known.groupBy("band").agg((F.min("label") != F.max("label")).alias("several")).filter("several").select("band")
         return written(known.join(several, "band"), "members")
 
+    def overlaps(members: DataFrame) -> DataFrame:
+        """(node, size, most): how many of its shingles a class has in common with any other of these members at most."""
+        grams_of = members.select("node").distinct().join(texts, "node").mapInArrow(_shingle_rows(size), "node binary, gram long")
+        alone = grams_of.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.any_value("node").alias("node")).filter("n = 1")
+        alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
+        known = members.select("node").distinct().join(classes.select("node", "size"), "node").join(alone, "node", "left")
+        return written(known.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most")), "overlaps")
+
+    # The class with most shared bands is the middle of its group: the others are links of it sooner than of each other.
+    shared_bands = members.groupBy("node").agg(F.count(F.lit(1)).alias("shared_bands"))
+    open_members = written(members.join(shared_bands, "node").withColumn("label", F.col("node")), "members")
     tested = None
-    open_members = members.withColumn("label", F.col("node"))
     for turn in range(PIVOT_ROUNDS + 1):
         if turn < PIVOT_ROUNDS:
-            # In the first round a class has the same rank in all its bands, so that few different pairs arise.
-            rank = F.xxhash64("node", F.lit(turn), *(["band"] if turn else []))
+            rank = F.xxhash64("node", F.lit(turn), "band") if turn else -F.col("shared_bands")
             pivots = open_members.groupBy("band").agg(F.min(F.struct(rank.alias("rank"), "node", "label")).alias("pivot"))
             met = open_members.join(pivots, "band").filter("label != pivot.label").select(F.col("pivot.node").alias("x"), F.col("node").alias("y"))
         else:
-            other = open_members.select("band", F.col("node").alias("y"), F.col("label").alias("other"))
-            met = open_members.join(other, "band").filter("label < other").select(F.col("node").alias("x"), "y")
+            # Shingles that no other member has cannot be in an intersection; that leaves few pairs of a large group.
+            bounded = written(open_members.select("band", "node", "label").join(overlaps(open_members), "node"), "bounded")
+            other = bounded.select("band", F.col("node").alias("y"), F.col("label").alias("other"), F.col("size").alias("size_y"), F.col("most").alias("most_y"))
+            enough = f"{100 + percent} * least(most, most_y) >= {percent} * (size + size_y)"
+            met = bounded.join(other, "band").filter(f"label < other AND {enough}").select(F.col("node").alias("x"), "y")
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         labels = _relabel(labels, links(pairs))

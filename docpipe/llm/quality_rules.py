@@ -19,7 +19,7 @@ from docpipe.llm.words import blocks, grams, repeated, sums, words
 
 WINDOW = 8
 #: A host is rejected if the shrunk rate of any rule is above its limit.
-HOST_LIMITS = {"base": 0.6, "symbols": 0.6, "lines": 0.6}
+HOST_LIMITS = {"base": 0.9, "symbols": 0.9, "lines": 0.9}
 STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
 _SYMBOL = np.zeros(256, bool)
