@@ -10,8 +10,6 @@ MIN_SECTION_CHARS = 1_000
 CSV_INLINE_ROWS = 101
 # Data rows per CSV chunk.
 CSV_GROUP_ROWS = 100
-# Text of an archive member is cut to this many characters.
-MEMBER_TEXT_CHARS = 50_000
 # Chunk keys are cut to this many characters.
 KEY_CHARS = 60
 # A heading line has between these many characters after trimming.

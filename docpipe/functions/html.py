@@ -6,9 +6,11 @@ parsed expression is much cheaper to build than its hundreds of nodes one by one
 
 from __future__ import annotations
 
+from html.entities import html5
+
 # One tag, a stretch of text, or a lone "<". Quotes count only after "=", so a stray one ends nothing.
 ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+"""
-TOKEN = rf"</?[a-zA-Z]{ATTRIBUTES}>|[^<]++|<"
+TOKEN = rf"</?[a-zA-Z]{ATTRIBUTES}(?:>|\z)|[^<]++|<"
 # Comments, declarations, invisible elements, the html and body tags, and a tag cut off by the end of the page.
 NOISE = (
     r"(?is)<(?:!--.*?(?:-->|\z)"
@@ -69,7 +71,8 @@ def entity_table() -> dict[str, str]:
     bare = {**MARKUP_ENTITIES, **{name: chr(0xA0 + i) for i, name in enumerate(LATIN1_ENTITIES)}}
     table = {f"{name};": char for name, char in {**bare, **OTHER_ENTITIES}.items()}
     table.update(bare)
-    return table
+    # All names of the HTML standard.
+    return table | {name: char for name, char in html5.items() if name not in table}
 
 
 def quote(text: str) -> str:
@@ -85,7 +88,7 @@ def bind(value: str, name: str, body: str) -> str:
 def decode_entities(text: str) -> str:
     """Replace character references in one pass; unknown ones stay as they are. ``text`` should be a plain column."""
     # Folded into one constant when the plan is optimized.
-    entries = "\x02".join(f"{name}\x01{char}" for name, char in entity_table().items()).replace("'", "\\'")
+    entries = "\x02".join(f"{name}\x01{char}" for name, char in entity_table().items()).replace("\\", "\\\\").replace("'", "\\'")
     table = f"str_to_map('{entries}', '\x02', '\x01')"
     # More than eight digits, leading zeros aside, are no character, and could overflow.
     base = "CASE WHEN p RLIKE '^&#[xX]' THEN 16 ELSE 10 END"

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docpipe.constants import ARCHIVE_TEXT_EXTENSIONS, KEY_CHARS, MEMBER_TEXT_CHARS
+from docpipe.constants import ARCHIVE_TEXT_EXTENSIONS, KEY_CHARS
 from docpipe.functions.arrays import ordered_concat
 from docpipe.functions.text import trim
 
@@ -19,7 +19,7 @@ def _listed(members: DataFrame) -> DataFrame:
 
 
 def archive_index(members: DataFrame) -> DataFrame:
-    """One listing per archive. An archive has as many entries as fit into a response of limited size."""
+    """One listing per archive, of names and sizes only."""
     line = F.concat("entry_name", F.lit("  ("), F.col("size").cast("string"), F.lit(" B)"))
     return (
         _listed(members)
@@ -51,9 +51,9 @@ def member_key(entry_name: Column) -> Column:
     return F.when(key == "", "file").otherwise(key)
 
 
-def archive_member_chunks(members: DataFrame, max_chars: int = MEMBER_TEXT_CHARS) -> DataFrame:
-    """The readable texts, trimmed and cut; empty ones are left out."""
-    return (
+def archive_member_chunks(members: DataFrame, preview_chars: int | None = None) -> DataFrame:
+    """The readable texts, trimmed and whole; empty ones are left out. ``preview_chars`` adds the column ``preview``."""
+    chunks = (
         archive_text_members(members)
         .withColumn("trimmed", trim(F.col("content")))
         .filter(F.col("trimmed") != "")
@@ -62,9 +62,10 @@ def archive_member_chunks(members: DataFrame, max_chars: int = MEMBER_TEXT_CHARS
             "entry_index",
             member_key(F.col("entry_name")).alias("key"),
             F.col("entry_name").alias("title"),
-            F.substring("trimmed", 1, max_chars).alias("content"),
+            F.col("trimmed").alias("content"),
         )
     )
+    return chunks if preview_chars is None else chunks.withColumn("preview", F.substring("content", 1, preview_chars))
 
 
 def archive_errors(members: DataFrame) -> DataFrame:
@@ -93,5 +94,7 @@ def split_archive(members: DataFrame) -> DataFrame:
     texts = archive_member_chunks(members)
     errors = archive_errors(members).drop("lone").withColumn("entry_index", F.lit((1 << 62)).cast("bigint"))
     rows = index.unionByName(texts).unionByName(errors)
+    # Members may be of any size: only their numbers are sorted, and the content is joined by the unique pair.
     position = F.row_number().over(Window.partitionBy("archive_id").orderBy("entry_index")) - 1
-    return rows.select("archive_id", position.alias("chunk_index"), "key", "title", "content")
+    places = rows.select("archive_id", "entry_index", position.alias("chunk_index"))
+    return rows.join(places, ["archive_id", "entry_index"]).select("archive_id", "chunk_index", "key", "title", "content")

@@ -166,7 +166,7 @@ def html_blocks(
     starts = F.col("boundary") & F.coalesce(tag.isin(H.BLOCK_TAGS), F.lit(False))
     is_open = starts & (kind != "close")
     language = F.regexp_extract(token, r"""(?i)\sclass\s*=\s*["']?[^"'>]*?language-([^\s"'>]+)""", 1)
-    first_number = F.regexp_extract(token, r"""(?i)\sstart\s*=\s*["']?(-?[0-9]{1,9})""", 1).try_cast("int")
+    first_number = F.regexp_extract(token, r"""(?i)\sstart\s*=\s*["']?(-?[0-9]+)""", 1).try_cast("bigint")
     return tokens.groupBy(*keys, "block").agg(
         F.max(F.when(is_open, tag)).alias("tag"),
         F.coalesce(F.max(F.when(F.col("boundary"), F.col("list_depth"))), F.lit(0)).alias("list_depth"),
@@ -250,7 +250,7 @@ def _markdown_blocks(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
         F.sum(F.when((tag == "blockquote") & (F.col("quote_depth") == 1), 1).otherwise(0)).over(running).alias("outer_quote"),
         F.sum(F.when(is_item, 1).otherwise(0)).over(level).alias("items_on_level"),
         F.last(F.when(list_open, tag), ignorenulls=True).over(level).alias("list_tag"),
-        F.last(F.when(list_open, F.struct(F.coalesce("start", F.lit(1)).alias("n"))), ignorenulls=True).over(level)["n"].alias("first_no"),
+        F.last(F.when(list_open, F.struct(F.coalesce("start", F.lit(1).cast("bigint")).alias("n"))), ignorenulls=True).over(level)["n"].alias("first_no"),
     ).withColumn(
         "items_before", F.last(F.when(list_open, F.col("items_on_level")), ignorenulls=True).over(level)
     )

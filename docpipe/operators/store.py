@@ -22,7 +22,8 @@ def record_status(records: DataFrame, as_of: AsOf) -> DataFrame:
 
 def live_records(records: DataFrame, as_of: AsOf) -> DataFrame:
     """Records that are not past retention, with status. The age test is a comparison the Parquet scan can use."""
-    kept = records.filter(F.col("fetched_at") >= L.expiry_cutoff(as_of))
+    # A record without a time counts as fresh here as in its status.
+    kept = records.filter((F.col("fetched_at") >= L.expiry_cutoff(as_of)) | F.col("fetched_at").isNull())
     return kept.withColumn("status", L.status(F.col("fetched_at"), as_of))
 
 
@@ -57,14 +58,17 @@ def chunk_lookup(
 ) -> DataFrame:
     """Content of the requested (record_id, key): the first chunk with that key of a live record.
 
+    Keys may repeat in a record. Requests with a column chunk_index name one chunk by its place as well.
+
     The first chunk per key is found on the narrow columns of the wanted records, combined before the shuffle; the
     content is then fetched by (record_id, chunk_index), which is unique. Few requests are broadcast by their size;
     many go through a join that can split a large group.
     """
-    wanted = requests.select("record_id", "key").distinct()
+    by = ["record_id", "key", "chunk_index"] if "chunk_index" in requests.columns else ["record_id", "key"]
+    wanted = requests.select(*by).distinct()
     wanted = wanted.join(live_records(records, as_of).select("record_id"), "record_id", "left_semi")
-    narrow = chunks.select("record_id", "key", "chunk_index").join(wanted, ["record_id", "key"], "left_semi")
-    hits = narrow.groupBy("record_id", "key").agg(F.min("chunk_index").alias("chunk_index"))
+    narrow = chunks.select("record_id", "key", "chunk_index").join(wanted, by, "left_semi")
+    hits = narrow if "chunk_index" in by else narrow.groupBy("record_id", "key").agg(F.min("chunk_index").alias("chunk_index"))
     return hits.join(
         chunks.select("record_id", "chunk_index", "title", "content"), ["record_id", "chunk_index"]
     ).select("record_id", "key", "chunk_index", "title", "content")

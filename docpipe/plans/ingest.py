@@ -1,30 +1,34 @@
 """The ingest job: responses in; results, records, chunks, originals and rejects out, all as tables.
 
 Steps that several others read are written first, to the work folder, and read back: that cuts lineage in a way that
-survives the loss of executors, and nothing is converted twice.
+survives the loss of executors. The work folder is removed when the tables are written.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docpipe.constants import INLINE_LIMIT_BYTES, SIZE_LIMIT_BYTES
+from docpipe.constants import INLINE_LIMIT_BYTES
 from docpipe.plans.route import classify, convert_html, route
 from docpipe.sources.responses import admitted, rejected
-from docpipe.sources.tables import chunk_rows, write_table
+from docpipe.sources.tables import chunk_rows, utc_day, write_table
 
 
 def work_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared one the cluster names; a local one only if it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="run-")
+    """A fresh folder below the shared one the cluster names, or below the warehouse if it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_work"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @dataclass(frozen=True)
 class Tables:
     """Where the job writes."""
@@ -53,7 +57,7 @@ def run_ingest(
     members: DataFrame | None = None,
     force_inline: bool = False,
     limit: int = INLINE_LIMIT_BYTES,
-    size_limit: int = SIZE_LIMIT_BYTES,
+    size_limit: int | None = None,
     mode: str = "append",
 ) -> Tables:
     spark = responses.sparkSession
@@ -65,9 +69,10 @@ def run_ingest(
 
     routed.results.select("doc.*", "url", "type", "inline", "data").write.mode(mode).parquet(tables.path("results"))
     write_table(chunk_rows(routed.chunks.select("doc.*", "chunk_index", "key", "title", "content")), tables.path("chunks"), mode)
-    records = routed.records.select("doc.record_id", "url", "content_type", "doc.fetched_at", F.to_date("doc.fetched_at").alias("fetched_date"))
+    records = routed.records.select("doc.record_id", "url", "content_type", "doc.fetched_at", utc_day(F.col("doc.fetched_at")).alias("fetched_date"))
     write_table(records, tables.path("records"), mode)
     routed.originals.select("doc.*", "key", "filename", "body").write.mode(mode).parquet(tables.path("originals"))
     rejects = rejected(responses, size_limit).unionByName(routed.rejects)
     rejects.write.mode(mode).parquet(tables.path("rejects"))
+    _remove(spark, work)
     return tables

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docpipe.constants import DELETE_AFTER_DAYS
 from docpipe.functions.labels import expiry_cutoff
-from docpipe.sources.tables import expired_dates
+from docpipe.sources.tables import expired_dates, utc_day
 
 
 def _drop_days(spark: SparkSession, path: str, before: str) -> int:
@@ -47,16 +47,17 @@ def apply_retention(
     records, chunks = spark.read.parquet(records_path), spark.read.parquet(chunks_path)
     past, boundary = expired_dates(as_of, days)
     cutoff = expiry_cutoff(as_of)
-    day = spark.range(1).select(F.to_date(cutoff).cast("string")).first()[0]
+    day = spark.range(1).select(utc_day(cutoff).cast("string")).first()[0]
     deleted = records.filter(past | (boundary & (F.col("fetched_at") < cutoff))).count()
 
     edge = records.filter(boundary)
     edge_chunks = chunks.filter(boundary)
     kept_chunks = edge_chunks.filter(F.col("created_at") >= cutoff)
-    if not edge_chunks.isEmpty():
-        _rewrite_day(edge_chunks, kept_chunks, chunks_path, day, spark)
+    # Records first: after a crash no record points to chunks that are gone.
     if not edge.isEmpty():
         _rewrite_day(edge, edge.filter(F.col("fetched_at") >= cutoff), records_path, day, spark)
-    _drop_days(spark, chunks_path, day)
     _drop_days(spark, records_path, day)
+    if not edge_chunks.isEmpty():
+        _rewrite_day(edge_chunks, kept_chunks, chunks_path, day, spark)
+    _drop_days(spark, chunks_path, day)
     return deleted

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from docpipe.functions.arrays import ordered_concat
 from docpipe.functions.text import slug
-from docpipe.sources.responses import spread
 
 AS_OF = "2024-01-31 12:00:00"
 DOCS_PER_BLOCK = 500
@@ -22,7 +21,7 @@ TURNS_PER_BLOCK = 100
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    return spread(df.select(*columns) if columns else df)
+    return df.select(*columns) if columns else df
 
 
 def pages(spark: SparkSession, sf_dir: str) -> DataFrame:

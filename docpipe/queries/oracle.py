@@ -454,7 +454,7 @@ add("archive_index", f"WITH {MEMBERS} SELECT archive_id, 'index' AS key, 'file i
 add("archive_text_members", f"WITH {MEMBERS} SELECT archive_id, entry_index, entry_name, size FROM texts")
 add(
     "archive_member_chunks",
-    f"WITH {MEMBERS} SELECT archive_id, entry_index, {MEMBER_KEY} AS key, entry_name AS title, substr(trimmed, 1, 2000) AS content FROM texts WHERE trimmed <> ''",
+    f"WITH {MEMBERS} SELECT archive_id, entry_index, {MEMBER_KEY} AS key, entry_name AS title, trimmed AS content FROM texts WHERE trimmed <> ''",
 )
 add(
     "archive_errors",
@@ -465,7 +465,7 @@ add(
     "archive_chunks",
     f"""WITH {MEMBERS}, c AS (
           SELECT archive_id, -1 AS pos, 'index' AS key, 'file index' AS title, length(content) AS n_chars FROM listings WHERE {ARCHIVE_NO} <> 0
-          UNION ALL SELECT archive_id, entry_index, {MEMBER_KEY}, entry_name, least(length(trimmed), 50000) FROM texts WHERE trimmed <> '' AND {ARCHIVE_NO} <> 0
+          UNION ALL SELECT archive_id, entry_index, {MEMBER_KEY}, entry_name, length(trimmed) FROM texts WHERE trimmed <> '' AND {ARCHIVE_NO} <> 0
           UNION ALL SELECT DISTINCT archive_id, 1000000000000, 'error', 'extraction error', 35 FROM members WHERE {ARCHIVE_NO} IN (0, 1))
         SELECT archive_id, row_number() OVER (PARTITION BY archive_id ORDER BY pos) - 1 AS chunk_index, key, title, n_chars::BIGINT AS n_chars FROM c""",
 )
@@ -529,7 +529,7 @@ add("list_records", f"WITH {RECORDS} SELECT record_id, url, fetched_at, {status(
 add(
     "resolve_records",
     f"""WITH {RECORDS} SELECT r.record_id, url, content_type, fetched_at, {status()} AS status, chunk_index, key, title, size_bytes
-        FROM crecs r LEFT JOIN (SELECT * FROM chunks WHERE title <> 'system') c ON r.record_id = c.record_id
+        FROM crecs r LEFT JOIN chunks c ON r.record_id = c.record_id
         WHERE {status()} <> 'expired' AND r.record_id IN (SELECT record_id FROM requests)""",
 )
 FIRST = "first AS (SELECT record_id, key, min(chunk_index) AS chunk_index FROM chunks GROUP BY record_id, key)"

@@ -138,7 +138,7 @@ def stream_ingest(spark, sf_dir):
         return staged.select("record_id", "url", "content_type", "fetched_at", "kind", "body_bytes")
 
     write_batches(stream, transform, f"{work}/out", f"{work}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{work}/out").drop("batch_id")
+    return spark.read.parquet(f"{work}/out").drop("stream", "batch_id")
 
 
 # ---- classification
@@ -352,7 +352,7 @@ def archive_text_members(spark, sf_dir):
 
 @query
 def archive_member_chunks(spark, sf_dir):
-    return A.archive_member_chunks(D.archive_members(spark, sf_dir), 2_000)
+    return A.archive_member_chunks(D.archive_members(spark, sf_dir))
 
 
 @query
@@ -436,7 +436,7 @@ def list_records(spark, sf_dir):
 @query
 def resolve_records(spark, sf_dir):
     return R.resolve_records(
-        D.conversation_records(spark, sf_dir), D.record_chunks(spark, sf_dir).filter(F.col("title") != "system"),
+        D.conversation_records(spark, sf_dir), D.record_chunks(spark, sf_dir),
         D.lookup_requests(spark, sf_dir), D.AS_OF,
     )
 

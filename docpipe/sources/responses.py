@@ -33,25 +33,21 @@ def stream_responses(spark: SparkSession, path: str, max_files: int | None = Non
     return reader.parquet(path)
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores on input that comes in fewer partitions than there are cores; larger input is left alone."""
-    spark = df.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def declared_length(content_length: Column) -> Column:
-    """Leading integer of the header value, null if there is none."""
-    return F.regexp_extract(content_length, r"^\s*([+-]?\d+)", 1).try_cast("decimal(38,0)")
+    """Leading integer of the header value as text without leading zeros, null if there is none; any number of digits."""
+    number = F.regexp_extract(content_length, r"^\s*([+-]?\d+)", 1)
+    return F.when(number != "", F.regexp_replace(number, r"^(-?)\+?0*(?=\d)", "$1"))
 
 
-def size_reject(limit: int = SIZE_LIMIT_BYTES) -> Column:
-    """Reason to reject a response for its size, null if it is fine. The declared length counts first."""
+def size_reject(limit: int | None = SIZE_LIMIT_BYTES) -> Column:
+    """Reason to reject a response for its size, null if it is fine (or without limit). The declared length counts first."""
+    if limit is None:
+        return F.lit(None).cast("string")
     declared = declared_length(F.col("content_length"))
     actual = F.octet_length("body")
     return F.when(
-        declared > limit,
-        F.concat(F.lit("Download too large: "), declared.cast("string"), F.lit(f" bytes exceeds {limit} byte limit")),
+        (F.length(declared) > len(str(limit))) & ~F.startswith(declared, F.lit("-")) | (declared.try_cast("decimal(38,0)") > limit),
+        F.concat(F.lit("Download too large: "), declared, F.lit(f" bytes exceeds {limit} byte limit")),
     ).when(
         actual > limit,
         F.concat(F.lit(f"Download exceeded {limit} byte limit after "), actual.cast("string"), F.lit(" bytes")),
@@ -59,26 +55,31 @@ def size_reject(limit: int = SIZE_LIMIT_BYTES) -> Column:
 
 
 def status_reject() -> Column:
-    return F.when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+    failed = F.when(F.col("status") >= 400, F.concat(F.lit("HTTP "), F.col("status").cast("string")))
+    return F.when(F.col("status").isNull(), "missing status").otherwise(failed)
+
+
+def body_reject() -> Column:
+    return F.when(F.col("body").isNull(), "missing body")
 
 
-def with_admission(responses: DataFrame, limit: int = SIZE_LIMIT_BYTES) -> DataFrame:
+def with_admission(responses: DataFrame, limit: int | None = SIZE_LIMIT_BYTES) -> DataFrame:
     """Adds ``stage`` and ``reason`` of the rejection, null for what is let through."""
-    reason = F.coalesce(size_reject(limit), status_reject())
-    stage = F.when(size_reject(limit).isNotNull(), "size").when(status_reject().isNotNull(), "status")
+    reason = F.coalesce(size_reject(limit), status_reject(), body_reject())
+    stage = F.when(size_reject(limit).isNotNull(), "size").when(status_reject().isNotNull(), "status").when(body_reject().isNotNull(), "body")
     return responses.withColumns({"stage": stage, "reason": reason})
 
 
-def admitted(responses: DataFrame, limit: int = SIZE_LIMIT_BYTES) -> DataFrame:
+def admitted(responses: DataFrame, limit: int | None = SIZE_LIMIT_BYTES) -> DataFrame:
     """Responses to process. The status test reaches the Parquet scan."""
-    return responses.filter((F.col("status") < 400) & size_reject(limit).isNull())
+    return responses.filter((F.col("status") < 400) & F.col("body").isNotNull() & size_reject(limit).isNull())
 
 
-def rejected(responses: DataFrame, limit: int = SIZE_LIMIT_BYTES) -> DataFrame:
+def rejected(responses: DataFrame, limit: int | None = SIZE_LIMIT_BYTES) -> DataFrame:
     return with_admission(responses, limit).filter(F.col("stage").isNotNull()).select("url", "stage", "reason")
 
 
-def raw_bodies(responses: DataFrame, limit: int = SIZE_LIMIT_BYTES) -> DataFrame:
+def raw_bodies(responses: DataFrame, limit: int | None = SIZE_LIMIT_BYTES) -> DataFrame:
     """Bodies without any conversion."""
     return admitted(responses, limit).select("url", "body")
 

@@ -24,6 +24,11 @@ def record_id(url: Column, fetched_at: Column) -> Column:
     return F.substring(F.sha2(source, 256), 1, 32)
 
 
+def utc_day(time: Column) -> Column:
+    """The day in UTC, whatever the zone of the session."""
+    return F.date_from_unix_date(F.floor(F.unix_micros(time) / 86_400_000_000).cast("int"))
+
+
 def record_rows(df: DataFrame) -> DataFrame:
     """One metadata row per response; no body."""
     return df.select(
@@ -31,7 +36,7 @@ def record_rows(df: DataFrame) -> DataFrame:
         "url",
         "content_type",
         "fetched_at",
-        F.to_date("fetched_at").alias("fetched_date"),
+        utc_day(F.col("fetched_at")).alias("fetched_date"),
     )
 
 
@@ -46,7 +51,7 @@ def chunk_rows(chunks: DataFrame) -> DataFrame:
         F.octet_length("content").cast("bigint").alias("size_bytes"),
         F.col("fetched_at").alias("created_at"),
         (F.col("fetched_at") + F.make_dt_interval(F.lit(STALE_AFTER_DAYS))).alias("expires_at"),
-        F.to_date("fetched_at").alias("fetched_date"),
+        utc_day(F.col("fetched_at")).alias("fetched_date"),
     )
 
 
@@ -68,5 +73,5 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
 
 def expired_dates(as_of: datetime, days: int) -> tuple[Column, Column]:
     """Conditions on ``fetched_date``: whole days that are past retention, and the one day that is so in part."""
-    cutoff = F.to_date(F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
+    cutoff = utc_day(F.lit(as_of).cast("timestamp") - F.make_dt_interval(F.lit(days)))
     return F.col("fetched_date") < cutoff, F.col("fetched_date") == cutoff

@@ -1,24 +1,41 @@
 """Ingest of responses as their files arrive.
 
 Every response is handled on its own, so the stream keeps no state: a micro-batch goes through the same functions as
-a batch job. A batch is written to its own partition and overwrites it, so that a repeated batch changes nothing.
+a batch job. A batch is written to its own partition, of its stream, and overwrites it: a repeated
+batch changes nothing, and a new checkpoint (which counts from 0 again) touches nothing of an earlier stream.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 
+def _stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The name of the stream that a checkpoint belongs to; a new checkpoint gets a new one, kept beside it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{checkpoint.rstrip('/')}.stream")
+    started = spark._jvm.org.apache.hadoop.fs.Path(checkpoint)
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(path) and fs.exists(started):
+        return fs.listStatus(path)[0].getPath().getName()
+    fs.delete(path, True)
+    name = uuid4().hex
+    fs.mkdirs(spark._jvm.org.apache.hadoop.fs.Path(path, name))
+    return name
+
+
 def write_batches(
     stream: DataFrame, transform: Callable[[DataFrame], DataFrame], out: str, checkpoint: str
 ) -> StreamingQuery:
     """Run ``transform`` on all available input, batch by batch, and write the rows to ``out``."""
 
+    name = _stream_id(stream.sparkSession, checkpoint)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        transform(batch).write.mode("overwrite").parquet(f"{out}/stream={name}/batch_id={batch_id}")
 
     return (
         stream.writeStream.foreachBatch(write)

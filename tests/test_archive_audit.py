@@ -35,7 +35,7 @@ def test_member_chunks(members):
         ("part", "a.md", "a.md", 1),
         ("x", "d_ber_Text.TXT", "d/Über Text.TXT", 5),
         ("x", "c", "c", 3),
-        ("x", "a" * 60, "a" * 70 + ".md", 50_000),
+        ("x", "a" * 60, "a" * 70 + ".md", 50_010),
     ]
 
 

@@ -91,3 +91,14 @@ def test_links(spark):
     df = spark.createDataFrame([(0, "<a href='/x'>a <b>b</b></a> c <a name=n>d</a><a href=\"/y?a&amp;b\">e")], "page_id long, html string")
     got = [(r.link_no, r.href, r.text) for r in H.html_links(df).orderBy("link_no").collect()]
     assert got == [(1, "/x", "a b"), (2, "/y?a&b", "e")]
+
+
+def test_unclosed_tags_take_linear_time(table):
+    html = "<a " * 200_000
+    assert [r.markdown for r in H.html_to_markdown(table([html], "html"), ["doc_id"]).collect()] == [""]
+
+
+def test_all_names_and_long_numbers(table):
+    html = "<p>&alpha; &Omega; &sum; &check; &bsol; &nosuch;</p><ol start='12345678901'><li>x</li></ol>"
+    text = H.html_to_markdown(table([html], "html"), ["doc_id"]).first().markdown
+    assert text.startswith("α Ω ∑ ✓") and "12345678901." in text and "&nosuch;" in text

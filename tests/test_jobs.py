@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from docpipe.operators import html as H
 from docpipe.operators import json_tokens as J
+from docpipe.constants import SIZE_LIMIT_BYTES
 from docpipe.plans.ingest import run_ingest
 from docpipe.plans.route import classify, route
 from docpipe.sources import responses as S
-from docpipe.sources.tables import record_id
+from docpipe.sources.tables import record_id, utc_day
 from docpipe.streaming.ingest import write_batches
 
 AT = datetime(2024, 1, 1, 10)
@@ -49,7 +50,7 @@ def members(spark, responses):
 
 @pytest.fixture(scope="module")
 def tables(responses, members, tmp_path_factory):
-    return run_ingest(responses, str(tmp_path_factory.mktemp("out")), members)
+    return run_ingest(responses, str(tmp_path_factory.mktemp("out")), members, size_limit=SIZE_LIMIT_BYTES)
 
 
 def rows(spark, tables, name):
@@ -138,13 +139,35 @@ def test_stream_equals_batch(spark, tmp_path):
 
     def run():
         write_batches(S.stream_responses(spark, source, 1), transform, out, str(tmp_path / "cp")).awaitTermination()
-        return sorted(map(str, spark.read.parquet(out).drop("batch_id").collect()))
+        return sorted(map(str, spark.read.parquet(out).drop("stream", "batch_id").collect()))
 
     batch = sorted(map(str, transform(S.read_responses(spark, source)).collect()))
     assert run() == batch
     # New files only: a second run adds what is new, and nothing twice.
     df.limit(1).withColumn("url", F.lit("http://b/1")).write.mode("append").parquet(source)
     assert len(run()) == len(batch) + 1
+    # A new checkpoint counts its batches from 0 again; what the first stream wrote stays.
+    write_batches(S.stream_responses(spark, source, 1), transform, out, str(tmp_path / "other")).awaitTermination()
+    assert spark.read.parquet(out).count() == 2 * (len(batch) + 1)
+
+
+def test_every_response_is_admitted_or_rejected(spark):
+    data = [("a", None, b"x", None), ("b", 200, None, None), ("c", 200, b"x", "9" * 60), ("d", 200, b"x", "0" * 60 + "1"), ("e", 500, None, None), ("f", 200, b"x", "-" + "9" * 50)]
+    df = spark.createDataFrame(data, "url string, status int, body binary, content_length string")
+    rejects = {r.url: (r.stage, r.reason) for r in S.rejected(df, 5).collect()}
+    assert {r.url for r in S.admitted(df, 5).collect()} == {"d", "f"}
+    assert rejects["a"] == ("status", "missing status") and rejects["b"] == ("body", "missing body")
+    assert rejects["c"][0] == "size" and "9" * 60 in rejects["c"][1] and rejects.keys() == {"a", "b", "c", "e"}
+    assert {r.url for r in S.admitted(df, None).collect()} == {"c", "d", "f"}
+
+
+def test_days_do_not_depend_on_the_zone(spark):
+    df = spark.sql("SELECT TIMESTAMP '2024-01-01 23:30:00 UTC' AS t")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        assert str(df.select(utc_day(F.col("t"))).first()[0]) == "2024-01-01"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
 def test_repeated_documents_stay_apart(spark):
