@@ -6,9 +6,9 @@ permutation never share a band. Steps:
 1. every text becomes a set of word shingles, its digest and its signature; equal sets are one class from here on,
    whatever their number,
 2. classes that agree in a band meet at one of the band's classes (a pivot, first the one that shares most bands), not
-   in pairs; later rounds use other pivots for those that are still apart. At last whoever is left meets those of other
-   components that it has not met, unless one of the two has too many shingles that occur nowhere else (such a pair
-   cannot reach the threshold, whatever the rest),
+   in pairs; another round uses other pivots for those that are still apart. At last whoever is left meets those of
+   other components with which it shares one of its rarest shingles, so early in both that the rest can suffice
+   (prefix and position filter, which lose no similar pair),
 3. a pair goes on if its signatures agree as far as those of similar sets do (six standard deviations below the
    threshold is enough), and is a link if the full sets confirm it,
 4. links are contracted to components round by round with min-label steps; links inside a component are not looked for.
@@ -24,7 +24,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docpipe.llm.common import body, table, text_hash, written
@@ -37,8 +37,8 @@ BANDS, BAND = 32, 5
 PERMUTATIONS = BANDS * BAND // 2
 #: Values (of 160) on which two signatures must agree: similar sets agree on 128 on average, with a deviation of 5.
 AGREE = 96
-#: Rounds with one pivot per band before all that is left is compared.
-PIVOT_ROUNDS = 3
+#: Rounds with one pivot per band, before those left are compared by their rarest shingles.
+PIVOT_ROUNDS = 2
 
 
 @dataclass(frozen=True)
@@ -257,13 +257,18 @@ def near_duplicates(
         several = known.groupBy("band").agg((F.min("label") != F.max("label")).alias("several")).filter("several").select("band")
         return written(known.join(several, "band"), "members")
 
-    def overlaps(members: DataFrame) -> DataFrame:
-        """(node, size, most): how many of its shingles a class has in common with any other of these members at most."""
-        grams_of = members.select("node").distinct().join(texts, "node").mapInArrow(_shingle_rows(size), "node binary, gram long")
-        alone = grams_of.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.any_value("node").alias("node")).filter("n = 1")
-        alone = alone.groupBy("node").agg(F.count(F.lit(1)).alias("alone"))
-        known = members.select("node").distinct().join(classes.select("node", "size"), "node").join(alone, "node", "left")
-        return written(known.select("node", "size", (F.col("size") - F.coalesce("alone", F.lit(0))).alias("most")), "overlaps")
+    def rarest(members: DataFrame) -> DataFrame:
+        """(gram, node, label, size, place): the rarest shingles of each class, as many as a partner must share one of.
+
+        Shingles are put in order of their number of classes; those of one class only take places but need no row.
+        """
+        open_nodes = members.select("node", "label").distinct().join(classes.select("node", "size"), "node")
+        grams_of = written(open_nodes.join(texts, "node").select("node", "text").mapInArrow(_shingle_rows(size), "node binary, gram long"), "grams")
+        common = grams_of.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        order = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "gram")
+        placed = grams_of.join(common, "gram", "left").withColumn("place", F.row_number().over(order) - 1).filter("n > 1")
+        placed = placed.select("node", "gram", "place").join(open_nodes, "node")
+        return written(placed.filter(f"100 * (size - place) >= {percent} * size"), "rarest")
 
     # The class with most shared bands is the middle of its group: the others are links of it sooner than of each other.
     shared_bands = members.groupBy("node").agg(F.count(F.lit(1)).alias("shared_bands"))
@@ -275,11 +280,11 @@ def near_duplicates(
             pivots = open_members.groupBy("band").agg(F.min(F.struct(rank.alias("rank"), "node", "label")).alias("pivot"))
             met = open_members.join(pivots, "band").filter("label != pivot.label").select(F.col("pivot.node").alias("x"), F.col("node").alias("y"))
         else:
-            # Shingles that no other member has cannot be in an intersection; that leaves few pairs of a large group.
-            bounded = written(open_members.select("band", "node", "label").join(overlaps(open_members), "node"), "bounded")
-            other = bounded.select("band", F.col("node").alias("y"), F.col("label").alias("other"), F.col("size").alias("size_y"), F.col("most").alias("most_y"))
-            enough = f"{100 + percent} * least(most, most_y) >= {percent} * (size + size_y)"
-            met = bounded.join(other, "band").filter(f"label < other AND {enough}").select(F.col("node").alias("x"), "y")
+            # The first shingle that two sets share, in the order of all, has few before it in both, if they are similar.
+            first = rarest(open_members)
+            other = first.select("gram", F.col("node").alias("y"), F.col("label").alias("other"), F.col("size").alias("size_y"), F.col("place").alias("place_y"))
+            enough = f"{100 + percent} * least(size - place, size_y - place_y) >= {percent} * (size + size_y)"
+            met = first.join(other, "gram").filter(f"label < other AND {enough}").select(F.col("node").alias("x"), "y")
         pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         pairs = written(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
         labels = _relabel(labels, links(pairs))
