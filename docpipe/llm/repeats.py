@@ -240,8 +240,9 @@ def repeated_passages(
     suffixes = described.select("text_key", F.explode(F.arrays_zip("keys", "places")).alias("s")).select("text_key", F.col("s.keys").alias("key"), F.col("s.places").alias("place"))
     # Copies give equal rows, so a hash that only one text has at one place has equal extremes.
     mark = F.xxhash64("text_key")
+    # Written first: then both sides of the join are plain shuffles, and a hash that very many texts have is split.
     several = suffixes.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low != high").select("key")
-    matching = written(suffixes.join(several, "key", "left_semi"), "matching")
+    matching = written(suffixes.join(written(several, "several"), "key", "left_semi"), "matching")
 
     # One row per text that matters, with its places; its words are read from one document that has it.
     wanted = matching.groupBy("text_key").agg(F.collect_set(F.struct("key", "place")).alias("wanted"))
