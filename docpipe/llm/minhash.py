@@ -278,7 +278,8 @@ def near_duplicates(
         if turn < PIVOT_ROUNDS:
             rank = F.xxhash64("node", F.lit(turn), "band") if turn else -F.col("shared_bands")
             pivots = open_members.groupBy("band").agg(F.min(F.struct(rank.alias("rank"), "node", "label")).alias("pivot"))
-            met = open_members.join(pivots, "band").filter("label != pivot.label").select(F.col("pivot.node").alias("x"), F.col("node").alias("y"))
+            # Both sides are plain shuffles, so that a band with very many classes is split at run time.
+            met = open_members.join(written(pivots, "pivots"), "band").filter("label != pivot.label").select(F.col("pivot.node").alias("x"), F.col("node").alias("y"))
         else:
             # The first shingle that two sets share, in the order of all, has few before it in both, if they are similar.
             first = rarest(open_members)
