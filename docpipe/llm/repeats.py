@@ -1,17 +1,16 @@
-"""Passages that repeat across documents, by sparse suffix arrays.
+"""Passages that repeat across documents, by windows around minimisers.
 
-Only suffixes at minimiser positions are kept: places chosen by the words around them, so that equal passages choose
-equal places. Steps:
+Minimisers are places chosen by the words around them, so that equal passages choose equal places. Steps:
 
 1. equal texts become one text from here on, whatever their number; each is reduced to its minimisers and a hash of the
    words that any long enough match shares to the right of its first minimiser,
-2. hashes that stand in more than one text name the suffixes that can match at all,
-3. these are sorted by the words that follow (and once more by those before), across the cluster by ranges, so that a
-   frequent passage is spread over tasks; neighbours of different texts are extended to both sides, to exact ends,
-4. matches of enough words are united per text and handed to all documents that have it.
+2. hashes that stand in more than one text name the minimisers around which anything can match at all,
+3. every window of LENGTH words that has its first smallest gram at such a minimiser is hashed whole; windows that more
+   than one text has are the repeats, so that no match depends on which texts are compared with which,
+4. windows are united per text and handed to all documents that have it.
 
-A match of LENGTH words or more has a minimiser within its first WINDOW words, hence at most WINDOW - 1 words to the
-left of it, and all words that decide on it lie within the LENGTH + WINDOW words a suffix carries.
+The first smallest gram of a window lies within its first WINDOW words and depends on the window alone. The hash of the
+words that follow it and the hash of the whole window are taken together, as 128 bits.
 """
 
 from __future__ import annotations
@@ -21,7 +20,6 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,139 +85,44 @@ def _describe(length: int, gram: int, window: int):
     return run
 
 
-def _suffixes(length: int, window: int):
-    """Rows of the suffixes at the wanted places: their words to the right, and to the left in reverse, as sortable bytes."""
+def _windows(length: int, gram: int, window: int):
+    """(key, hash, number, at) of each window of `length` words whose first smallest gram is at one of the places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
                 found = words(data, offsets)
-                # 32 bits per word in big-endian order sort like the sequence of words; 0 stands beyond the text.
-                codes = (found.hashes >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-                rows: dict[tuple, list[int]] = {}
-                wanted = part.column("wanted").to_pylist()
-                for d, text_key in enumerate(part.column("text_key").to_pylist()):
-                    own = codes[found.bounds[d] : found.bounds[d + 1]]
-                    framed = np.concatenate((np.zeros(window, np.uint32), own, np.zeros(length, np.uint32))).astype(">u4")
-                    for w in wanted[d]:
-                        p = w["place"]
-                        left = framed[p : p + window][::-1].tobytes()
-                        right = framed[p + window : p + window + length].tobytes()
-                        rows.setdefault((w["key"], right, left, text_key), []).append(p)
-                cols = list(zip(*rows, strict=True)) or [[]] * 4
+                hashes, at = grams(found, length)
+                if not len(at):
+                    continue
+                n = len(found.hashes)
+                small, where = grams(found, gram)
+                value = np.full(n, np.iinfo(np.uint64).max, np.uint64)
+                value[where] = small
+                least = _sliding(np.arange(n), window, lambda a, b: np.where(value[b] < value[a], b, a))[at]
+                keys, where = grams(found, _reach(length, window))
+                key = np.zeros(n, np.uint64)
+                key[where] = keys
+                places = part.column("places")
+                owner = np.repeat(np.arange(part.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
+                wanted = np.zeros(n, bool)
+                wanted[found.bounds[owner] + places.flatten().to_numpy()] = True
+                kept = wanted[least]
+                at, hashes, key = at[kept], hashes[kept], key[least[kept]]
+                text = np.searchsorted(found.bounds, at, side="right") - 1
+                number = part.column("number").to_numpy()
                 yield pa.record_batch(
                     {
-                        "key": pa.array(cols[0], pa.int64()),
-                        "right": pa.array(cols[1], pa.binary()),
-                        "left": pa.array(cols[2], pa.binary()),
-                        "text_key": pa.array(cols[3], pa.binary()),
-                        "at": pa.array(list(rows.values()), pa.list_(pa.int32())),
+                        "key": key.astype(np.int64),
+                        "hash": hashes.astype(np.int64),
+                        "number": number[text],
+                        "at": (at - found.bounds[text]).astype(np.int32),
                     }
                 )
 
     return run
 
 
-def _common(a: bytes, b: bytes) -> int:
-    """Words two contexts share from their start; words beyond a text are shared with nothing."""
-    differ = int.from_bytes(a) ^ int.from_bytes(b)
-    same = (8 * len(a) - differ.bit_length()) // 32
-    while same and a[4 * same - 4 : 4 * same] == b"\0\0\0\0":
-        same -= 1
-    return same
-
-
-_FOUND = pa.schema({"text_key": pa.binary(), "start": pa.int32(), "end": pa.int32()})
-
-
-class _Neighbours:
-    """Takes suffixes in order; each is compared with the nearest ones before it that are of another text."""
-
-    def __init__(self, length: int):
-        self.length = length
-        self.run: list[dict] = []  # the last suffixes, all of one text
-        self.other: dict | None = None  # the one before them
-        self.found: list[dict] = []
-
-    def add(self, row: dict) -> None:
-        if self.run and self.run[-1]["key"] != row["key"]:
-            self.run, self.other = [], None
-        if self.run and self.run[-1]["text_key"] == row["text_key"]:
-            self.run.append(row)
-            if self.other is not None:
-                self.compare(self.other, row)
-            return
-        for before in self.run:
-            self.compare(before, row)
-        self.other = self.run[-1] if self.run else None
-        self.run = [row]
-
-    def compare(self, a: dict, b: dict) -> None:
-        if a["text_key"] == b["text_key"]:
-            return
-        right, left = _common(a["right"], b["right"]), _common(a["left"], b["left"])
-        if right + left >= self.length:
-            for x in (a, b):
-                self.found += [{"text_key": x["text_key"], "start": p - left, "end": p + right} for p in x["at"]]
-
-    def take(self) -> pa.RecordBatch:
-        out, self.found = pa.RecordBatch.from_pylist(self.found, _FOUND), []
-        return out
-
-
-def _compare(length: int):
-    """Matches of sorted suffixes within a partition, and (as rows with a key) the suffixes at its two ends."""
-    edge = pa.schema([*_FOUND, *pa.schema({"key": pa.int64(), "right": pa.binary(), "left": pa.binary(), "at": pa.list_(pa.int32()), "part": pa.int32()})])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        neighbours = _Neighbours(length)
-        number = TaskContext.get().partitionId()
-        first: list[dict] = []  # the leading suffixes of one text and hash, and the one after them
-        ends = False
-        for batch in batches:
-            for row in batch.to_pylist():
-                if not ends:
-                    first.append(row)
-                    ends = row["text_key"] != first[0]["text_key"] or row["key"] != first[0]["key"]
-                neighbours.add(row)
-                if len(neighbours.found) > 10_000:
-                    yield pa.RecordBatch.from_pylist(neighbours.take().to_pylist(), edge)
-            yield pa.RecordBatch.from_pylist(neighbours.take().to_pylist(), edge)
-        last = ([neighbours.other] if neighbours.other else []) + neighbours.run
-        held: dict[tuple, dict] = {}
-        for row in first + last:
-            held[row["text_key"], row["right"], row["left"], row["key"]] = row | {"part": number}
-        yield pa.RecordBatch.from_pylist(list(held.values()), edge)
-
-    return run
-
-
-def _across(length: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        neighbours = _Neighbours(length)
-        for batch in batches:
-            for row in batch.to_pylist():
-                neighbours.add(row)
-        yield neighbours.take()
-
-    return run
-
-
-def _matches(context: DataFrame, order: tuple[str, ...], length: int) -> DataFrame:
-    """Matches (text_key, start, end) of neighbours in the given order."""
-    parts = int(context.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    compared = written(
-        context.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(
-            _compare(length), "text_key binary, start int, end int, key long, right binary, left binary, at array<int>, part int"
-        ),
-        "compared",
-    )
-    # A few suffixes per task: neighbours that the ranges have parted.
-    edges = compared.filter("key IS NOT NULL").repartition(1).sortWithinPartitions(*order, "part")
-    edges = edges.select("key", "right", "left", "text_key", "at").mapInArrow(_across(length), "text_key binary, start int, end int")
-    return compared.filter("key IS NULL").select("text_key", "start", "end").unionByName(edges)
-
-
 def repeated_passages(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -244,31 +147,26 @@ def repeated_passages(
     several = suffixes.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low != high").select("key")
     matching = written(suffixes.join(written(several, "several"), "key", "left_semi"), "matching")
 
-    # One row per text that matters, with its places; its words are read from one document that has it.
-    wanted = matching.groupBy("text_key").agg(F.collect_set(F.struct("key", "place")).alias("wanted"))
+    # One numbered row per text that matters, with its places; its words are read from one document that has it.
+    wanted = matching.groupBy("text_key").agg(F.collect_set("place").alias("places"))
     owner = described.groupBy("text_key").agg(F.min("doc_id").alias("_id"))
-    wanted = wanted.join(owner, "text_key")
+    wanted = written(wanted.join(owner, "text_key").withColumn("number", F.monotonically_increasing_id()), "wanted")
     hashed = rows.withColumn("_key", F.unhex(F.md5("text")))
     texts = hashed.join(wanted, (hashed["_key"] == wanted["text_key"]) & hashed["doc_id"].eqNullSafe(wanted["_id"]))
-    context = written(
-        texts.select("text_key", "text", "wanted").mapInArrow(_suffixes(length, window), "key long, right binary, left binary, text_key binary, at array<int>"),
-        "context",
+    windows = written(
+        texts.select("number", "text", "places").mapInArrow(_windows(length, gram, window), "key long, hash long, number long, at int"),
+        "windows",
     )
-    # The longest match to the right is a neighbour in the order of what follows, the longest to the left in the other.
-    found = _matches(context, ("key", "right", "left", "text_key"), length)
-    found = found.unionByName(_matches(context, ("key", "left", "right", "text_key"), length)).distinct()
-
-    # Stretches of a text, united: each starts where all before it have ended.
-    listed = found.groupBy("text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-
-    def unite(done, span):
-        last = F.element_at(done, -1)
-        joined = F.concat(
-            F.slice(done, 1, F.size(done) - 1), F.array(F.struct(last["start"].alias("start"), F.greatest(last["end"], span["end"]).alias("end")))
-        )
-        return F.when((F.size(done) > 0) & (F.try_element_at(done, F.lit(-1))["end"] >= span["start"]), joined).otherwise(F.concat(done, F.array(span)))
-
-    united = written(listed.select("text_key", F.aggregate("spans", F.array().cast("array<struct<start:int,end:int>>"), unite).alias("spans")), "united")
+    twice = windows.groupBy("key", "hash").agg(F.min("number").alias("low"), F.max("number").alias("high")).filter("low != high").select("key", "hash")
+    # Plain shuffles on both sides, so that a window that very many texts have is split at run time.
+    found = windows.join(written(twice, "twice"), ["key", "hash"], "left_semi").select("number", "at")
+
+    # Stretches of a text, united: one starts where no window before reaches, and ends where none behind begins.
+    listed = found.groupBy("number").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    starts = F.expr(f"filter(at, (x, i) -> i = 0 OR at[greatest(i - 1, 0)] + {length} < x)").alias("start")
+    ends = F.expr(f"transform(filter(at, (x, i) -> i = size(at) - 1 OR at[least(i + 1, size(at) - 1)] > x + {length}), x -> x + {length})").alias("end")
+    united = listed.select("number", F.arrays_zip(starts, ends).alias("spans"))
+    united = written(united.join(wanted.select("number", "text_key"), "number").select("text_key", "spans"), "united")
     shared = described.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
     facts = written(shared.join(united, "text_key", "left").filter("copies > 1 OR spans IS NOT NULL"), "facts")
     # A text may have any number of documents: two plain shuffles, so that a hot text is split at run time.

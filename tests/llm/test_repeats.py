@@ -64,3 +64,27 @@ def test_every_window_has_a_minimiser():
     data = np.frombuffer(" ".join(f"w{i * 7919 % 1000}" for i in range(2000)).encode(), np.uint8)
     at = minimisers(words(data, np.array([0, len(data)])))
     assert (np.diff(at) <= WINDOW).all() and at[0] < WINDOW and len(at) < 2000 / 8
+
+
+def test_lines_of_a_small_pool(documents):
+    """Texts put together from few lines: windows around one minimiser that very many texts have in other surroundings."""
+    rng = random.Random(11)
+    lines = [" ".join(f"l{k}x{i}" for i in range(rng.randint(10, 30))) for k in range(12)]
+    texts = ["\n".join(rng.choices(lines, k=rng.randint(4, 12))) for _ in range(120)]
+    assert run(documents(texts)) == brute(list(enumerate(texts)))
+
+
+def test_a_match_between_better_neighbours(documents):
+    """A and C share 56 words, but in either order A stands next to texts that share more with it on one side."""
+    word = iter(f"q{i}" for i in range(10**6))
+    fresh = lambda n: [next(word) for _ in range(n)]
+    middle = fresh(140)
+    # Every cut around every word, so that some of them lies at a minimiser as described.
+    texts = [" ".join(middle)]
+    for i in range(45, 90):
+        for left, right in ((20, 36), (4, 45), (21, 28)):
+            for _ in range(2 if left != 20 else 1):
+                texts.append(" ".join(fresh(30) + middle[i - left : i + right] + fresh(30)))
+    rows = list(enumerate(texts))
+    alone = [texts[0], texts[1]]
+    assert run(documents(texts)) == brute(rows) and run(documents(alone)) == brute(list(enumerate(alone)))
