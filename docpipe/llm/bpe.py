@@ -171,7 +171,7 @@ def _digest(doc, ids: bytes, text: bytes) -> tuple:
 
 _RESULT = {"n_tokens": pa.int64(), "ids_sha256": pa.string(), "decoded_sha256": pa.string()}
 _PART = {"head": pa.binary(), "spaced": pa.bool_(), "tail": pa.binary(), "ids": pa.binary()}
-_SENT = {"row": pa.binary(), "place": pa.int32(), "key": pa.binary(), "chunk": pa.binary()}
+_SENT = {"row": pa.binary(), "place": pa.int64(), "key": pa.binary(), "chunk": pa.binary()}
 _PART_SQL = "head binary, spaced boolean, tail binary, ids binary"
 
 
@@ -212,9 +212,9 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_column:
                     row = uuid4().bytes
                     for place, (again, run) in enumerate(groupby(zip(shared, keys, chunks, strict=True), key=itemgetter(0))):
                         if again:
-                            sent += [{"doc_id": doc, "row": row, "place": place << 20 | i, "key": k, "chunk": c} for i, (_, k, c) in enumerate(run)]
+                            sent += [{"doc_id": doc, "row": row, "place": place << 32 | i, "key": k, "chunk": c} for i, (_, k, c) in enumerate(run)]
                         else:
-                            own.append(({"doc_id": doc, "row": row, "place": place << 20}, b"".join([c for _, _, c in run])))
+                            own.append(({"doc_id": doc, "row": row, "place": place << 32}, b"".join([c for _, _, c in run])))
                 done = [_digest(doc, *x) for doc, x in zip(alone, encoder.encode(whole), strict=True)]
                 sent += [name | p for (name, _), p in zip(own, encode_parts(encoder, [c for _, c in own]), strict=True)]
                 sent += [dict(zip(("doc_id", *_RESULT), x, strict=True)) for x in done]
@@ -237,7 +237,7 @@ def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_column:
                 yield _results([_digest(d, *x) for d, x in zip(part.column("doc_id").to_pylist(), found, strict=True)], batch.column("doc_id").type)
 
     result = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    passed = written(rows.mapInArrow(first_pass, f"doc_id {doc_kind}, {result}, row binary, place int, key binary, chunk binary, {_PART_SQL}"), "passed")
+    passed = written(rows.mapInArrow(first_pass, f"doc_id {doc_kind}, {result}, row binary, place long, key binary, chunk binary, {_PART_SQL}"), "passed")
     recurs = passed.filter("key IS NOT NULL")
     encoded = written(recurs.select("key", "chunk").dropDuplicates(["key"]).mapInArrow(encode_chunks, f"key binary, {_PART_SQL}"), "encoded")
     # A chunk may stand in any number of texts: a plain join of two shuffles, split at run time where a key is hot.

@@ -80,6 +80,18 @@ def test_encode_documents(odd, none):
     assert encode_documents(none).count() == 0
 
 
+def test_many_alternations(documents):
+    """A text that alternates shared and own passages more often than a narrow number of the run could tell."""
+    rng = np.random.default_rng(8)
+    passage = lambda: rng.integers(97, 107, 4000, dtype=np.uint8).tobytes().decode().replace("a", " ")
+    shared = [passage() for _ in range(20)]
+    long = " ".join(x for i in range(1300) for x in (shared[i % 20], passage()))
+    source = [long, *shared]
+    library = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    rows = encode_documents(documents(source)).collect()
+    assert {r.doc_id: tuple(r)[1:] for r in rows} == {i: expected_digest(library, t) for i, t in enumerate(source)}
+
+
 @pytest.mark.parametrize("capacity", [2048, 16])
 def test_pieces(odd, none, capacity):
     path = public_tokenizers.path("byte_bpe_50k.json")
