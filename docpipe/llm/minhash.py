@@ -240,7 +240,8 @@ def near_duplicates(
     wanted = nodes.join(classes, "node").select("node", F.col("first.doc_id").alias("_id"), F.col("first.text_hash").alias("text_hash"))
     rows = _rows(docs, id_column, text_column)
     texts = rows.join(wanted, (rows["doc_id"].eqNullSafe(wanted["_id"])) & (rows["text_hash"] == wanted["text_hash"]))
-    texts = written(texts.select("node", "text"), "texts")
+    # Rows that repeat (doc_id, text) give their class one text, and its shingles once.
+    texts = written(texts.select("node", "text").dropDuplicates(["node"]), "texts")
     low = classes.select("node", "low")
 
     def links(pairs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from docpipe.llm import minhash
 from docpipe.llm.minhash import components, describe, near_duplicates, shingle_sets, signatures
 
 
@@ -56,6 +57,24 @@ def test_chains_reach_across(documents):
     assert len({c for _, c in expected.values()}) < 12
 
 
+def test_repeated_rows_in_the_last_round(documents, monkeypatch):
+    """Rows that repeat whole add nothing to the shingles of their class, which the last round puts in order."""
+    monkeypatch.setattr(minhash, "PIVOT_ROUNDS", 0)
+    rng = random.Random(3)
+    texts = []
+    for k in range(40):
+        words = [f"t{k}w{i}" for i in range(121)]
+        texts.append(" ".join(words))
+        for at in rng.sample(range(5, 115, 10), 6):
+            words[at] = f"n{k}x{at}"
+        texts.append(" ".join(words))
+    rows = [(i, t) for i, t in enumerate(texts) for _ in range(3)]
+    expected = brute(list(enumerate(texts)), 2)
+    got = near_duplicates(documents([t for _, t in rows], [i for i, _ in rows]), 2).collect()
+    assert len(got) == len(rows) and {r.doc_id: (r.n_shingles, r.component_id) for r in got} == expected
+    assert len({c for _, c in expected.values()}) == 40
+
+
 def test_odd_rows(odd, none):
     rows = near_duplicates(odd, 2).collect()
     assert len(rows) == odd.count()
