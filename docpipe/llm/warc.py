@@ -2,8 +2,9 @@
 
 A reading task scans its range for the first bytes of a gzip member, takes a candidate for a member if it decodes to a
 record's header and other records follow it up to the end of the range, and goes on from member to member. It owns
-the records that start inside its range and reads beyond the end for the last of them. So files of any size are read by
-any number of tasks, without an index.
+the records that start inside its range and reads beyond the end for the last of them, up to the header of the next.
+Where the chain of the first candidate breaks, the records are followed from the start of the file: a damaged file
+fails. So files of any size are read by any number of tasks, without an index.
 """
 
 from __future__ import annotations
@@ -28,7 +29,6 @@ SMALLEST_REVISIT = 0
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 MAGIC = b"\x1f\x8b\x08"
 STEP = 1 << 16
-LONGEST_HEADER = 1 << 20
 RECORD = "record_type string, record_id string, target_uri string, payload_digest string, payload_bytes long, refers_to string, payload binary"
 
 
@@ -132,57 +132,78 @@ class Member:
 
 
 def _is_record(file, at: int) -> bool:
-    """Whether a member with a record's header starts here."""
+    """Whether a member with a record's header starts here. A header may have any length."""
     if file.read_at(3, at) != MAGIC:
         return False
-    member, seen = Member(file, at), b""
+    member, seen = Member(file, at), bytearray()
     try:
-        while b"\r\n\r\n" not in seen and len(seen) < LONGEST_HEADER:
-            more = member.some()
-            if not more:
-                break
+        while more := member.some():
+            before = max(0, len(seen) - 3)
             seen += more
+            if not b"warc/1.".startswith(seen[:7].lower()):
+                return False
+            if seen.find(b"\r\n\r\n", before) >= 0:
+                break
     except (zlib.error, EOFError):
         return False
     head = seen.partition(b"\r\n\r\n")[0].lower()
     return head.startswith(b"warc/1.") and b"\ncontent-length:" in head and b"\nwarc-type:" in head
 
 
+def _after(file, at: int) -> int:
+    """Where the record that starts here ends. Fails if there is none, or not all of it."""
+    if not _is_record(file, at):
+        raise ValueError(f"no record at byte {at}")
+    member = Member(file, at)
+    try:
+        while member.some():
+            pass
+    except (zlib.error, EOFError) as e:
+        raise ValueError(f"broken record at byte {at}") from e
+    return member.end
+
+
 def _is_chained(file, size: int, at: int, end: int) -> bool:
     """Whether records follow one another from here to the end of the range or of the file.
 
     This tells records from those of an archive that stands uncompressed inside a payload: their chain breaks where
     the payload ends.
     """
-    while at < min(end, size):
-        if not _is_record(file, at):
-            return False
-        member = Member(file, at)
-        try:
-            while member.some():
-                pass
-        except (zlib.error, EOFError):
-            return False
-        at = member.end
+    try:
+        while at < min(end, size):
+            at = _after(file, at)
+    except ValueError:
+        return False
     return True
 
 
 def _first(file, size: int, start: int, end: int) -> int | None:
     """Where the first record at or after start begins, if that is before end."""
-    if start == 0 and _is_record(file, 0):
+    if start == 0:
         return 0
     at = start
     while at < end:
         block = file.read_at(min(1 << 20, end - at) + len(MAGIC) - 1, at)
         found = block.find(MAGIC)
         while found >= 0:
-            if at + found < end and _is_chained(file, size, at + found, end):
-                return at + found
+            if at + found < end and _is_record(file, at + found):
+                return at + found if _is_chained(file, size, at + found, end) else _followed(file, start, end)
             found = block.find(MAGIC, found + 1)
         at += 1 << 20
     return None
 
 
+def _followed(file, start: int, end: int) -> int | None:
+    """As _first, by following the records from the start of the file; fails where they break before the range.
+
+    A chain that breaks is of an archive inside a payload or of a damaged file: only the start of the file can tell.
+    """
+    at = 0
+    while at < start:
+        at = _after(file, at)
+    return at if at < end else None
+
+
 def parse(record: bytes) -> dict:
     head, _, rest = record.partition(b"\r\n\r\n")
     fields = {}
@@ -211,14 +232,23 @@ def parse(record: bytes) -> dict:
 
 
 def records(file, size: int, start: int, end: int) -> Iterator[dict]:
-    """Records of a file that start in [start, end). A file that holds anything but records one after another fails."""
-    at = _first(file, size, start, end)
+    """Records of a file that start in [start, end). A file that holds anything but records one after another fails.
+
+    Whatever stands behind the last good record of a file is met by the range that has this record.
+    """
+    at = first = _first(file, size, start, end)
     while at is not None and at < end:
         if not _is_record(file, at):
             raise ValueError(f"no record at byte {at}")
         member = Member(file, at)
-        yield parse(member.all())
+        try:
+            record = member.all()
+        except (zlib.error, EOFError) as e:
+            raise ValueError(f"broken record at byte {at}") from e
+        yield parse(record)
         at = member.end
+    if first is not None and first < end <= at < size and not _is_record(file, at):
+        raise ValueError(f"no record at byte {at}")
 
 
 _SCHEMA = pa.schema(

@@ -1,5 +1,6 @@
 import gzip
 import io
+import random
 import zlib
 
 import pyarrow as pa
@@ -54,6 +55,48 @@ def test_every_split_of_a_file_with_an_archive_inside():
         assert found == ["first", "outer", "last"]
 
 
+class Bytes(io.BytesIO):
+    def read_at(self, n, at):
+        return self.getvalue()[at : at + n]
+
+
+def read_all(data, split):
+    return [r for a in range(0, len(data), split) for r in records(Bytes(data), len(data), a, min(a + split, len(data)))]
+
+
+def members(n, extra=()):
+    return [_member([("WARC-Type", "response"), ("WARC-Record-ID", f"<r{i}>"), *extra], b"%d" % (i * 7919) * 50) for i in range(n)]
+
+
+SPLITS = [100, 150, 333, 700, 1000, 1 << 20]
+
+
+@pytest.mark.parametrize("split", SPLITS)
+def test_damaged_files_fail_at_every_split(split):
+    """Cut off, with bytes behind the last record, with a damaged record or something else between: never fewer records."""
+    good = members(12)
+    whole = b"".join(good)
+    assert [r["record_id"] for r in read_all(whole, split)] == [f"r{i}" for i in range(12)]
+    at = len(b"".join(good[:6]))
+    other = zlib.compressobj(6, zlib.DEFLATED, 31)
+    other = other.compress(b"no record") + other.flush()
+    damaged = [whole[:-k] for k in (1, 9, len(good[-1]) - 5)]
+    damaged += [whole + b"tail", whole + b"\0" * 900, b"x" + whole, whole[:at] + other + whole[at:]]
+    damaged += [whole[: at + k] + b"\xff" * 20 + whole[at + k + 20 :] for k in (0, 40)]
+    for data in damaged:
+        with pytest.raises(ValueError):
+            read_all(data, split)
+
+
+@pytest.mark.parametrize("split", [100_000, 1 << 20, 1 << 23])
+def test_headers_of_any_length(split):
+    """A header above 1 MiB, with records before and behind it."""
+    url = "http://a/" + random.Random(1).randbytes(3 << 19).hex()
+    data = b"".join(members(5) + members(1, [("WARC-Target-URI", url)]) + members(5))
+    found = read_all(data, split)
+    assert len(found) == 11 and [r["target_uri"] for r in found] == [None] * 5 + [url] + [None] * 5
+
+
 def test_no_pages(spark):
     none = spark.createDataFrame([], "page_id long, url string, payload binary")
     assert read_warc(write_warc(revisits(none), f"{scratch(spark)}/warc")).count() == 0
