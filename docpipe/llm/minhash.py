@@ -228,7 +228,7 @@ def near_duplicates(
     """
     described = written(describe(docs, size, id_column, text_column), "described")
     classes = described.filter("n_shingles > 0").groupBy("digest").agg(
-        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.any_value("bands").alias("bands"), F.any_value("low").alias("low"), F.any_value("n_shingles").alias("size")
+        F.min(F.struct("doc_id", "text_hash")).alias("first"), F.min("doc_id").alias("least_id"), F.any_value("bands").alias("bands"), F.any_value("low").alias("low"), F.any_value("n_shingles").alias("size")
     )
     classes = written(classes.withColumnRenamed("digest", "node"), "classes")
     exploded = classes.select("node", F.explode("bands").alias("band"))
@@ -296,9 +296,9 @@ def near_duplicates(
             if open_members.isEmpty():
                 break
 
-    # The smallest doc_id of each component; classes without a shared band are components by themselves.
-    labelled = classes.select("node", F.col("first.doc_id").alias("first_id")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    smallest = labelled.groupBy("label").agg(F.min("first_id").alias("component_id"))
+    # The smallest doc_id of each component, nulls aside (`first` only finds a text, and may have a null); classes without a shared band are components by themselves.
+    labelled = classes.select("node", "least_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    smallest = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_class = written(labelled.join(smallest, "label").select(F.col("node").alias("digest"), "component_id"), "of_class")
     found = described.select("doc_id", "text_hash", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("digest")).alias("digest"))
     found = found.join(of_class, "digest", "left")

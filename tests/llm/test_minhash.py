@@ -85,6 +85,11 @@ def test_odd_rows(odd, none):
     assert near_duplicates(none).count() == 0
 
 
+def test_a_null_id_beside_a_number(documents):
+    rows = near_duplicates(documents(["a b c d", "a b c d", "a b c d"], [None, 9, 7]), 2).collect()
+    assert {r.doc_id: (r.component_id, r.kept) for r in rows} == {None: (7, False), 9: (7, False), 7: (7, True)}
+
+
 def test_components(spark):
     rng = random.Random(7)
     pairs = [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(200)] + [(i, i + 1) for i in range(400, 430)]
