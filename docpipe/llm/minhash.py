@@ -296,7 +296,7 @@ def near_duplicates(
             if open_members.isEmpty():
                 break
 
-    # The smallest doc_id of each component, nulls aside (`first` only finds a text, and may have a null); classes without a shared band are components by themselves.
+    # The smallest doc_id of each component, nulls aside; classes without a shared band are components by themselves.
     labelled = classes.select("node", "least_id").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = labelled.groupBy("label").agg(F.min("least_id").alias("component_id"))
     of_class = written(labelled.join(smallest, "label").select(F.col("node").alias("digest"), "component_id"), "of_class")
