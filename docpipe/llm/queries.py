@@ -8,10 +8,13 @@ from docpipe.llm.pii import OP10_SQL, op10_pii
 from docpipe.llm.quality_model import op3_quality_model
 from docpipe.llm.quality_rules import OP5_SQL, op5_quality_rules
 from docpipe.llm.minhash import op1_minhash
+from docpipe.llm.mixing import op11_mixing
 from docpipe.llm.packing import op9_packing
+from docpipe.llm.phrases import OP13_SQL, op13_phrases
 from docpipe.llm.repeats import op4_repeats
 from docpipe.llm.sharding import op6_sharding
 from docpipe.llm.warc import OP2_SQL, op2_warc
+from docpipe.llm.whitening import op12_whitening
 
 QUERIES = {
     "op4_repeats": op4_repeats,
@@ -24,6 +27,9 @@ QUERIES = {
     "op9_packing": op9_packing,
     "op7_exact_dedup": op7_exact_dedup,
     "op10_pii": op10_pii,
+    "op11_mixing": op11_mixing,
+    "op12_whitening": op12_whitening,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES = {
@@ -31,4 +37,5 @@ ORACLES = {
     "op5_quality_rules": OP5_SQL,
     "op7_exact_dedup": OP7_SQL,
     "op10_pii": OP10_SQL,
+    "op13_phrases": OP13_SQL,
 }
