@@ -1,10 +1,11 @@
 """Collocations: phrases of two to four words that occur together more often than their parts explain.
 
-Texts become blocks of one language. Level by level (one word, two words, ...) every run of words of a block gets a
-Rabin-Karp fingerprint from prefix polynomials; the block sends each fingerprint once, with its number and the place of
-its first occurrence. A shuffle adds them up, and blocks learn which of their own fingerprints are frequent. A longer
-run is sent only where both runs inside it are frequent, as it cannot be frequent otherwise. Only frequent phrases are
-read from the text at their places, and counted by text, so that colliding fingerprints fall apart.
+Texts become blocks of one language. Every run of words of a block gets a Rabin-Karp fingerprint from prefix polynomials.
+A block sends each of its fingerprints once, with its number of occurrences and the block as the pointer, packed by
+ranges of fingerprints; a shuffle adds them up by range, and each block learns which of its own are frequent. Runs of
+three and four words are sent only where all runs of two words inside them are frequent, as they cannot be frequent
+otherwise. Then the blocks read their frequent phrases from the text, and these are counted by text, so that colliding
+fingerprints fall apart: a fingerprint only proposes.
 
 No table of all phrases reaches a task: a block gets only what it holds itself.
 """
@@ -15,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401 (pa.compute)
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -30,8 +32,11 @@ TOP = 2000
 SCORE = 2_000_000
 UNKNOWN = "und"
 #: Bytes of a block; it ends with the piece that reaches this. A task holds up to HELD bytes of unfinished blocks.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 HELD = 64 << 20
+#: Words of the corpus for each range of fingerprints, which one call adds up; bytes of a fingerprint within its range.
+RANGE_WORDS = 500_000
+CELL = 5
 #: Parts of a language that are ranked apart before their best are ranked together.
 PARTS = 64
 
@@ -135,23 +140,29 @@ class Block:
         _, first, number = np.unique(self.hashes, return_index=True, return_inverse=True)
         sizes = self.ends - self.starts
         model = first[number]
-        good = sizes == sizes[model]
-        if good.all() and len(sizes):
-            values = np.frombuffer(self.raw, np.uint8)
-            of = np.repeat(np.arange(len(sizes)), sizes)
-            inside = np.arange(len(of)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            if (values[self.starts[of] + inside] == values[self.starts[model][of] + inside]).all():
-                return number
+        if (sizes == sizes[model]).all() and all(self._equal(at, model[at], sizes[at]) for at in _slices(sizes)):
+            return number
         known: dict[bytes, int] = {}
         return np.array([known.setdefault(self.raw[s:e], len(known)) for s, e in zip(self.starts, self.ends, strict=True)], np.int64)
 
+    def _equal(self, at: slice, model: np.ndarray, sizes: np.ndarray) -> bool:
+        values = np.frombuffer(self.raw, np.uint8)
+        inside = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        return bool((values[np.repeat(self.starts[at], sizes) + inside] == values[np.repeat(self.starts[model], sizes) + inside]).all())
 
-def _distinct(block: Block, at: np.ndarray, k: int, least: int = 1):
-    """(fingerprint, number, first word) of the different runs of k words at `at`. Different runs with one fingerprint
-    give a row each."""
-    if not len(at):
-        return
-    number = block.same_words()
+
+def _slices(sizes: np.ndarray, limit: int = 1 << 18) -> Iterator[slice]:
+    """Slices of words with some `limit` bytes each, one word at least."""
+    upto = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        stop = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + limit, side="right")))
+        yield slice(at, stop)
+        at = stop
+
+
+def _distinct(block: Block, at: np.ndarray, k: int, number: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(number of occurrences, first word) of the different runs of k words at `at`, whatever their fingerprints."""
     while len(at):
         prints = block.fingerprints(at, k)
         order = np.argsort(prints, kind="stable")
@@ -161,70 +172,176 @@ def _distinct(block: Block, at: np.ndarray, k: int, least: int = 1):
         same = np.ones(len(places), bool)
         for j in range(k):
             same &= number[places + j] == number[model + j]
-        counts = np.add.reduceat(same.astype(np.int64), heads)
-        yield ordered[heads], counts, places[heads]
+        yield np.add.reduceat(same.astype(np.int64), heads), places[heads]
         at = np.sort(places[~same])
 
 
-def _level(k: int):
+def _binary(values: np.ndarray, bounds: np.ndarray, width: int) -> pa.Array:
+    """Binary cells of values (rows of `width` bytes) between bounds."""
+    data = np.ascontiguousarray(values).view(np.uint8)
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * width).astype(np.int32)), pa.py_buffer(data)])
+
+
+def _cells(values: np.ndarray) -> np.ndarray:
+    return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :CELL]
+
+
+def _numbers(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers packed in binary cells, and how many each cell has."""
+    cells = cells.combine_chunks() if isinstance(cells, pa.ChunkedArray) else cells
+    sizes = pa.compute.binary_length(cells).to_numpy(zero_copy_only=False).astype(np.int64)
+    packed = np.frombuffer(b"".join(c.as_buffer() for c in cells), np.uint8).reshape(-1, CELL)
+    wide_ = np.zeros((len(packed), 8), np.uint8)
+    wide_[:, :CELL] = packed
+    return wide_.view("<u8").ravel().astype(np.uint64), sizes // CELL
+
+
+class Ranges:
+    """2**bits ranges of fingerprints. A fingerprint in its range keeps 8 * CELL bits; what that merges only proposes more."""
+
+    def __init__(self, bits: int) -> None:
+        self.bits = bits
+
+    def short(self, prints: np.ndarray) -> np.ndarray:
+        return prints.view(np.uint64) >> np.uint64(64 - 8 * CELL - self.bits)
+
+    def packed(self, prints: np.ndarray, k: int, block: int, least: int) -> pa.RecordBatch:
+        """A row per range: each fingerprint once, and its number of occurrences, up to `least`."""
+        ordered = np.sort(self.short(prints))
+        heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        counts = np.minimum(np.diff(np.append(heads, len(ordered))), least).astype(np.uint32)
+        ordered = ordered[heads]
+        ranges = ordered >> np.uint64(8 * CELL)
+        firsts = np.flatnonzero(np.concatenate(([True], ranges[1:] != ranges[:-1])))
+        bounds = np.append(firsts, len(ordered))
+        planes = counts.astype("<u4").view(np.uint8).reshape(-1, 4)
+        return pa.record_batch(
+            {
+                "k": np.full(len(firsts), k, np.int32),
+                "range": ranges[firsts].astype(np.int32),
+                "block": np.full(len(firsts), block, np.int64),
+                "cells": _binary(_cells(ordered), bounds, CELL),
+                "counts": _binary(planes, bounds, 4),
+            }
+        )
+
+
+def _frequent(rows: list[dict], k: int) -> np.ndarray:
+    """The short fingerprints that a block was told for runs of k words, sorted."""
+    own = [np.uint64(r["range"] << (8 * CELL)) + _numbers(pa.array([r["cells"]], pa.binary()))[0] for r in rows if r["k"] == k]
+    return np.sort(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+
+
+def _told(block: Block, at: np.ndarray, k: int, ranges: Ranges, frequent: np.ndarray) -> np.ndarray:
+    """For each place, whether the run of k words there is among the frequent ones."""
+    if not len(frequent) or not len(at):
+        return np.zeros(len(at), bool)
+    short = ranges.short(block.fingerprints(at, k))
+    return frequent[np.minimum(np.searchsorted(frequent, short), len(frequent) - 1)] == short
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for row in range(batch.num_rows):
+            yield {name: batch.column(name)[row].as_py() for name in batch.schema.names}
+
+
+PACKED = "k int, range int, block long, cells binary, counts binary"
+
+
+def _short_runs(ranges: Ranges, least: int):
+    """Fingerprints of all words and all runs of two."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                block = Block(batch.column("lang")[row].as_py(), batch.column("data")[row].as_py())
+        for row in _rows(batches):
+            block = Block(row["lang"], row["data"])
+            for k in (1, 2):
                 at = block.runs(k)
-                if k > 1:
-                    frequent = np.sort(batch.column("frequent")[row].values.to_numpy())
-                    inner = block.runs(k - 1)
-                    known = np.zeros(len(block.hashes) + 1, bool)
-                    prints = block.fingerprints(inner, k - 1)
-                    place = np.minimum(np.searchsorted(frequent, prints), max(len(frequent) - 1, 0))
-                    known[inner] = frequent[place] == prints if len(frequent) else False
-                    at = at[known[at] & known[at + 1]]
-                for prints, counts, first in _distinct(block, at, k):
+                if len(at):
+                    yield ranges.packed(block.fingerprints(at, k), k, row["block"], least)
+
+    return run
+
+
+def _long_runs(ranges: Ranges, longest: int, least: int):
+    """Fingerprints of the longer runs in which all runs of two words are frequent."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            block = Block(row["lang"], row["data"])
+            known = np.zeros(len(block.hashes) + longest, bool)
+            pairs = block.runs(2)
+            known[pairs] = _told(block, pairs, 2, ranges, _frequent(row["own"], 2))
+            for k in range(3, longest + 1):
+                at = block.runs(k)
+                for j in range(k - 1):
+                    at = at[known[at + j]]
+                if len(at):
+                    yield ranges.packed(block.fingerprints(at, k), k, row["block"], least)
+
+    return run
+
+
+def _sum_range(least: int):
+    """The frequent fingerprints of one range, packed again for each block that has them."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        cells, sizes = _numbers(rows.column("cells"))
+        counts = np.frombuffer(b"".join(c.as_buffer() for c in rows.column("counts").combine_chunks()), "<u4").astype(np.int64)
+        order = np.argsort(cells, kind="stable")
+        ordered = cells[order]
+        heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
+        often = np.add.reduceat(counts[order], heads) >= least
+        kept = np.sort(order[np.repeat(often, np.diff(np.append(heads, len(ordered))))])  # in the order of the rows
+        owner = np.repeat(np.arange(len(sizes)), sizes)[kept]
+        bounds = np.searchsorted(owner, np.arange(len(sizes) + 1))
+        out = rows.select(["k", "range", "block"]).append_column("cells", _binary(_cells(cells[kept]), bounds, CELL))
+        return out.filter(pa.array(np.diff(bounds) > 0))
+
+    return run
+
+
+def _read(ranges: Ranges, longest: int):
+    """The frequent phrases of a block and how often it has each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in _rows(batches):
+            block, data = Block(row["lang"], row["data"]), row["data"]
+            number = block.same_words()
+            for k in range(1, longest + 1):
+                at = block.runs(k)
+                at = at[_told(block, at, k, ranges, _frequent(row["own"], k))]
+                for counts, first in _distinct(block, at, k, number):
+                    starts, ends = block.starts[first].tolist(), block.ends[first + k - 1].tolist()
+                    phrases = [b" ".join(data[s:e].split()) for s, e in zip(starts, ends, strict=True)]
                     yield pa.record_batch(
                         {
-                            "print": prints,
-                            "block": pa.array(np.full(len(prints), batch.column("block")[row].as_py(), np.int64)),
-                            "n": counts.astype(np.int32),
-                            "word": first.astype(np.int32),
+                            "lang": pa.array([row["lang"]] * len(first), pa.string()),
+                            "k": np.full(len(first), k, np.int32),
+                            "phrase": pa.array(phrases, pa.binary()).cast(pa.string()),
+                            "n": counts,
                         }
                     )
 
     return run
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The phrases at places (k, n, word) of a block."""
-    for batch in batches:
-        for row in range(batch.num_rows):
-            lang, data = batch.column("lang")[row].as_py(), batch.column("data")[row].as_py()
-            block = Block(lang, data)
-            places = batch.column("places")[row].values
-            k, n, word = (places.field(i).to_numpy() for i in range(3))
-            starts, ends = block.starts[word].tolist(), block.ends[word + k - 1].tolist()
-            phrases = [b" ".join(data[s:e].split()) for s, e in zip(starts, ends, strict=True)]
-            yield pa.record_batch(
-                {"lang": pa.array([lang] * len(n)), "k": k, "phrase": pa.array(phrases, pa.binary()).cast(pa.string()), "n": n.astype(np.int64)}
-            )
-
-
 def frequent_phrases(blocks: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
     """(lang, k, phrase, f) of all runs of up to `longest` words that occur at least `least` times in their language."""
-    levels = []
-    for k in range(1, longest + 1):
-        given = blocks.select("block", "lang", "data")
-        if k > 1:
-            own = levels[-1].groupBy("block").agg(F.collect_list("print").alias("frequent"))
-            given = given.join(own, "block")
-        sent = given.mapInArrow(_level(k), "print long, block long, n int, word int")
-        total = F.sum("n").over(Window.partitionBy("print"))
-        kept = sent.withColumn("total", total).filter(F.col("total") >= least)
-        levels.append(written(kept.select("block", F.lit(k).alias("k"), "print", "n", "word"), f"frequent{k}"))
-    found = levels[0]
-    for level in levels[1:]:
-        found = found.unionByName(level)
-    places = found.groupBy("block").agg(F.collect_list(F.struct("k", "n", "word")).alias("places"))
-    read = blocks.select("block", "lang", "data").join(places, "block").mapInArrow(_read, "lang string, k int, phrase string, n long")
+    total = blocks.agg(F.sum("n_words")).first()[0] or 0
+    ranges = Ranges(min(max((total // RANGE_WORDS).bit_length(), 4), 64 - 8 * CELL))
+
+    def frequent(sent: DataFrame, name: str) -> DataFrame:
+        return written(sent.groupBy("k", "range").applyInArrow(_sum_range(least), "k int, range int, block long, cells binary"), name)
+
+    def told(own: DataFrame) -> DataFrame:
+        own = own.groupBy("block").agg(F.collect_list(F.struct("k", "range", "cells")).alias("own"))
+        return blocks.select("block", "lang", "data").join(own, "block")
+
+    found = frequent(blocks.select("block", "lang", "data").mapInArrow(_short_runs(ranges, least), PACKED), "frequent")
+    longer = told(found.filter(F.col("k") == 2)).mapInArrow(_long_runs(ranges, longest, least), PACKED)
+    found = found.unionByName(frequent(longer, "longer"))
+    read = told(found).mapInArrow(_read(ranges, longest), "lang string, k int, phrase string, n long")
     return written(read.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "phrases")
 
 
