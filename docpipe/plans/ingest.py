@@ -9,12 +9,13 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from docpipe.constants import INLINE_LIMIT_BYTES
+from docpipe.constants import INLINE_LIMIT_BYTES, SIZE_LIMIT_BYTES
+from docpipe.plans.publish import Store
 from docpipe.plans.route import classify, convert_html, route
-from docpipe.sources.responses import admitted, rejected
+from docpipe.sources.responses import with_admission
 from docpipe.sources.tables import chunk_rows, utc_day, write_table
 
 
@@ -51,28 +52,83 @@ def staged_conversion(staged: DataFrame, path: str) -> DataFrame:
     return staged.sparkSession.read.parquet(path)
 
 
+REJECTED = "rejected"
+
+
+def stage_all(responses: DataFrame, path: str, size_limit: int | None = SIZE_LIMIT_BYTES) -> tuple[DataFrame, int]:
+    """All responses as a table partitioned by kind, and their number: the one pass over the bodies of a job.
+
+    What is not let through has the kind `rejected`, its stage and reason, and no body.
+    """
+    judged = with_admission(responses, size_limit)
+    out = F.col("stage").isNotNull()
+    rows = classify(judged, keep=["stage", "reason"])
+    rows = rows.withColumns({"kind": F.when(out, REJECTED).otherwise(F.col("kind")), "body": F.when(~out, F.col("body")), "pdf_text": F.when(~out, F.col("pdf_text"))})
+    seen = Observation()
+    staged = stage(rows.observe(seen, F.count(F.lit(1)).alias("n")), path)
+    return staged, int(seen.get["n"])
+
+
+def outputs(staged: DataFrame, work: str, members: DataFrame | None, force_inline: bool, limit: int) -> dict[str, DataFrame]:
+    """The five tables from what `stage_all` wrote. None of them reads the responses again."""
+    converted = staged_conversion(staged, f"{work}/converted")
+    routed = route(staged, converted, members, force_inline, limit)
+    rejects = staged.filter(F.col("kind") == REJECTED).select("url", "stage", "reason")
+    return {
+        "results": routed.results.select("doc.*", "url", "type", "inline", "data"),
+        "chunks": chunk_rows(routed.chunks.select("doc.*", "chunk_index", "key", "title", "content")),
+        "records": routed.records.select("doc.record_id", "url", "content_type", "doc.fetched_at", utc_day(F.col("doc.fetched_at")).alias("fetched_date")),
+        "originals": routed.originals.select("doc.*", "key", "filename", "body"),
+        "rejects": rejects.unionByName(routed.rejects),
+    }
+
+
+#: Tables with a folder per day.
+DAILY = ("chunks", "records")
+
+
+def publish_ingest(
+    responses: DataFrame,
+    base: str,
+    run: str,
+    members: DataFrame | None = None,
+    force_inline: bool = False,
+    limit: int = INLINE_LIMIT_BYTES,
+    size_limit: int | None = SIZE_LIMIT_BYTES,
+) -> Store:
+    """Ingest responses as the run `run`: its five tables are published together, and replace those of an earlier run
+    of that name. Every response must end in results or rejects, once; otherwise nothing is published."""
+    spark = responses.sparkSession
+    store, work = Store(spark, base), work_dir(spark, "ingest")
+    with store.publishing(run) as attempt:
+        staged, inputs = stage_all(responses, f"{work}/staged", size_limit)
+        attempt.counts["inputs"] = inputs
+        for name, rows in outputs(staged, work, members, force_inline, limit).items():
+            attempt.write(name, rows, "fetched_date" if name in DAILY else None)
+        if inputs != attempt.counts["results"] + attempt.counts["rejects"]:
+            raise RuntimeError(f"{inputs} responses gave {attempt.counts['results']} results and {attempt.counts['rejects']} rejects")
+    _remove(spark, work)
+    return store
+
+
 def run_ingest(
     responses: DataFrame,
     out: str,
     members: DataFrame | None = None,
     force_inline: bool = False,
     limit: int = INLINE_LIMIT_BYTES,
-    size_limit: int | None = None,
+    size_limit: int | None = SIZE_LIMIT_BYTES,
     mode: str = "append",
 ) -> Tables:
+    """Write the five tables to plain folders. Rows are appended whatever was there; `publish_ingest` can be repeated."""
     spark = responses.sparkSession
     tables = Tables(out)
     work = work_dir(spark, "ingest")
-    staged = stage(classify(admitted(responses, size_limit)), f"{work}/staged")
-    converted = staged_conversion(staged, f"{work}/converted")
-    routed = route(staged, converted, members, force_inline, limit)
-
-    routed.results.select("doc.*", "url", "type", "inline", "data").write.mode(mode).parquet(tables.path("results"))
-    write_table(chunk_rows(routed.chunks.select("doc.*", "chunk_index", "key", "title", "content")), tables.path("chunks"), mode)
-    records = routed.records.select("doc.record_id", "url", "content_type", "doc.fetched_at", utc_day(F.col("doc.fetched_at")).alias("fetched_date"))
-    write_table(records, tables.path("records"), mode)
-    routed.originals.select("doc.*", "key", "filename", "body").write.mode(mode).parquet(tables.path("originals"))
-    rejects = rejected(responses, size_limit).unionByName(routed.rejects)
-    rejects.write.mode(mode).parquet(tables.path("rejects"))
+    staged, _ = stage_all(responses, f"{work}/staged", size_limit)
+    for name, rows in outputs(staged, work, members, force_inline, limit).items():
+        if name in DAILY:
+            write_table(rows, tables.path(name), mode)
+        else:
+            rows.write.mode(mode).parquet(tables.path(name))
     _remove(spark, work)
     return tables

@@ -6,6 +6,7 @@ their time without a join.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,8 +40,9 @@ class Routed:
     rejects: DataFrame
 
 
-def classify(responses: DataFrame) -> DataFrame:
-    """Adds id, kind and size. The extracted text of PDFs comes with the responses as ``pdf_text``, if at all."""
+def classify(responses: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Adds id, kind and size, and keeps the columns ``keep``. The extracted text of PDFs comes with the responses as
+    ``pdf_text``, if at all."""
     if "pdf_text" not in responses.columns:
         responses = responses.withColumn("pdf_text", F.lit(None).cast("string"))
     url = F.coalesce("url", F.lit("(unknown)"))
@@ -54,6 +56,7 @@ def classify(responses: DataFrame) -> DataFrame:
         F.octet_length("body").cast("bigint").alias("body_bytes"),
         is_binary(F.col("content_type")).alias("is_binary"),
         content_kind(F.col("content_type"), F.col("url")).alias("kind"),
+        *keep,
     )
 
 

@@ -76,6 +76,32 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents", "doc_id", "text", "lang", "source")
 
 
+def responses_of_documents(docs: DataFrame) -> DataFrame:
+    """Four responses per document: its text, the same as an image, a page and an object about it; some fail."""
+    n = F.col("doc_id")
+    name = F.concat(F.lit("https://example.org/"), n.cast("string"))
+    about = F.concat(F.lit('{"id": '), n.cast("string"), F.lit(', "source": "'), "source", F.lit('"}'))
+    page = F.concat(F.lit("<h1>"), "source", F.lit("</h1><p>"), n.cast("string"), F.lit("</p>"))
+
+    def response(suffix, content_type, body):
+        return F.struct(
+            F.concat(name, F.lit(suffix)).alias("url"), F.lit(content_type).alias("content_type"), F.encode(body, "UTF-8").alias("body")
+        )
+
+    kinds = F.array(
+        response(".txt", "text/plain", F.col("text")),
+        response(".png", "image/png", F.col("text")),
+        response(".html", "text/html", page),
+        response(".json", "application/json", F.when(n % 7 == 0, F.concat(about, F.lit(","))).otherwise(about)),
+    )
+    return docs.select("doc_id", F.explode(kinds).alias("r")).select(
+        "r.*",
+        F.when(n % 10 == 9, 500).otherwise(200).alias("status"),
+        F.when(n % 13 == 1, "999999999").alias("content_length"),
+        F.expr("TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 0, CAST(doc_id AS INT), 0)").cast("timestamp").alias("fetched_at"),
+    )
+
+
 def _escaped(text):
     for plain, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
         text = F.replace(text, F.lit(plain), F.lit(entity))

@@ -127,6 +127,43 @@ add(
         'html' AS kind, body_bytes FROM resp WHERE status < 400 AND {size_reason(104857600)} IS NULL""",
 )
 
+# ---- published runs
+
+DOCUMENT_RESPONSES = f"""
+kinds AS (
+  SELECT doc_id, source, '{{"id": ' || doc_id || ', "source": "' || source || '"}}' AS about, text,
+    TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS fetched_at FROM documents),
+answers AS (
+  SELECT k.*, e.suffix, e.content_type, 'https://example.org/' || doc_id || e.suffix AS url,
+    CASE e.suffix WHEN '.json' THEN about || CASE WHEN doc_id % 7 = 0 THEN ',' ELSE '' END
+      WHEN '.html' THEN '<h1>' || source || '</h1><p>' || doc_id || '</p>' ELSE text END AS body,
+    CASE WHEN doc_id % 13 = 1 THEN 'size' WHEN doc_id % 10 = 9 THEN 'status' WHEN body IS NULL THEN 'body'
+      WHEN e.suffix = '.json' AND doc_id % 7 = 0 THEN 'convert' END AS stage
+  FROM kinds k, (VALUES ('.txt', 'text/plain'), ('.png', 'image/png'), ('.html', 'text/html'), ('.json', 'application/json')) e(suffix, content_type)),
+ids AS (SELECT *, {record_id("url", "epoch_us(fetched_at)")} AS record_id, strlen(body) > 2000 AS large FROM answers WHERE stage IS NULL),
+five AS (
+  SELECT 'results' AS tbl, url AS identity,
+    CASE suffix WHEN '.txt' THEN 'text' WHEN '.png' THEN 'binary' WHEN '.html' THEN 'markdown' ELSE 'json' END AS first,
+    CASE WHEN suffix = '.png' OR (suffix = '.txt' AND large) THEN 'false' ELSE 'true' END AS second,
+    md5(CASE WHEN suffix = '.html' THEN '# ' || source || chr(10) || chr(10) || doc_id
+      WHEN suffix = '.json' THEN '{{' || chr(10) || '  "id": ' || doc_id || ',' || chr(10) || '  "source": "' || source || '"' || chr(10) || '}}'
+      WHEN suffix = '.txt' AND NOT large THEN text ELSE '' END) AS content FROM ids
+  UNION ALL SELECT 'records', url, content_type, strftime(fetched_at, '%Y-%m-%d'), md5(record_id) FROM ids WHERE suffix = '.png' OR (suffix = '.txt' AND large)
+  UNION ALL SELECT 'chunks', record_id, 'content', '0/' || strlen(text), md5(text) FROM ids WHERE suffix = '.txt' AND large
+  UNION ALL SELECT 'originals', record_id, 'file', 'file.bin', md5(text) FROM ids WHERE suffix = '.png'
+  UNION ALL SELECT 'rejects', url, stage, CASE stage WHEN 'size' THEN 'Download too large: 999999999 bytes exceeds 104857600 byte limit'
+      WHEN 'status' THEN 'HTTP 500' WHEN 'body' THEN 'missing body' ELSE 'invalid JSON' END, md5('') FROM answers WHERE stage IS NOT NULL)
+"""
+
+add("ingest_tables", f"WITH {DOCUMENT_RESPONSES} SELECT * FROM five")
+add("stream_tables", f"WITH {DOCUMENT_RESPONSES} SELECT * FROM five")
+add(
+    "ingest_accounting",
+    f"""WITH {DOCUMENT_RESPONSES} SELECT url, (stage IS NULL)::BIGINT AS n_results, (stage IS NOT NULL)::BIGINT AS n_rejects,
+        (SELECT count(*) FROM answers) AS run_inputs, (SELECT count(*) FROM five WHERE tbl = 'results') AS run_results,
+        (SELECT count(*) FROM five WHERE tbl = 'rejects') AS run_rejects, (SELECT count(*) FROM five WHERE tbl = 'chunks') AS run_chunks FROM answers""",
+)
+
 # ---- plain text
 
 HEADING = f"""(length(t) BETWEEN 2 AND 120 AND (

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextlib import suppress
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,11 +21,13 @@ from docpipe.operators import json_tokens as J
 from docpipe.operators import store as R
 from docpipe.operators import text as X
 from docpipe.plans import route as P
-from docpipe.plans.ingest import stage, staged_conversion, work_dir
+from docpipe.plans.ingest import publish_ingest, stage, staged_conversion, work_dir
+from docpipe.plans.publish import Store
 from docpipe.queries import fixtures as D
 from docpipe.session import configure
 from docpipe.sources import responses as S
 from docpipe.sources import tables as W
+from docpipe.streaming.ingest import stream_ingest as ingest_stream
 from docpipe.streaming.ingest import write_batches
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -141,6 +145,63 @@ def stream_ingest(spark, sf_dir):
     return spark.read.parquet(f"{work}/out").drop("stream", "batch_id")
 
 
+DOCUMENT_LIMIT = 2_000
+
+
+def _all_tables(store: Store) -> DataFrame:
+    """The rows of the five tables of a store in one form: table, what identifies a row, two labels and the content."""
+
+    def rows(name, identity, first, second, content):
+        columns = {"tbl": F.lit(name), "identity": identity, "first": first, "second": second, "content": F.md5(content)}
+        return store.read(name).select(*[(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
+
+    parts = [
+        rows("results", "url", "type", "cast(inline as string)", F.col("data").cast("binary")),
+        rows("records", "url", "content_type", "cast(fetched_date as string)", F.col("record_id").cast("binary")),
+        rows("chunks", "record_id", "key", "concat(chunk_index, '/', size_bytes)", F.col("content").cast("binary")),
+        rows("originals", "record_id", "key", "filename", F.col("body")),
+        rows("rejects", "url", "stage", "reason", F.lit("").cast("binary")),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+@query
+def ingest_tables(spark, sf_dir):
+    """All five tables of a run that was published with other limits before, and broke off after that."""
+    store = Store(spark, f"{work_dir(spark, 'published')}/store")
+    responses = D.responses_of_documents(D.documents(spark, sf_dir))
+    for limit in (DOCUMENT_LIMIT // 2, DOCUMENT_LIMIT):
+        publish_ingest(responses, store.base, "all", limit=limit)
+    with suppress(InterruptedError), store.publishing("all") as broken:
+        broken.write("rejects", store.read("rejects"))
+        raise InterruptedError
+    return _all_tables(store)
+
+
+@query
+def ingest_accounting(spark, sf_dir):
+    """How often each response ends in results or rejects after a run, and what the run's pointer counts."""
+    store = publish_ingest(
+        D.responses_of_documents(D.documents(spark, sf_dir)), f"{work_dir(spark, 'published')}/store", "all", limit=DOCUMENT_LIMIT
+    )
+    ends = store.read("results").select("url", F.lit(1).alias("result"), F.lit(0).alias("reject")).unionByName(
+        store.read("rejects").select("url", F.lit(0).alias("result"), F.lit(1).alias("reject"))
+    )
+    counts = store.runs().select(*[F.col("counts")[c].alias(f"run_{c}") for c in ("inputs", "results", "rejects", "chunks")])
+    return ends.groupBy("url").agg(F.sum("result").alias("n_results"), F.sum("reject").alias("n_rejects")).join(counts)
+
+
+@query
+def stream_tables(spark, sf_dir):
+    """All five tables from a stream of document files, each micro-batch a published run."""
+    base = work_dir(spark, "stream")
+    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
+    stream = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents*.parquet")
+    query = ingest_stream(stream, f"{base}/store", f"{base}/checkpoint", D.responses_of_documents, limit=DOCUMENT_LIMIT)
+    query.awaitTermination()
+    return _all_tables(Store(spark, f"{base}/store"))
+
+
 # ---- classification
 
 

@@ -13,6 +13,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from docpipe.plans.ingest import publish_ingest
+
 
 def _stream_id(spark: SparkSession, checkpoint: str) -> str:
     """The name of the stream that a checkpoint belongs to; a new checkpoint gets a new one, kept beside it."""
@@ -43,3 +45,19 @@ def write_batches(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def stream_ingest(
+    stream: DataFrame, base: str, checkpoint: str, prepare: Callable[[DataFrame], DataFrame] | None = None, **options
+) -> StreamingQuery:
+    """Ingest responses as they arrive: every micro-batch is a published run of all five tables.
+
+    The run is named after the stream and the batch, so that a batch that is repeated after a failure replaces what it
+    may have published before. ``prepare`` makes responses of the rows of a batch, ``options`` go to `publish_ingest`.
+    """
+    name = _stream_id(stream.sparkSession, checkpoint)
+
+    def publish(batch: DataFrame, batch_id: int) -> None:
+        publish_ingest(prepare(batch) if prepare else batch, base, f"{name}-{batch_id:019d}", **options)
+
+    return stream.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
