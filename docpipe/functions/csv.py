@@ -74,14 +74,19 @@ def _line(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
 
-def _row_line(cells: Column, width: Column) -> Column:
+def row_line(cells: Column, width: Column) -> Column:
+    """A row of the Markdown table, filled up to the width."""
     return _line(F.concat(cells, F.array_repeat(F.lit(""), width - F.size(cells))))
 
 
+def divider(header: Column) -> Column:
+    """The divider is as wide as the header itself."""
+    return _line(F.transform(header, lambda _: F.lit("---")))
+
+
 def _head(rows: Column, width: Column) -> Column:
-    """Header line and divider; the divider is as wide as the header itself."""
     header = F.get(rows, F.lit(0))
-    return F.array(_row_line(header, width), _line(F.transform(header, lambda _: F.lit("---"))))
+    return F.array(row_line(header, width), divider(header))
 
 
 def markdown_table(rows: Column) -> Column:
@@ -94,7 +99,7 @@ def markdown_table(rows: Column) -> Column:
                 lambda width: F.array_join(
                     F.concat(
                         _head(r, width),
-                        F.transform(F.slice(r, F.lit(2), F.size(r) - 1), lambda cells: _row_line(cells, width)),
+                        F.transform(F.slice(r, F.lit(2), F.size(r) - 1), lambda cells: row_line(cells, width)),
                     ),
                     "\n",
                 ),
@@ -122,7 +127,7 @@ def row_groups(rows: Column, inline_rows: int = CSV_INLINE_ROWS, group_rows: int
                         F.concat(
                             head,
                             F.transform(
-                                F.slice(r, start + 1, end - start + 1), lambda cells: _row_line(cells, width)
+                                F.slice(r, start + 1, end - start + 1), lambda cells: row_line(cells, width)
                             ),
                         ),
                         "\n",

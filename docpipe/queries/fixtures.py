@@ -6,7 +6,7 @@ document however skewed the other part of the key is.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docpipe.functions.arrays import ordered_concat
@@ -176,6 +176,35 @@ def json_event_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+ROWS_PER_FILE = 1_000_000
+
+
+def _as_files(rows: DataFrame, order: str, line: Column, path: str) -> str:
+    """Files of many lines, one per block of a unique id; `line` may use `first` and `last`. Each is written by a task
+    that streams through it."""
+    ordered = Window.partitionBy("block").orderBy(order)
+    ends = rows.withColumn("block", F.expr(f"{order} div {ROWS_PER_FILE}")).repartition("block")
+    ends = ends.withColumns({"first": F.lag(order).over(ordered).isNull(), "last": F.lead(order).over(ordered).isNull()})
+    ends.sortWithinPartitions("block", order).select("block", line.alias("value")).write.partitionBy("block").text(path)
+    return path
+
+
+def csv_files(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """All customers as files: names with quotes and line breaks, every tenth row one cell short."""
+    key = F.col("c_custkey")
+    name = F.concat(F.lit(',"'), "c_name", F.lit(', ""q""'), F.when(key % 5 == 0, "\nline").otherwise(""), F.lit('"'))
+    nation = F.when(key % 10 == 0, "").otherwise(F.concat(F.lit(","), F.col("c_nationkey").cast("string")))
+    line = F.concat(F.when(F.col("first"), "key,name,nation\n").otherwise(""), key.cast("string"), name, nation)
+    return _as_files(table(spark, sf_dir, "customer", "c_custkey", "c_name", "c_nationkey"), "c_custkey", line, path)
+
+
+def json_files(spark: SparkSession, sf_dir: str, path: str) -> str:
+    """All events as files, each an array."""
+    item = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "type": "a,['), "event_type", F.lit('", "props": '), "props", F.lit("}"))
+    line = F.concat(F.when(F.col("first"), "[").otherwise(""), item, F.when(F.col("last"), "]").otherwise(","))
+    return _as_files(events(spark, sf_dir), "event_id", line, path)
+
+
 def json_user_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     member = F.concat(F.lit('"e'), F.col("event_id").cast("string"), F.lit('": '), "props")
     return (

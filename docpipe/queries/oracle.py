@@ -456,6 +456,30 @@ items AS (
     '{{' || {NL} || '  "id": ' || event_id || ',' || {NL} || '  "user": ' || user_id || ',' || {NL} || '  "type": "' || event_type || '",' || {NL}
     || '  "props": ' || {pretty_props(2)} || {NL} || '}}' AS content FROM events)"""
 add("json_items", f"WITH {ITEMS} SELECT doc_id, chunk_index, 'item_' || chunk_index AS key, '[' || chunk_index || ']' AS title, content FROM items")
+FILE_ROWS = f"""
+file_rows AS (
+  SELECT c_custkey // 1000000 AS block, row_number() OVER (PARTITION BY c_custkey // 1000000 ORDER BY c_custkey) AS row_idx, c_custkey::VARCHAR AS key,
+    c_name || ', "q"' || CASE WHEN c_custkey % 5 = 0 THEN {NL} || 'line' ELSE '' END AS name,
+    CASE WHEN c_custkey % 10 <> 0 THEN c_nationkey::VARCHAR END AS nation FROM customer
+  UNION ALL SELECT DISTINCT c_custkey // 1000000, 0, 'key', 'name', 'nation' FROM customer)"""
+add(
+    "csv_file_cells",
+    f"""WITH {FILE_ROWS} SELECT block, row_idx, 0::BIGINT AS col_idx, key AS value FROM file_rows
+        UNION ALL SELECT block, row_idx, 1, name FROM file_rows UNION ALL SELECT block, row_idx, 2, nation FROM file_rows WHERE nation IS NOT NULL""",
+)
+add(
+    "csv_file_groups",
+    f"""WITH {FILE_ROWS} SELECT block, (row_idx - 1) // 100 AS chunk_index, 'rows_' || min(row_idx) || '_' || max(row_idx) AS key,
+        'rows ' || min(row_idx) || '-' || max(row_idx) AS title, '| key | name | nation |' || {NL} || '| --- | --- | --- |' || {NL}
+        || string_agg('| ' || key || ' | ' || name || ' | ' || coalesce(nation, '') || ' |', {NL} ORDER BY row_idx) AS content
+        FROM file_rows WHERE row_idx > 0 AND block IN (SELECT block FROM file_rows GROUP BY block HAVING count(*) > 101) GROUP BY block, (row_idx - 1) // 100""",
+)
+add(
+    "json_file_items",
+    f"""WITH n AS (SELECT *, event_id // 1000000 AS block, row_number() OVER (PARTITION BY event_id // 1000000 ORDER BY event_id) - 1 AS chunk_index FROM events)
+        SELECT block, chunk_index, 'item_' || chunk_index AS key, '[' || chunk_index || ']' AS title, '{{' || {NL} || '  "id": ' || event_id || ',' || {NL}
+        || '  "type": "a,[' || event_type || '",' || {NL} || '  "props": ' || {pretty_props(2)} || {NL} || '}}' AS content FROM n""",
+)
 add(
     "json_scalar",
     """SELECT event_id, 0::BIGINT AS chunk_index, 'value' AS key, 'value' AS title,

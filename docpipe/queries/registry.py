@@ -16,10 +16,12 @@ from docpipe.functions.text import decode_utf8, is_large, slug
 from docpipe.operators import archive as A
 from docpipe.operators import audit as E
 from docpipe.operators import csv_cells as C
+from docpipe.operators import csv_files as CF
 from docpipe.operators import html as H
 from docpipe.operators import json_tokens as J
 from docpipe.operators import store as R
 from docpipe.operators import text as X
+from docpipe.operators.json_files import split_json_files
 from docpipe.plans import route as P
 from docpipe.plans.ingest import publish_ingest, stage, staged_conversion, work_dir
 from docpipe.plans.publish import Store
@@ -355,6 +357,18 @@ def csv_cells(spark, sf_dir):
     return C.csv_cells(D.csv_customers(spark, sf_dir))
 
 
+@query
+def csv_file_cells(spark, sf_dir):
+    """One document of all customers, read as a file by many tasks."""
+    return CF.csv_file_cells(spark, D.csv_files(spark, sf_dir, f"{work_dir(spark, 'files')}/csv")).drop("file")
+
+
+@query
+def csv_file_groups(spark, sf_dir):
+    path = D.csv_files(spark, sf_dir, f"{work_dir(spark, 'files')}/csv")
+    return CF.csv_file_groups(CF.csv_file_records(spark, path)).drop("file")
+
+
 @query
 def csv_shape(spark, sf_dir):
     return C.csv_shape(D.csv_customers(spark, sf_dir))
@@ -393,6 +407,13 @@ def json_items(spark, sf_dir):
     return J.split_json(D.json_event_arrays(spark, sf_dir), roots=["array"])
 
 
+@query
+def json_file_items(spark, sf_dir):
+    """One array of all events, read as a file by many tasks."""
+    path = D.json_files(spark, sf_dir, f"{work_dir(spark, 'files')}/json")
+    return split_json_files(spark, path).drop("file")
+
+
 @query
 def json_scalar(spark, sf_dir):
     return J.split_json(D.json_scalars(spark, sf_dir), "event_id", roots=["scalar"])
