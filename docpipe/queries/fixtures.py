@@ -250,21 +250,14 @@ def text_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def text_all_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts of nothing but headings: every run of words becomes a line of four in capitals."""
+    """Texts of hardly anything but headings: every run of words becomes a line of four in capitals."""
     words = F.filter(F.split(F.upper("text"), r"\s+", -1), lambda w: w != "")
     lines = F.transform(
-        F.sequence(F.lit(0), F.expr("CAST((size(words) - 1) div 4 AS INT)")),
+        F.sequence(F.lit(0), F.expr("CAST(greatest(size(words) - 1, 0) div 4 AS INT)")),
         lambda i: F.array_join(F.slice(F.col("words"), i * 4 + 1, F.lit(4)), " "),
     )
-    long_enough = F.filter(F.col("lines"), lambda line: F.length(line).between(4, 120))
-    return (
-        documents(spark, sf_dir)
-        .filter(~F.contains("text", F.lit("ß")))
-        .select("doc_id", words.alias("words"))
-        .filter(F.size("words") >= 8)
-        .select("doc_id", lines.alias("lines"))
-        .select("doc_id", F.array_join(long_enough, "\n\n").alias("text"))
-    )
+    rows = documents(spark, sf_dir).select("doc_id", words.alias("words"))
+    return rows.select("doc_id", F.array_join(lines, "\n\n").alias("text"))
 
 
 def pdf_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -310,15 +303,17 @@ def archive_members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def broken_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The archives, those of some sources broken off; of a few nothing could be read."""
+    """The archives, those of some sources broken off at their end, and further ones of which nothing could be read."""
     members = archive_members(spark, sf_dir)
-    number = F.regexp_extract("archive_id", r"^src(\d+)/", 1).cast("int")
-    kept = members.filter(number % 5 != 0)
-    ends = (
-        members.filter(F.col("is_directory") & (number % 5).isin(0, 1))
-        .withColumns({"failed": F.lit(True), "entry_index": F.lit(1 << 40).cast("bigint")})
+    number = F.regexp_extract("archive_id", r"^src(\d+)/", 1).cast("int") % 5
+    ends = members.filter(F.col("is_directory") & number.isin(0, 1)).withColumns(
+        {
+            "archive_id": F.concat(F.when(number == 0, "lost/").otherwise(""), "archive_id"),
+            "failed": F.lit(True),
+            "entry_index": F.lit(1 << 40).cast("bigint"),
+        }
     )
-    return kept.unionByName(ends)
+    return members.unionByName(ends)
 
 
 def fetch_records(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,13 +221,10 @@ transcripts AS (
   FROM conversations GROUP BY conv_id, turn // {D.TURNS_PER_BLOCK})"""
 ALL_HEADINGS = f"""
 words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(upper(text), '\\s+'), lambda w: w <> '') AS ws
-  FROM documents WHERE NOT contains(text, 'ß')),
+  SELECT doc_id, list_filter(regexp_split_to_array(upper(replace(text, 'ß', 'ss')), '\\s+'), lambda w: w <> '') AS ws FROM documents),
 headings AS (
-  SELECT doc_id, array_to_string(list_filter(
-    list_transform(generate_series(0, (len(ws) - 1) // 4), lambda i: array_to_string(ws[i * 4 + 1 : i * 4 + 4], ' ')),
-    lambda l: length(l) BETWEEN 4 AND 120), {NL} || {NL}) AS text
-  FROM words WHERE len(ws) >= 8)"""
+  SELECT doc_id, array_to_string(list_transform(generate_series(0, greatest(len(ws) - 1, 0) // 4), lambda i: array_to_string(ws[i * 4 + 1 : i * 4 + 4], ' ')),
+    {NL} || {NL}) AS text FROM words)"""
 
 add(
     "chunk_rows",
@@ -250,7 +247,11 @@ add(
           UNION SELECT string_split(text, {NL})[1] FROM documents)
         SELECT title, {slug("title")} AS key FROM titles""",
 )
-add("text_paragraphs", f"WITH RECURSIVE {ALL_HEADINGS}, {text_chunks('headings')} SELECT doc_id, chunk_index, key, title, content FROM chunks")
+add(
+    "text_paragraphs",
+    f"""WITH RECURSIVE {ALL_HEADINGS}, {text_chunks('headings')}
+        SELECT doc_id, idx AS chunk_index, 'para_' || idx AS key, 'paragraph ' || (idx + 1) AS title, content FROM paras""",
+)
 add("text_merge_small", f"WITH RECURSIVE {TRANSCRIPTS}, {text_chunks('transcripts')} SELECT doc_id, chunk_index, key, title, content FROM chunks")
 add("text_chunks", f"WITH RECURSIVE {text_chunks('documents')} SELECT doc_id, chunk_index, key, title, content FROM chunks")
 add(
@@ -417,8 +418,15 @@ groups AS (
 add("csv_row_groups", f"WITH {customers()}, {CSV_GROUPS} SELECT doc_id, chunk_index::BIGINT AS chunk_index, 'rows_' || s || '_' || e AS key, 'rows ' || s || '-' || e AS title, content FROM groups")
 add(
     "forced_inline",
-    f"""WITH {customers()} SELECT 'https://example.org/' || doc_id AS url, 'csv' AS type, max(last) + 1 <= 101 AS "inline",
-        {HEAD_LINES} || string_agg(line, {NL} ORDER BY row_idx) AS data FROM drawn WHERE row_idx > 0 GROUP BY doc_id""",
+    f"""WITH {customers()}, {DOCUMENT_RESPONSES}, tables AS (
+          SELECT 'https://example.org/' || doc_id AS url, 'csv' AS type, max(last) + 1 <= 101 AS "inline",
+            {HEAD_LINES} || string_agg(line, {NL} ORDER BY row_idx) AS data FROM drawn WHERE row_idx > 0 GROUP BY doc_id),
+        shown AS (
+          SELECT url, suffix, body, CASE suffix WHEN '.html' THEN '# ' || source || {NL} || {NL} || doc_id WHEN '.txt' THEN text
+            WHEN '.json' THEN '{{' || {NL} || '  "id": ' || doc_id || ',' || {NL} || '  "source": "' || source || '"' || {NL} || '}}' ELSE '' END AS data FROM ids)
+        SELECT * FROM tables
+        UNION ALL SELECT url, CASE suffix WHEN '.html' THEN 'markdown' WHEN '.txt' THEN 'text' WHEN '.json' THEN 'json' ELSE 'binary' END,
+          suffix <> '.png' AND strlen(CASE suffix WHEN '.html' THEN data ELSE body END) <= 30, data FROM shown""",
 )
 
 # ---- JSON, from the events directly
@@ -511,6 +519,7 @@ listings AS (
     || string_agg(entry_name || '  (' || size || ' B)', {NL} ORDER BY entry_index) AS content FROM members GROUP BY archive_id)"""
 MEMBER_KEY = "substr(regexp_replace(entry_name, '(?i)[^a-z0-9._-]+', '_', 'g'), 1, 60)"
 ARCHIVE_NO = "(regexp_extract(archive_id, '^src(\\d+)/', 1)::INT % 5)"
+BROKEN_ID = f"(CASE WHEN {ARCHIVE_NO} = 0 THEN 'lost/' ELSE '' END || archive_id)"
 add("archive_index", f"WITH {MEMBERS} SELECT archive_id, 'index' AS key, 'file index' AS title, content FROM listings")
 add("archive_text_members", f"WITH {MEMBERS} SELECT archive_id, entry_index, entry_name, size FROM texts")
 add(
@@ -519,15 +528,15 @@ add(
 )
 add(
     "archive_errors",
-    f"""WITH {MEMBERS} SELECT DISTINCT archive_id, 'error' AS key, 'extraction error' AS title, 'Failed to extract archive contents.' AS content,
+    f"""WITH {MEMBERS} SELECT DISTINCT {BROKEN_ID} AS archive_id, 'error' AS key, 'extraction error' AS title, 'Failed to extract archive contents.' AS content,
         {ARCHIVE_NO} = 0 AS lone FROM members WHERE {ARCHIVE_NO} IN (0, 1)""",
 )
 add(
     "archive_chunks",
     f"""WITH {MEMBERS}, c AS (
-          SELECT archive_id, -1 AS pos, 'index' AS key, 'file index' AS title, length(content) AS n_chars FROM listings WHERE {ARCHIVE_NO} <> 0
-          UNION ALL SELECT archive_id, entry_index, {MEMBER_KEY}, entry_name, length(trimmed) FROM texts WHERE trimmed <> '' AND {ARCHIVE_NO} <> 0
-          UNION ALL SELECT DISTINCT archive_id, 1000000000000, 'error', 'extraction error', 35 FROM members WHERE {ARCHIVE_NO} IN (0, 1))
+          SELECT archive_id, -1 AS pos, 'index' AS key, 'file index' AS title, length(content) AS n_chars FROM listings
+          UNION ALL SELECT archive_id, entry_index, {MEMBER_KEY}, entry_name, length(trimmed) FROM texts WHERE trimmed <> ''
+          UNION ALL SELECT DISTINCT {BROKEN_ID}, 1000000000000, 'error', 'extraction error', 35 FROM members WHERE {ARCHIVE_NO} IN (0, 1))
         SELECT archive_id, row_number() OVER (PARTITION BY archive_id ORDER BY pos) - 1 AS chunk_index, key, title, n_chars::BIGINT AS n_chars FROM c""",
 )
 

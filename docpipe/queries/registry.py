@@ -284,18 +284,16 @@ def route_summary(spark, sf_dir):
 
 @query
 def forced_inline(spark, sf_dir):
-    """Large documents returned in full all the same."""
-    staged = P.classify(
-        D.csv_customers(spark, sf_dir).select(
-            "doc_id",
-            F.concat(F.lit("https://example.org/"), "doc_id").alias("url"),
-            F.lit("text/csv").alias("content_type"),
-            F.encode("csv", "UTF-8").alias("body"),
-            F.lit(D.AS_OF).cast("timestamp").alias("fetched_at"),
-        )
+    """Responses of all kinds, most of them over a small limit, returned in full all the same."""
+    tables = D.csv_customers(spark, sf_dir).select(
+        F.concat(F.lit("https://example.org/"), "doc_id").alias("url"),
+        F.lit("text/csv").alias("content_type"),
+        F.encode("csv", "UTF-8").alias("body"),
+        F.lit(D.AS_OF).cast("timestamp").alias("fetched_at"),
     )
-    results, _, _ = P.route_csv(staged, force_inline=True)
-    return results.select("url", "type", "inline", "data")
+    responses = S.admitted(D.responses_of_documents(D.documents(spark, sf_dir)))
+    staged = stage(P.classify(responses.select(tables.columns).unionByName(tables)), f"{work_dir(spark, 'inline')}/staged")
+    return P.route(staged, force_inline=True, limit=30).results.select("url", "type", "inline", "data")
 
 
 # ---- HTML
