@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docpipe.llm.common import body, table
+from docpipe.llm.common import body, table, text_hash
 from docpipe.llm.words import blocks, grams, repeated, sums, words
 
 #: Labelled rows the trees are grown on: those with the smallest hash of doc_id.
@@ -174,10 +174,15 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Trees:
-    """Grow trees on up to `sample` labelled documents that are not held out. Rows without label are left aside."""
+    """Grow trees on up to `sample` labelled documents that are not held out. Rows without label are left aside.
+
+    Each pair of a doc_id and a label is one row, however often it or the document is repeated; where one doc_id has
+    several texts, one of them is taken (by its hash). So no more than `sample` rows reach the driver.
+    """
     usable = labels.select("doc_id", F.col("quality").cast("double").alias("label")).filter(F.col("label").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    chosen = usable.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    rows = docs.select("doc_id", body().alias("text")).join(F.broadcast(chosen), "doc_id").select("label", "text")
+    chosen = usable.distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    rows = docs.select("doc_id", body().alias("text")).join(F.broadcast(chosen), "doc_id")
+    rows = rows.groupBy("doc_id", "label").agg(F.min(F.struct(text_hash(), "text")).alias("one")).select("label", "one.text")
     found = rows.mapInArrow(_features, "label double, x array<double>").toArrow()
     x = np.array(found.column("x").to_pylist(), float).reshape(-1, len(FEATURES))
     order = np.lexsort((*x.T, found.column("label").to_numpy()))  # the same trees whatever the order of the partitions

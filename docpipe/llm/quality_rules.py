@@ -20,20 +20,20 @@ from docpipe.llm.words import blocks, grams, repeated, sums, words
 WINDOW = 8
 #: A host is rejected if the shrunk rate of any rule is above its limit.
 HOST_LIMITS = {"base": 0.9, "symbols": 0.9, "lines": 0.9}
-STATISTICS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
+STATISTICS = "n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long"
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
 
 
-def _repeated_lines(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Lines with a word that equal an earlier line of their text, counted per text."""
+def _lines(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lines with a word, and those of them that equal an earlier line of their text, counted per text."""
     raw = data.tobytes()
     counts = []
     for start, end in zip(offsets[:-1], offsets[1:], strict=True):
         lines = [x for x in raw[start:end].split(b"\n") if x and not x.isspace()]
-        counts.append(len(lines) - len(set(lines)))
-    return np.array(counts, np.int64)
+        counts.append((len(lines), len(lines) - len(set(lines))))
+    return tuple(np.array(counts, np.int64).reshape(-1, 2).T)
 
 
 def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -49,6 +49,7 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             cover = np.zeros(nw + 1, np.int64)
             np.add.at(cover, again, 1)
             np.add.at(cover, np.minimum(again + WINDOW, nw), -1)
+            n_lines, repeated_lines = _lines(data, offsets)
             yield pa.record_batch(
                 {
                     "doc_id": part.column("doc_id"),
@@ -57,7 +58,8 @@ def _statistics(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "n_words": found.counts.astype(np.int64),
                     "word_chars": chars,
                     "n_symbols": sums(_SYMBOL[data], offsets),
-                    "n_dup_lines": _repeated_lines(data, offsets),
+                    "n_lines": n_lines,
+                    "n_dup_lines": repeated_lines,
                     "n_repeat_words": sums(np.cumsum(cover)[:nw] > 0, found.bounds),
                 }
             )
@@ -79,7 +81,7 @@ def failures() -> dict[str, Column]:
     return {
         "base": base_failed(),
         "symbols": 10 * F.col("n_symbols") > F.col("word_chars"),
-        "lines": 2 * F.col("n_dup_lines") > F.col("n_words"),
+        "lines": 2 * F.col("n_dup_lines") > F.col("n_lines"),
     }
 
 
@@ -167,13 +169,14 @@ w AS (
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
         len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
             - len(list_distinct(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))) AS n_dup_lines,
+        len(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]'))) AS n_lines,
         coalesce(n_repeat_words, 0) AS n_repeat_words
     FROM d LEFT JOIN counted USING (doc_id)
 ), judged AS (
     SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM all_docs
 ), hosts AS (
     SELECT source, count(*) AS n, count(*) FILTER (base_failed) AS base, count(*) FILTER (10 * n_symbols > word_chars) AS symbols,
-        count(*) FILTER (2 * n_dup_lines > n_words) AS lines FROM judged GROUP BY source
+        count(*) FILTER (2 * n_dup_lines > n_lines) AS lines FROM judged GROUP BY source
 ), good AS (SELECT source, {ok} AS host_ok FROM hosts)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND host_ok AS kept
 FROM judged LEFT JOIN good ON judged.source IS NOT DISTINCT FROM good.source

@@ -38,6 +38,34 @@ def test_hosts(documents, none):
     assert quality_rules(none).count() == 0
 
 
+def test_each_rule_rejects_its_host(documents):
+    """A host whose documents repeat their lines, or hold hardly anything but symbols, goes by that rule alone."""
+    words = [" ".join(f"w{i * 7 + k}" for k in range(30)) for i in range(60)]
+    lines = "\n".join(["the very same line of seven words", "and a second one of eight words here"] * 3)
+    symbols = " ".join(f"#$%{k}" for k in range(30))
+    mixed = [*words[:12], *[lines] * 8]  # mostly clean
+    texts = [*words, *[f"{lines}\nits own line {i} with a few more words to be long enough for the rule" for i in range(40)], *[f"{symbols} {i}" for i in range(40)], *mixed]
+    sources = ["clean"] * 60 + ["lines"] * 40 + ["symbols"] * 40 + ["mixed"] * len(mixed)
+    counted = statistics(documents(texts, sources=sources)).cache()
+    rates = {r.host: r for r in host_verdicts(counted).collect()}
+    assert {h for h, r in rates.items() if not r.host_ok} == {"lines", "symbols"}
+    assert rates["lines"].rate_lines > 0.9 > rates["lines"].rate_symbols
+    assert rates["symbols"].rate_symbols > 0.9 > rates["symbols"].rate_lines
+    kept = {(r.host, r.base_failed, r.kept) for r in quality_rules(documents(texts, sources=sources)).collect()}
+    assert ("lines", False, True) not in kept and ("symbols", False, False) in kept and ("clean", False, True) in kept
+
+
+def test_repeated_rows_in_fit(spark, documents, monkeypatch):
+    """What reaches the driver is bounded by the sample, not by the rows that carry a labelled id."""
+    docs = documents(["good words here", "bad"] * 500 + ["other text"] * 20, ids=[1, 2] * 500 + [1] * 20)
+    labels = spark.createDataFrame([(1, 1), (2, 0)] * 30, "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality_model, "grow", lambda x, y: seen.append((len(x), len(y))))
+    quality_model.fit(docs, labels, sample=2)
+    usable = [i for i in (1, 2) if not __import__("zlib").crc32(str(i).encode()) % quality_model.FOLDS == 0]
+    assert seen == [(len(usable), len(usable))]
+
+
 def test_prior_of_alike_hosts_is_strong(spark):
     alike = spark.createDataFrame([(f"h{i}", 100, 10) for i in range(5)], "host string, n long, base long")
     apart = spark.createDataFrame([(f"h{i}", 100, 100 * (i % 2)) for i in range(6)], "host string, n long, base long")
