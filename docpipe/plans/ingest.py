@@ -73,13 +73,13 @@ def outputs(staged: DataFrame, work: str, members: DataFrame | None, force_inlin
     """The five tables from what `stage_all` wrote. None of them reads the responses again."""
     converted = staged_conversion(staged, f"{work}/converted")
     routed = route(staged, converted, members, force_inline, limit)
-    rejects = staged.filter(F.col("kind") == REJECTED).select("url", "stage", "reason")
+    rejects = staged.filter(F.col("kind") == REJECTED).select("record_id", "fetched_at", "url", "stage", "reason")
     return {
         "results": routed.results.select("doc.*", "url", "type", "inline", "data"),
         "chunks": chunk_rows(routed.chunks.select("doc.*", "chunk_index", "key", "title", "content")),
         "records": routed.records.select("doc.record_id", "url", "content_type", "doc.fetched_at", utc_day(F.col("doc.fetched_at")).alias("fetched_date")),
         "originals": routed.originals.select("doc.*", "key", "filename", "body"),
-        "rejects": rejects.unionByName(routed.rejects),
+        "rejects": rejects.unionByName(routed.rejects.select("doc.*", "url", "stage", "reason")),
     }
 
 

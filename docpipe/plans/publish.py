@@ -16,7 +16,7 @@ import json
 import re
 import time
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from contextlib import contextmanager
 from dataclasses import dataclass, field
 
@@ -106,15 +106,28 @@ class Store:
             return self.spark.createDataFrame([], POINTER)
         return self.spark.read.schema(POINTER).json(folder)
 
-    def read(self, table: str) -> DataFrame:
-        """The rows of all published runs. Files of other attempts are not even listed."""
-        pointers = [r for r in self.runs().select("run", "attempt", F.col("schemas")[table].alias("schema")).collect() if r["schema"]]
+    def has(self, table: str) -> bool:
+        return not self.runs().filter(F.col("schemas")[table].isNotNull()).isEmpty()
+
+    def read(self, table: str, extra: Sequence[str] = (), run: str | None = None) -> DataFrame:
+        """The rows of all published runs, or of one. Files of other attempts are not even listed.
+
+        ``extra`` may name `run`, and `file_time`, when the file of the row was written.
+        """
+        pointers = self.runs().filter(F.lit(run is None) | (F.col("run") == run))
+        pointers = [r for r in pointers.select("run", "attempt", F.col("schemas")[table].alias("schema")).collect() if r["schema"]]
         if not pointers:
             raise ValueError(f"no run with a table {table} is published in {self.base}")
         schema = T.StructType.fromJson(json.loads(max(pointers, key=lambda r: r["run"])["schema"]))
         paths = [self.folder(table, r["run"], r["attempt"]) for r in pointers]
-        rows = self.spark.read.schema(schema).option("basePath", f"{self.base.rstrip('/')}/data/{table}").parquet(*paths)
-        return rows.select(schema.names)
+        partitions = T.StructType([*schema.fields, T.StructField("run", T.StringType()), T.StructField("attempt", T.StringType())])
+        rows = self.spark.read.schema(partitions).option("basePath", f"{self.base.rstrip('/')}/data/{table}").parquet(*paths)
+        known = {"run": F.col("run"), "file_time": F.col("_metadata.file_modification_time").alias("file_time")}
+        return rows.select(*schema.names, *[known[e] for e in extra])
+
+    def withdraw(self, run: str) -> None:
+        """Take a run back: its pointer goes, and with it all its rows."""
+        Files(self.spark).remove(f"{self.base.rstrip('/')}/runs/{run_name(run)}.json")
 
     @contextmanager
     def publishing(self, name: str) -> Iterator[Run]:

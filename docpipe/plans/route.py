@@ -31,7 +31,7 @@ PDF_PREFIX, ZIP_PREFIX = "pdf:text:", "zip:contents:"
 @dataclass(frozen=True)
 class Routed:
     """``results``: doc, url, type, inline, data. ``chunks``: doc and the chunk columns. ``records``: doc, url,
-    content_type. ``originals``: doc, key, filename, body. ``rejects``: url, stage, reason."""
+    content_type. ``originals``: doc, key, filename, body. ``rejects``: doc, url, stage, reason."""
 
     results: DataFrame
     chunks: DataFrame
@@ -130,8 +130,8 @@ def route_json(staged: DataFrame, force_inline: bool, limit: int):
         results = _results(pretty.filter("valid"), "json", F.lit(True), F.col("pretty")).unionByName(
             _results(checked.filter("valid"), "json", F.lit(False), F.lit(""))
         )
-        invalid = pretty.filter(~F.col("valid")).select("url").unionByName(checked.filter(~F.col("valid")).select("url"))
-    rejects = invalid.select("url", F.lit("convert").alias("stage"), F.lit("invalid JSON").alias("reason"))
+        invalid = pretty.filter(~F.col("valid")).select("doc", "url").unionByName(checked.filter(~F.col("valid")).select("doc", "url"))
+    rejects = invalid.select("doc", "url", F.lit("convert").alias("stage"), F.lit("invalid JSON").alias("reason"))
     return results, split_json(big, "doc", "text"), _records(checked.filter("valid"), "application/json"), rejects
 
 

@@ -155,6 +155,11 @@ five AS (
       WHEN 'status' THEN 'HTTP 500' WHEN 'body' THEN 'missing body' ELSE 'invalid JSON' END, md5('') FROM answers WHERE stage IS NOT NULL)
 """
 
+add(
+    "retention_all_tables",
+    f"""WITH {DOCUMENT_RESPONSES.replace("FROM documents)", "FROM documents WHERE doc_id >= 100)")}
+        SELECT five.*, step FROM five, (VALUES ('logged'), ('compacted')) s(step)""",
+)
 add("ingest_tables", f"WITH {DOCUMENT_RESPONSES} SELECT * FROM five")
 add("stream_tables", f"WITH {DOCUMENT_RESPONSES} SELECT * FROM five")
 add(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from contextlib import suppress
+from datetime import datetime
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -25,6 +26,7 @@ from docpipe.operators.json_files import split_json_files
 from docpipe.plans import route as P
 from docpipe.plans.ingest import publish_ingest, stage, staged_conversion, work_dir
 from docpipe.plans.publish import Store
+from docpipe.plans.retention import compact, expire, live
 from docpipe.queries import fixtures as D
 from docpipe.session import configure
 from docpipe.sources import responses as S
@@ -150,12 +152,12 @@ def stream_ingest(spark, sf_dir):
 DOCUMENT_LIMIT = 2_000
 
 
-def _all_tables(store: Store) -> DataFrame:
+def _all_tables(store: Store, read=Store.read) -> DataFrame:
     """The rows of the five tables of a store in one form: table, what identifies a row, two labels and the content."""
 
     def rows(name, identity, first, second, content):
         columns = {"tbl": F.lit(name), "identity": identity, "first": first, "second": second, "content": F.md5(content)}
-        return store.read(name).select(*[(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
+        return read(store, name).select(*[(F.expr(c) if isinstance(c, str) else c).alias(n) for n, c in columns.items()])
 
     parts = [
         rows("results", "url", "type", "cast(inline as string)", F.col("data").cast("binary")),
@@ -180,6 +182,19 @@ def ingest_tables(spark, sf_dir):
     return _all_tables(store)
 
 
+@query
+def retention_all_tables(spark, sf_dir):
+    """What is left of a published run after a deletion log: read around the log, and again when it is compacted."""
+    store = publish_ingest(
+        D.responses_of_documents(D.documents(spark, sf_dir)), f"{work_dir(spark, 'published')}/store", "all", limit=DOCUMENT_LIMIT
+    )
+    expire(store, datetime(2024, 1, 31, 1, 40))
+    logged = f"{work_dir(spark, 'logged')}/rows"
+    _all_tables(store, live).write.parquet(logged)
+    compact(store)
+    return spark.read.parquet(logged).withColumn("step", F.lit("logged")).unionByName(_all_tables(store).withColumn("step", F.lit("compacted")))
+
+
 @query
 def ingest_accounting(spark, sf_dir):
     """How often each response ends in results or rejects after a run, and what the run's pointer counts."""

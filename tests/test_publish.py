@@ -1,11 +1,14 @@
 """Publishing: whole runs only, repeats replace, crashes leave nothing, each input once; the stream does the same."""
 
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
 from docpipe.plans import ingest
 from docpipe.plans.ingest import publish_ingest, stage_all
 from docpipe.plans.publish import Run, Store, run_name
+from docpipe.plans.retention import compact, expire, live
 from docpipe.streaming.ingest import stream_ingest
 from tests.conftest import plan_of
 
@@ -148,3 +151,46 @@ def test_stream(spark, tmp_path, monkeypatch):
     store = Store(spark, str(tmp_path / "out"))
     assert store.runs().count() == 2
     assert content(store) == content(batch)
+
+
+def test_retention(spark, tmp_path, monkeypatch):
+    """Old responses leave all tables at once, by the log first, then for good; crashes change nothing that is read."""
+    base = str(tmp_path / "store")
+    old = frame(spark, ROWS)
+    new = frame(spark, ROWS).withColumn("fetched_at", F.lit("2024-01-20 10:00:00").cast("timestamp"))
+    unknown = frame(spark, ROWS[:2]).withColumn("fetched_at", F.lit(None).cast("timestamp"))
+    store = publish_ingest(old.unionByName(new), base, "both", limit=50, size_limit=2000)
+    publish_ingest(unknown, base, "unknown", limit=50)
+
+    def seen():
+        drop = ["fetched_at", "created_at", "expires_at", "fetched_date"]
+        return {t: sorted(map(str, live(store, t).drop(*drop).collect())) for t in TABLES}
+
+    kept = {t: store.read(t).filter(~F.col("created_at" if t == "chunks" else "fetched_at").eqNullSafe(F.lit("2024-01-01 10:00:00").cast("timestamp"))) for t in TABLES}
+    expected = {t: sorted(map(str, rows.drop("fetched_at", "created_at", "expires_at", "fetched_date").collect())) for t, rows in kept.items()}
+    assert expire(store, datetime(2024, 2, 5)) == 7
+    assert seen() == expected and store.read("results").count() == 8
+    write = Run.write
+
+    def broken(self, table, rows, by=None):
+        write(self, table, rows, by)
+        if table == "chunks":
+            raise OSError("gone")
+
+    with monkeypatch.context() as patch:
+        patch.setattr(Run, "write", broken)
+        with pytest.raises(OSError):
+            compact(store)
+    assert seen() == expected
+    with monkeypatch.context() as patch:
+        patch.setattr(Store, "withdraw", lambda *a: (_ for _ in ()).throw(OSError("gone")))
+        with pytest.raises(OSError):
+            compact(store)
+    assert seen() == expected
+    assert compact(store) == 1 and compact(store) == 0
+    assert seen() == expected and store.read("results").count() == 5
+    # Responses without a time are as old as their files.
+    tomorrow = datetime.now() + timedelta(days=31)
+    assert expire(store, tomorrow, days=32) == 7
+    assert expire(store, tomorrow, days=30) == 9
+    assert all(live(store, t).isEmpty() for t in TABLES)
