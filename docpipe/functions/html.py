@@ -8,6 +8,9 @@ from __future__ import annotations
 
 from html.entities import html5
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 # One tag, a stretch of text, or a lone "<". Quotes count only after "=", so a stray one ends nothing.
 ATTRIBUTES = r"""(?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')?+|["'])*+"""
 TOKEN = rf"</?[a-zA-Z]{ATTRIBUTES}(?:>|\z)|[^<]++|<"
@@ -23,7 +26,9 @@ NOISE = (
     r"|/?[a-z][^<>]*+\z)"
 )
 # Characters that mark up fragments while a block is put together (see operators.html).
-MARKS = "\x01\x02\x03\x04\x05\x06\x07\x0b\x0e\x0f\x11\x12\x13\x14\x15\x16"
+MARKS = "\x01\x02\x03\x04\x05\x06\x07\x0b\x0e\x0f"
+# Stands before a letter that means a character of the page that is one of these.
+HIDDEN = "\x10"
 
 VOID_TAGS = "area base br col embed hr img input link meta param source track wbr".split()
 BLOCK_TAGS = (
@@ -109,7 +114,23 @@ def decode_entities(text: str) -> str:
 
 def clean_html(html: str) -> str:
     """The content of the body, without comments and invisible elements."""
-    return f"translate(regexp_replace({html}, {quote(NOISE)}, ''), '{MARKS}', '')"
+    return f"regexp_replace({html}, {quote(NOISE)}, '')"
+
+
+def hide_marks(text: str) -> str:
+    """Text in which none of the MARKS occurs; see shown_marks."""
+    hidden = "h"
+    for char in HIDDEN + MARKS:
+        hidden = f"replace({hidden}, '{char}', '{HIDDEN}{chr(ord(char) + 64)}')"
+    return bind(text, "h", f"CASE WHEN h RLIKE '[{HIDDEN}{MARKS}]' THEN {hidden} ELSE h END")
+
+
+def shown_marks(text: Column) -> Column:
+    """The characters that hide_marks hid, in their places. ``text`` should be a plain column."""
+    shown = text
+    for char in MARKS + HIDDEN:
+        shown = F.replace(shown, F.lit(HIDDEN + chr(ord(char) + 64)), F.lit(char))
+    return F.when(F.contains(text, F.lit(HIDDEN)), shown).otherwise(text)
 
 
 def html_tokens(body: str) -> str:

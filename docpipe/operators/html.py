@@ -5,8 +5,9 @@ Every window and grouping key starts with the document keys, so that single exch
 is bounded by the response size limit, which bounds the work of a task.
 
 Fragments carry control characters until their block is complete, because what they turn into depends on the
-block: 01/02 strong, 03/04 emphasis, 0E/0F code, 05/06..07 link (open, target), 0B line break. Matched pairs of
-the first three become 11/12, 13/14 and 15/16.
+block: 01/02 strong, 03/04 emphasis, 0E/0F code, 05/06..07 link (open, target), 0B line break. A closing mark is
+written only where its block has such a mark open, to any depth, so that marks nest like brackets; those that a block
+leaves open are closed at its end. The same characters in a page are hidden behind 10 until the block is complete.
 """
 
 from __future__ import annotations
@@ -21,9 +22,8 @@ from docpipe.functions.arrays import let, ordered_concat
 from docpipe.functions.text import chunk, is_blank, slug, trim, trim_long
 from docpipe.operators.common import ROW, by_document, explode_chunks, in_order
 
-PAIRS = [("\x01", "\x02", "\x11", "\x12"), ("\x03", "\x04", "\x13", "\x14"), ("\x0e", "\x0f", "\x15", "\x16")]
-# Same marks inside each other are matched this many levels deep.
-PAIRING_ROUNDS = 3
+# Tags that open and close a mark.
+PAIRED = {"strong": H.STRONG_TAGS, "emphasis": H.EMPHASIS_TAGS, "code": ["code"]}
 
 
 def html_body(df: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
@@ -86,6 +86,41 @@ def _depths(tokens: DataFrame, keys: Sequence[str], tags: dict[str, list[str]])
     )
 
 
+def _strays(tokens: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds ``<mark>_stray``: whether the token closes a mark that is not open in its block.
+
+    The number of open marks runs through the whole document; a closing tag is stray where it falls below all
+    earlier numbers of its block. Blocks are numbered in document order, so the lowest number of the current block is
+    a running maximum of (block, -number), packed in one integer.
+    """
+    running = in_order(keys, "pos")
+    earlier = Window.partitionBy(*keys).orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    steps = {
+        name: F.when(
+            (F.col("pre_depth") == 0) & F.col("tag").isin(names),
+            F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1),
+        )
+        for name, names in PAIRED.items()
+    }
+    block = F.shiftleft(F.col("block").cast("long"), 32)
+    counted = tokens.select(
+        "*",
+        *[F.coalesce(step, F.lit(0)).alias(f"{name}_step") for name, step in steps.items()],
+        *[F.coalesce(F.sum(step).over(running), F.lit(0)).alias(f"{name}_open") for name, step in steps.items()],
+    )
+
+    def lowest(name: str) -> Column:
+        return block + 2**31 - (F.col(f"{name}_open") - F.greatest(F.col(f"{name}_step"), F.lit(0)))
+
+    return counted.select(
+        *tokens.columns,
+        *[
+            ((F.col(f"{name}_step") < 0) & (lowest(name) > F.coalesce(F.max(lowest(name)).over(earlier), F.lit(0)))).alias(f"{name}_stray")
+            for name in PAIRED
+        ],
+    )
+
+
 def _with_title(opening: str, target: str, closing: str) -> str:
     """Target of a link or image, with the title if it has one; null without a target."""
     title = H.bind(H.attribute("token", "title"), "title", """CASE WHEN title <> '' THEN concat(' "', title, '"') ELSE '' END""")
@@ -98,19 +133,25 @@ def _with_title(opening: str, target: str, closing: str) -> str:
 
 LINK_TARGET = _with_title("''", "href", "")
 IMAGE = f"""coalesce({_with_title("'![', " + H.attribute("token", "alt") + ", ']('", "src", ")")}, '')"""
+
+
+def _closing(name: str, start: str, end: str) -> str:
+    return f"CASE WHEN kind = 'open' THEN '{start}' WHEN {name}_stray THEN '' ELSE '{end}' END"
+
+
 # What a token adds to the text of its block.
 FRAGMENT = f"""
 CASE
-  WHEN kind = 'text' AND pre_depth > 0 THEN {H.decode_entities("token")}
-  WHEN kind = 'text' AND in_code THEN {H.decoded_text("token")}
-  WHEN kind = 'text' THEN {H.escape_markdown(H.decoded_text("token"), "starts_block")}
+  WHEN kind = 'text' AND pre_depth > 0 THEN {H.hide_marks(H.decode_entities("token"))}
+  WHEN kind = 'text' AND in_code THEN {H.hide_marks(H.decoded_text("token"))}
+  WHEN kind = 'text' THEN {H.hide_marks(H.escape_markdown(H.decoded_text("token"), "starts_block"))}
   WHEN tag = 'br' THEN CASE WHEN pre_depth > 0 THEN '\n' ELSE '\x0b' END
   WHEN pre_depth > 0 AND tag <> 'pre' THEN ''
   WHEN tag = 'hr' THEN '* * *'
-  WHEN {H.one_of("tag", H.STRONG_TAGS)} THEN CASE WHEN kind = 'open' THEN '\x01' ELSE '\x02' END
-  WHEN {H.one_of("tag", H.EMPHASIS_TAGS)} THEN CASE WHEN kind = 'open' THEN '\x03' ELSE '\x04' END
-  WHEN tag = 'code' THEN CASE WHEN kind = 'open' THEN '\x0e' ELSE '\x0f' END
-  WHEN tag = 'img' THEN {IMAGE}
+  WHEN {H.one_of("tag", H.STRONG_TAGS)} THEN {_closing("strong", "\x01", "\x02")}
+  WHEN {H.one_of("tag", H.EMPHASIS_TAGS)} THEN {_closing("emphasis", "\x03", "\x04")}
+  WHEN tag = 'code' THEN {_closing("code", "\x0e", "\x0f")}
+  WHEN tag = 'img' THEN {H.hide_marks(IMAGE)}
   WHEN tag = 'a' THEN concat(
     CASE WHEN link_before IS NOT NULL THEN concat('\x06', link_before, '\x07') ELSE '' END,
     CASE WHEN link_after IS NOT NULL THEN '\x05' ELSE '' END)
@@ -136,7 +177,7 @@ def html_blocks(
         F.coalesce(tag.isin(H.BLOCK_TAGS), F.lit(False)) & ((F.col("pre_depth") == 0) | (tag == "pre"))
     ) | F.coalesce(F.lag("tag").over(at) == "hr", F.lit(False))
     # State of links: a tag <a> sets the target (or none), </a> resets it.
-    link = F.when(tag == "a", F.struct(F.when(kind == "open", F.expr(LINK_TARGET)).alias("target")))
+    link = F.when(tag == "a", F.struct(F.when(kind == "open", F.expr(H.hide_marks(LINK_TARGET))).alias("target")))
     code = F.when((tag == "code") & kind.isin("open", "close"), F.struct((kind == "open").alias("open"), "pos"))
     tokens = tokens.select(
         "*", boundary.alias("boundary"), link.alias("link"), code.alias("code"),
@@ -159,6 +200,7 @@ def html_blocks(
             "starts_block": F.coalesce(F.col("text_pos") < block_pos, F.lit(True)),
         }
     )
+    tokens = _strays(tokens, keys)
     # A link that is open where a block ends is closed there and opened again in the next block.
     reopened = F.when(F.col("boundary") & F.col("link_before").isNotNull(), "\x05").otherwise("")
     fragment = F.concat(reopened, F.expr(FRAGMENT))
@@ -178,6 +220,18 @@ def html_blocks(
     )
 
 
+def _without_empty(text: str) -> str:
+    """Marks around nothing are removed, and what is empty then, until none is left."""
+    empty = "\x01\x02|\x03\x04|\x0e\x0f"
+    rounds = f"length({text}) - length(translate({text}, '\x01\x03\x0e', ''))"
+    shorter = H.bind(f"regexp_replace(a.rest, '{empty}', '')", "r", "named_struct('rest', r, 'more', length(r) < length(a.rest))")
+    loop = (
+        f"aggregate(sequence(1, {rounds}), named_struct('rest', {text}, 'more', true), "
+        f"(a, i) -> CASE WHEN a.more THEN {shorter} ELSE a END, a -> a.rest)"
+    )
+    return f"CASE WHEN {text} RLIKE '{empty}' THEN {loop} ELSE {text} END"
+
+
 def _block_text_sql() -> str:
     """Markdown of the marked-up text of one block, from the columns raw and open_link."""
 
@@ -189,26 +243,21 @@ def _block_text_sql() -> str:
 
     # A link still open at the end of the block is closed there.
     text = "concat(raw, CASE WHEN open_link IS NOT NULL THEN concat('\x06', open_link, '\x07') ELSE '' END)"
-    marks = "t"
-    for start, end, paired_start, paired_end in PAIRS:
-        for _ in range(PAIRING_ROUNDS):
-            marks = regexp(marks, f"{start}([^{start}{end}]*){end}", f"{paired_start}$1{paired_end}")
-        marks = replace(marks, end, "")
-    # Space moves out of the marks, empty marks and links go away.
-    marks = regexp(marks, "([\x01\x03\x11\x13\x05]+) +", " $1")
-    marks = regexp(marks, " +([\x12\x14]+)", "$1 ")
-    marks = regexp(marks, "\x11\x12|\x13\x14|\x15\x16", "")
-    marks = regexp(marks, "\x11\x12|\x13\x14", "")
+    # Space moves out of the marks, empty marks and links go away. Each run is looked at once, from its start.
+    marks = regexp("t", "(?<![\x01\x03\x05])([\x01\x03\x05]++) +", " $1")
+    marks = regexp(marks, "(?<! ) ++([\x02\x04]+)", "$1 ")
+    marks = H.bind(marks, "e", _without_empty("e"))
     marks = regexp(marks, "\x05( *)\x06[^\x07]*\x07", "$1")
     marks = regexp(regexp(marks, " {2,}", " "), " *\x0b *", "\x0b")
     marks = f"rtrim(' \x0b\x01\x03\x0e', ltrim(' \x0b', {marks}))"
-    # What is open is closed at the end of the block.
+    # What is open is closed at the end of the block: every closing mark has its opening one.
     closed = "m"
-    for start, end in (("\x0e", "`"), ("\x03", "_"), ("\x01", "**")):
-        closed = f"concat({closed}, repeat('{end}', length(m) - length(replace(m, '{start}', ''))))"
+    for start, end, out in (("\x0e", "\x0f", "`"), ("\x03", "\x04", "_"), ("\x01", "\x02", "**")):
+        still_open = f"length(replace(m, '{end}', '')) - length(replace(m, '{start}', ''))"
+        closed = f"concat({closed}, repeat('{out}', {still_open}))"
     for mark, out in (
-        ("\x01", "**"), ("\x11", "**"), ("\x12", "**"), ("\x03", "_"), ("\x13", "_"), ("\x14", "_"),
-        ("\x0e", "`"), ("\x15", "`"), ("\x16", "`"), ("\x05", "["), ("\x06", "]("), ("\x07", ")"), ("\x0b", "  \\n"),
+        ("\x01", "**"), ("\x02", "**"), ("\x03", "_"), ("\x04", "_"), ("\x0e", "`"), ("\x0f", "`"),
+        ("\x05", "["), ("\x06", "]("), ("\x07", ")"), ("\x0b", "  \\n"),
     ):
         closed = replace(closed, mark, out)
     marked = H.bind(marks, "m", closed)
@@ -239,9 +288,10 @@ def _markdown_blocks(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
     blocks = blocks.select(
         *keys, "block", "tag", "quote_depth", "start",
         F.when(is_item & (F.col("list_depth") == 0), 1).otherwise(F.col("list_depth")).alias("list_depth"),
-        F.when(tag == "pre", _code_block(F.col("raw"), F.col("language")))
-        .otherwise(F.expr(BLOCK_TEXT))
-        .alias("text"),
+        let(
+            F.when(tag == "pre", _code_block(F.col("raw"), F.col("language"))).otherwise(F.expr(BLOCK_TEXT)),
+            H.shown_marks,
+        ).alias("text"),
     )
     blocks = blocks.select(
         "*",
@@ -383,11 +433,13 @@ def html_sections(df: DataFrame, id_col: str = "page_id", html_col: str = "html"
     top_text = bare & (kind == "text") & (inline_depth <= 0)
     # Nothing is lost: what is no content stands between 01 and 02, the source of a decoded text before it between
     # 03 and 02 and the text up to 04. Pages without content are put together again from that.
+    # The same characters in the page are hidden meanwhile.
+    hidden = F.expr(H.hide_marks("token"))
     decoded = F.expr(H.decode_entities("token"))
     fragment = (
-        F.when(edge | in_heading, F.concat(F.lit("\x01"), token, F.lit("\x02")))
-        .when(top_text, F.concat(F.lit("\x03"), token, F.lit("\x02"), decoded, F.lit("\x04")))
-        .otherwise(token)
+        F.when(edge | in_heading, F.concat(F.lit("\x01"), hidden, F.lit("\x02")))
+        .when(top_text, F.concat(F.lit("\x03"), hidden, F.lit("\x02"), F.expr(H.hide_marks(H.decode_entities("token"))), F.lit("\x04")))
+        .otherwise(hidden)
     )
     title_part = F.when(in_heading & (kind == "text"), decoded).otherwise("")
     visible = F.translate(F.regexp_replace("raw", "\x03[^\x02]*\x02", ""), "\x04", "")
@@ -405,8 +457,8 @@ def html_sections(df: DataFrame, id_col: str = "page_id", html_col: str = "html"
             *keys,
             "section",
             F.when(F.col("section") == 0, "content").otherwise(trim(F.col("raw_title"))).alias("title"),
-            let(F.array_join(parts, "\n"), trim_long).alias("content"),
-            source.alias("source"),
+            let(let(F.array_join(parts, "\n"), H.shown_marks), trim_long).alias("content"),
+            let(source, H.shown_marks).alias("source"),
         )
         .select("*", F.when(F.col("content") == "", F.col("source")).alias("empty"))
     )

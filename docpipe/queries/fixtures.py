@@ -108,6 +108,19 @@ def _escaped(text):
     return text
 
 
+def html_nested_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words of every document inside one to eight marks of one kind, with too many closing tags, marks left open,
+    empty marks and control characters."""
+    doc = F.col("doc_id")
+    words = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[^A-Za-z0-9]+", " "))
+    depth = doc % 8 + 1
+    html = F.concat(
+        F.lit("<p>x"), F.repeat(F.lit("<b>"), depth), F.lit("a\x02 "), words, F.lit(" \x10B"), F.repeat(F.lit("</b>"), depth + doc % 3),
+        F.lit("</i>"), F.repeat(F.lit("<em>"), depth), F.repeat(F.lit("</em>"), depth), F.lit("&#1; "), F.repeat(F.lit("<i>"), doc % 6), F.lit("e</p><p>n</i>d</p>"),
+    )
+    return table(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", html.alias("html"))
+
+
 def html_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long pages with a headed section per document."""
     section = F.concat(

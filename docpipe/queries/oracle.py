@@ -373,6 +373,13 @@ add(
 )
 add("html_blocks", f"WITH {BLOCKS} SELECT page_id, block::BIGINT AS block, tag, text FROM blocks")
 add("html_to_markdown", f"WITH {BLOCKS} SELECT page_id, markdown FROM pages_md")
+add(
+    "html_nested_marks",
+    """WITH d AS (SELECT doc_id, trim(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', ' ', 'g')) AS words FROM documents)
+        SELECT doc_id, 'x' || repeat('**', (doc_id % 8 + 1)::INT) || 'a' || chr(2) || ' ' || CASE WHEN words = '' THEN '' ELSE words || ' ' END || chr(16) || 'B'
+          || repeat('**', (doc_id % 8 + 1)::INT) || chr(1) || ' ' || repeat('_', (doc_id % 6)::INT) || 'e' || repeat('_', (doc_id % 6)::INT)
+          || chr(10) || chr(10) || 'nd' AS markdown FROM d""",
+)
 add(
     "html_links",
     f"""WITH {BODY}, found AS (

@@ -340,6 +340,11 @@ def html_to_markdown(spark, sf_dir):
     return H.html_to_markdown(D.pages(spark, sf_dir))
 
 
+@query
+def html_nested_marks(spark, sf_dir):
+    return H.html_to_markdown(D.html_nested_marks(spark, sf_dir), ["doc_id"])
+
+
 @query
 def html_links(spark, sf_dir):
     return H.html_links(D.pages(spark, sf_dir))

@@ -1,3 +1,5 @@
+from random import Random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -29,6 +31,14 @@ MARKDOWN = [
     ("<p>a\n\t b</p>  <div>c</div>", "a b\n\nc"),
     ("<p title=it's>x</p><p>y's</p>", "x\n\ny's"),
     ("<header>top</header>", "top"),
+    ("<p><b><b><b><b><b>x</b></b></b></b></b></b></b> y</p>", "**********x********** y"),
+    ("<p><i><b>a</i></b></i></b> c</b><p>d</i>e", "_**a_** c\n\nde"),
+    ("<p>a<b><i><code><b><i></i></b></code></i></b>b <code><b></b></code></p>", "ab"),
+    ("<p><b>open<p>in</b> <b>next", "**open**\n\nin **next**"),
+    ("a<hr><b>x</b> y</b>", "a\n\n* * *\n\n**x** y"),
+    ("<pre>x</b><b>y</pre><p></b>z", "```\nxy\n```\n\nz"),
+    ("<p>one\x0btwo \x01\x02&#5;<b>\x10A</b></p><pre>\x0f</pre>", "one\x0btwo \x01\x02\x05**\x10A**\n\n```\n\x0f\n```"),
+    ("<a href='/\x07&#6;'>l</a><img src=i alt='\x0e'>", "[l](/\x07\x06)![\x0e](i)"),
 ]
 
 
@@ -68,6 +78,8 @@ SECTIONS = [
     ("<div></div>", [("content", "content", "<div></div>")]),
     ("", [("content", "content", "")]),
     ("<h1>A</h1><p>1</p><h2>B</h2><p>2</p><h3>C</h3><p>3</p>", [("a", "A", "1"), ("b", "B", "2"), ("c", "C", "3")]),
+    ("<h1>A\x01</h1>\x02p&#3;<p>\x04q</p><h2>\x10</h2>\x03", [("a", "A\x01", "\x02p\x03\n\x04q"), ("section", "\x10", "\x03")]),
+    ("<h1>\x02\x10B</h1>", [("content", "content", "<h1>\x02\x10B</h1>")]),
     ("<article><h1>T</h1>x</article></div><h2>U</h2>y", [("content", "content", "<h1>T</h1>x"), ("u", "U", "y")]),
 ]
 
@@ -98,6 +110,43 @@ def test_unclosed_tags_take_linear_time(table):
     assert [r.markdown for r in H.html_to_markdown(table([html], "html"), ["doc_id"]).collect()] == [""]
 
 
+def nested(marks):
+    """Markdown of one block of marks and words, by a stack per kind."""
+    out, open_marks = [], {"b": 0, "i": 0}
+    for mark in marks:
+        if mark in ("<b>", "<i>"):
+            open_marks[mark[1]] += 1
+        elif mark in ("</b>", "</i>"):
+            if not open_marks[mark[2]]:
+                continue
+            open_marks[mark[2]] -= 1
+        out.append(mark)
+    text = "".join(out)
+    while (shorter := text.replace("<b></b>", "").replace("<i></i>", "")) != text:
+        text = shorter
+    while text.endswith(("<b>", "<i>")):
+        text = text[:-3]
+    still = {kind: text.count(f"<{kind}>") - text.count(f"</{kind}>") for kind in "bi"}
+    text += "_" * still["i"] + "**" * still["b"]
+    return text.replace("<b>", "**").replace("</b>", "**").replace("<i>", "_").replace("</i>", "_")
+
+
+def test_marks_against_a_stack(table):
+    random = Random(5)
+    blocks = [["w", *random.choices(["<b>", "</b>", "<i>", "</i>", "w"], k=random.randint(0, 40))] for _ in range(300)]
+    html = "".join(f"<p>{''.join(block)}</p>" for block in blocks)
+    (one,) = H.html_to_markdown(table([html], "html"), ["doc_id"]).collect()
+    assert one.markdown.split("\n\n") == [nested(block) for block in blocks]
+    each = H.html_to_markdown(table([f"<p>{''.join(block)}</p>" for block in blocks], "html"), ["doc_id"])
+    assert {r.doc_id: r.markdown for r in each.collect()} == {i: nested(block) for i, block in enumerate(blocks)}
+
+
+def test_deep_marks_take_linear_time(table):
+    html = "<p>" + "<b>" * 50_000 + "x" + "</b>" * 60_000
+    (row,) = H.html_to_markdown(table([html], "html"), ["doc_id"]).collect()
+    assert row.markdown == "**" * 50_000 + "x" + "**" * 50_000
+
+
 def test_all_names_and_long_numbers(table):
     html = "<p>&alpha; &Omega; &sum; &check; &bsol; &nosuch;</p><ol start='12345678901'><li>x</li></ol>"
     text = H.html_to_markdown(table([html], "html"), ["doc_id"]).first().markdown
