@@ -158,6 +158,44 @@ def find_pii(docs: DataFrame, text_column: str = "text", out: str = "pii") -> Da
     return docs.withColumn(out, F.concat(*[_spans_of(k, text) for k in BASE], *added))
 
 
+def _masked(text: Column, spans: Column) -> Column:
+    """text with the sorted spans (start, back = -end, kind), at least one, replaced by their kinds.
+
+    A position is found by counting from the start of a text, so the text is cut into the stretches of sqrt(n) spans
+    first and each stretch at its spans: n spans cost sqrt(n) times the text, not n times.
+    """
+    n = F.size(spans)
+    width = F.greatest(F.lit(BLOCK), F.ceil(F.sqrt(n)).cast("int"))
+    blocks = F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), width), lambda first: F.slice(spans, first + 1, width))
+    none = F.array().cast("array<struct<spans:array<struct<start:int,back:int,kind:string>>,start:int,end:int>>")
+
+    def add_block(state: Column, block: Column) -> Column:
+        end = F.greatest(state["at"], F.array_max(F.transform(block, lambda s: -s["back"])))
+        cut = F.struct(block.alias("spans"), state["at"].alias("start"), end.alias("end"))
+        return F.struct(end.alias("at"), F.concat(state["cuts"], F.array(cut)).alias("cuts"))
+
+    def mask_block(cut: Column) -> Column:
+        def mask(stretch: Column) -> Column:
+            def add(state: Column, s: Column) -> Column:
+                gap = F.substring(stretch, state["at"] - cut["start"] + 1, s["start"] - state["at"])
+                parts = F.concat(state["parts"], F.array(gap, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))
+                return F.struct(
+                    F.greatest(-s["back"], state["at"]).alias("at"),
+                    F.when(s["start"] < state["at"], state["parts"]).otherwise(parts).alias("parts"),
+                )
+
+            start = F.struct(cut["start"].alias("at"), F.array().cast("array<string>").alias("parts"))
+            return F.aggregate(cut["spans"], start, add, lambda state: F.array_join(state["parts"], ""))
+
+        return _once(F.substring(text, cut["start"] + 1, cut["end"] - cut["start"]), mask)
+
+    def join(state: Column) -> Column:
+        rest = F.substring(text, state["at"] + 1, F.length(text))
+        return F.concat(F.array_join(F.transform(state["cuts"], mask_block), ""), rest)
+
+    return _once(F.aggregate(blocks, F.struct(F.lit(0).alias("at"), none.alias("cuts")), add_block), join)
+
+
 def mask_pii(docs: DataFrame, text_column: str = "text") -> DataFrame:
     """Replace each span by its kind in brackets; of spans that overlap, the first (and longer) one names the whole.
 
@@ -166,18 +204,7 @@ def mask_pii(docs: DataFrame, text_column: str = "text") -> DataFrame:
     name = fresh(docs, "_pii")
     found = find_pii(docs, text_column, name)
     order = F.array_sort(F.transform(name, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("back"), s["kind"].alias("kind"))))
-
-    def join(state: Column, s: Column) -> Column:
-        overlaps = s["start"] < state["at"]
-        end = F.greatest(-s["back"], state["at"])
-        kept = F.substring(F.col(text_column), state["at"] + 1, s["start"] - state["at"])
-        return F.struct(end.alias("at"), F.when(overlaps, state["parts"]).otherwise(F.concat(state["parts"], F.array(kept, F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))))).alias("parts"))
-
-    def finish(state: Column) -> Column:
-        rest = F.substring(F.col(text_column), state["at"] + 1, F.length(text_column))
-        return F.concat(F.array_join(state["parts"], ""), rest)
-
-    masked = F.aggregate(order, F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts")), join, finish)
+    masked = _once(order, lambda spans: _masked(F.col(text_column), spans))
     return found.withColumn(text_column, F.when(F.size(name) > 0, masked).otherwise(F.col(text_column))).drop(name)
 
 

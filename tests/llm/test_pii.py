@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 import pytest
 
@@ -80,3 +81,33 @@ def test_odd_rows_and_masks(odd, none, documents):
     assert mask_pii(none).count() == 0
     text = "é😀 mail a@b.cc, call +49 30 1234567 or 1.2.3.4!"
     assert mask_pii(documents([text])).first().text == "é😀 mail [EMAIL], call [PHONE] or [IP]!"
+
+
+def plain_mask(text, spans):
+    out, at = [], 0
+    for s in sorted(spans, key=lambda s: (s.start, -s.end, s.kind)):
+        if s.start >= at:
+            out += [text[at : s.start], f"[{s.kind.upper()}]"]
+        at = max(at, s.end)
+    return "".join(out) + text[at:]
+
+
+def test_masks_against_a_plain_loop(documents):
+    rng = random.Random(11)
+    parts = ["a@b.cc", "1.2.3.4", "4111 1111 1111 1111", "+49 (30) 123-4567", "+4111111111111111", "é", "😀", " ", "\n", "word", "x1.2.3.4@w.de", "DE89370400440532013000"]
+    texts = ["".join(rng.choice(parts) for _ in range(n)) for n in [*range(60), 700, 1500, 4000]]
+    found = {r.doc_id: plain_mask(r.text, r.pii) for r in find_pii(documents(texts)).collect()}
+    assert {r.doc_id: r.text for r in mask_pii(documents(texts)).collect()} == found
+
+
+def test_masking_many_spans_does_not_grow_with_their_square(documents):
+    def seconds(n):
+        df = documents(["é x@y.zz " * n]).coalesce(1)
+        start = time.perf_counter()
+        (row,) = mask_pii(df).collect()
+        assert row.text == "é [EMAIL] " * n
+        return time.perf_counter() - start
+
+    seconds(1_000)
+    few, many = seconds(5_000), seconds(40_000)
+    assert many < 24 * few
