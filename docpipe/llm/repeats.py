@@ -1,16 +1,21 @@
-"""Passages that repeat across documents, by windows around minimisers.
+"""Passages that repeat across documents, by sparse suffix arrays.
 
-Minimisers are places chosen by the words around them, so that equal passages choose equal places. Steps:
+Only suffixes at minimisers are kept: places chosen by the words around them, so that equal passages choose equal places.
 
-1. equal texts become one text from here on, whatever their number; each is reduced to its minimisers and a hash of the
-   words that any long enough match shares to the right of its first minimiser,
-2. hashes that stand in more than one text name the minimisers around which anything can match at all,
-3. every window of LENGTH words that has its first smallest gram at such a minimiser is hashed whole; windows that more
-   than one text has are the repeats, so that no match depends on which texts are compared with which,
-4. windows are united per text and handed to all documents that have it.
+1. Equal texts become one text from here on, whatever their number; each is reduced to its minimisers and a hash of the
+   words that any long enough match shares to the right of its first minimiser.
+2. Hashes that stand in more than one text name the suffixes that can match at all. Each carries the words that decide
+   on a match: LENGTH to the right and WINDOW - 1 to the left. Equal suffixes become one, with the texts they stand in.
+3. The suffixes are sorted by the words to the right, across the cluster by ranges, so that a frequent passage is spread
+   over tasks. Neighbours of different texts are extended to both sides. A second time they are sorted by the words to
+   the left. The first order tells the most words any other text shares to the right, the second the most to the left.
+4. Where the neighbours reach both of these, nothing more can be found. Where they do not (many texts share the words on
+   one side of a minimiser, and the partner on both sides is nearest in neither order), every run of LENGTH words that
+   the two bounds allow is hashed and counted, among the suffixes with the same words to the right.
+5. Matches are united per text and handed to all documents that have it.
 
-The first smallest gram of a window lies within its first WINDOW words and depends on the window alone. The hash of the
-words that follow it and the hash of the whole window are taken together, as 128 bits.
+A run of LENGTH words has its first smallest gram within its first WINDOW words, so all its words lie within what the
+suffix there carries. Runs around one place overlap: the first and the last of them tell the stretch.
 """
 
 from __future__ import annotations
@@ -20,11 +25,11 @@ from hashlib import md5
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docpipe.llm.common import body, table, written
-from docpipe.llm.words import Words, blocks, grams, words
+from docpipe.llm.words import Words, blocks, grams, mix, text_bytes, words
 
 LENGTH = 50
 GRAM = 8
@@ -85,44 +90,169 @@ def _describe(length: int, gram: int, window: int):
     return run
 
 
-def _windows(length: int, gram: int, window: int):
-    """(key, hash, number, at) of each window of `length` words whose first smallest gram is at one of the places."""
+def _binary(values: np.ndarray) -> pa.Array:
+    """Rows of 64-bit values as bytes that sort like the rows."""
+    offsets = np.arange(len(values) + 1, dtype=np.int32) * np.int32(8 * values.shape[1])
+    return pa.Array.from_buffers(pa.binary(), len(values), [None, pa.py_buffer(offsets), pa.py_buffer(values.astype(">u8").tobytes())])
+
+
+def _matrix(column: pa.Array, width: int) -> np.ndarray:
+    return text_bytes(column)[0].view(np.uint64).reshape(len(column), width)
+
+
+def _suffixes(length: int, window: int, rows: int = 20_000):
+    """The suffixes at the wanted places: their words to the right, and those to the left in reverse; 0 is no word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part, data, offsets in blocks(batch, "text"):
                 found = words(data, offsets)
-                hashes, at = grams(found, length)
-                if not len(at):
-                    continue
-                n = len(found.hashes)
-                small, where = grams(found, gram)
-                value = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-                value[where] = small
-                least = _sliding(np.arange(n), window, lambda a, b: np.where(value[b] < value[a], b, a))[at]
-                keys, where = grams(found, _reach(length, window))
-                key = np.zeros(n, np.uint64)
-                key[where] = keys
+                code = np.append(np.maximum(found.hashes, np.uint64(1)), np.uint64(0))
+                none = len(code) - 1
+                hashes, at = grams(found, _reach(length, window))
                 places = part.column("places")
                 owner = np.repeat(np.arange(part.num_rows), places.value_lengths().to_numpy(zero_copy_only=False))
-                wanted = np.zeros(n, bool)
-                wanted[found.bounds[owner] + places.flatten().to_numpy()] = True
-                kept = wanted[least]
-                at, hashes, key = at[kept], hashes[kept], key[least[kept]]
-                text = np.searchsorted(found.bounds, at, side="right") - 1
-                number = part.column("number").to_numpy()
-                yield pa.record_batch(
-                    {
-                        "key": key.astype(np.int64),
-                        "hash": hashes.astype(np.int64),
-                        "number": number[text],
-                        "at": (at - found.bounds[text]).astype(np.int32),
-                    }
-                )
+                place = places.flatten().to_numpy()
+                number = part.column("number").to_numpy()[owner]
+                for i in range(0, len(place), rows):
+                    text = owner[i : i + rows, None]
+                    p = found.bounds[text] + place[i : i + rows, None]
+                    right, left = p + np.arange(length), p - 1 - np.arange(window - 1)
+                    yield pa.record_batch(
+                        {
+                            "key": hashes[np.searchsorted(at, p[:, 0])].astype(np.int64),
+                            "right": _binary(code[np.where(right < found.bounds[text + 1], right, none)]),
+                            "left": _binary(code[np.where(left >= found.bounds[text], left, none)]),
+                            "number": number[i : i + rows],
+                            "place": place[i : i + rows],
+                        }
+                    )
 
     return run
 
 
+def _shared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words the rows of a and b share from their start; what lies beyond a text is shared with nothing."""
+    same = (a == b) & (a != 0)
+    return np.where(same.all(axis=1), a.shape[1], same.argmin(axis=1))
+
+
+_NODE = "key long, node binary, right binary, left binary, low long, high long, most_right int, most_left int, first int, last int"
+
+
+def _extend(length: int, window: int, order: str):
+    """Compares suffixes, which come in order, with the nearest before and behind them that are of another text.
+
+    `first` and `last` become the least and the largest number of words left of the place with which a run of `length`
+    words repeats, most_<order> the most words any other text shares on that side. At the ends of a task, where a
+    neighbour is not seen, that is all words there are.
+    """
+
+    def judge(rows: pa.RecordBatch, skip: int, stop: int) -> pa.RecordBatch:
+        n = rows.num_rows
+        key, low, high = (rows.column(c).to_numpy() for c in ("key", "low", "high"))
+        right, left = _matrix(rows.column("right"), length), _matrix(rows.column("left"), window - 1)
+        most, first, last = (rows.column(c).to_numpy().copy() for c in (f"most_{order}", "first", "last"))
+        heads = _heads(key, low, high)
+        run = np.cumsum(heads) - 1
+        starts = np.append(np.flatnonzero(heads), n)
+        own_right, own_left = (right != 0).sum(axis=1), (left != 0).sum(axis=1)
+        side = own_right if order == "right" else own_left
+        several = low != high
+        unseen = np.zeros(n, bool)
+
+        def meet(i: np.ndarray, r: np.ndarray, l: np.ndarray) -> None:
+            most[i] = np.maximum(most[i], r if order == "right" else l)
+            a, b = np.maximum(0, length - r), np.minimum(l, window - 1)
+            i, a, b = i[a <= b], a[a <= b], b[a <= b]
+            first[i], last[i] = np.minimum(first[i], a), np.maximum(last[i], b)
+
+        meet(np.flatnonzero(several), own_right[several], own_left[several])
+        for other in (starts[run] - 1, starts[run + 1]):
+            outside = (other < 0) | (other == n)
+            unseen |= outside
+            i = np.flatnonzero(~outside)
+            i = i[key[i] == key[other[i]]]
+            j = other[i]
+            meet(i, _shared(right[i], right[j]), _shared(left[i], left[j]))
+        most[unseen] = side[unseen]
+        changed = {f"most_{order}": most, "first": first, "last": last}
+        return pa.record_batch({c: pa.array(changed[c]) if c in changed else rows.column(c) for c in rows.schema.names}).slice(skip, stop - skip)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, skip = None, 0  # the suffixes of the last text, after the one before them
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks().to_batches()[0]
+            begin = int(np.flatnonzero(_heads(*(rows.column(c).to_numpy() for c in ("key", "low", "high"))))[-1])
+            if begin > skip:
+                yield judge(rows, skip, begin)
+            held, skip = (rows.slice(begin - 1), 1) if begin else (rows, 0)
+        if held is not None:
+            yield judge(held, skip, held.num_rows)
+
+    return run
+
+
+def _heads(key: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Where another hash or another text begins; a suffix that several texts have stands alone."""
+    heads = np.ones(len(key), bool)
+    heads[1:] = (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]) | (low[1:] != high[1:])
+    return heads
+
+
+def _runs(length: int, window: int):
+    """(key, words_left, hash, node, low, high) of each run of `length` words that the bounds of a suffix allow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            around = np.hstack((_matrix(batch.column("left"), window - 1)[:, ::-1], _matrix(batch.column("right"), length)))
+            least = np.maximum(0, length - batch.column("most_right").to_numpy())
+            most = np.minimum(window - 1, batch.column("most_left").to_numpy())
+            for l in range(window):
+                i = np.flatnonzero((least <= l) & (l <= most))
+                if len(i):
+                    start = window - 1 - l
+                    flat = _row_hash(around[i, start : start + length])
+                    taken = batch.take(pa.array(i))
+                    yield pa.record_batch(
+                        {"key": taken.column("key"), "words_left": np.full(len(i), l, np.int32), "hash": flat.astype(np.int64)}
+                        | {c: taken.column(c) for c in ("node", "low", "high")}
+                    )
+
+    return run
+
+
+def _row_hash(rows: np.ndarray) -> np.ndarray:
+    """A hash of each row of 64-bit values, which depends on their order."""
+    out = np.zeros(len(rows), np.uint64)
+    for j in range(rows.shape[1]):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + rows[:, j])
+    return out
+
+
+def _stretches(nodes: DataFrame, length: int, window: int) -> DataFrame:
+    """(node, first, last) of the suffixes around which something repeats; nodes as `_NODE` after both orders."""
+    least, most = F.greatest(F.lit(0), F.lit(length) - F.col("most_right")), F.least(F.lit(window - 1), F.col("most_left"))
+    possible = nodes.filter(least <= most)
+    unsettled = possible.filter((F.col("first") > least) | (F.col("last") < most)).select("key").distinct()
+    runs = written(
+        possible.join(written(unsettled, "unsettled"), "key", "left_semi").mapInArrow(
+            _runs(length, window), "key long, words_left int, hash long, node binary, low long, high long"
+        ),
+        "runs",
+    )
+    by = ["key", "words_left", "hash"]
+    twice = runs.groupBy(*by).agg(F.min("low").alias("low"), F.max("high").alias("high")).filter("low != high").select(*by)
+    # Plain shuffles on both sides, so that a run that very many suffixes have is split at run time.
+    counted = runs.join(written(twice, "twice"), by, "left_semi").select("node", F.col("words_left").alias("first"), F.col("words_left").alias("last"))
+    both = possible.filter("first <= last").select("node", "first", "last").unionByName(counted)
+    return both.groupBy("node").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+
+
 def repeated_passages(
     docs: DataFrame, length: int = LENGTH, gram: int = GRAM, window: int = WINDOW, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
@@ -140,12 +270,12 @@ def repeated_passages(
     described = written(
         rows.mapInArrow(_describe(length, gram, window), f"doc_id {kind}, text_key binary, n_words long, keys array<long>, places array<int>"), "described"
     )
-    suffixes = described.select("text_key", F.explode(F.arrays_zip("keys", "places")).alias("s")).select("text_key", F.col("s.keys").alias("key"), F.col("s.places").alias("place"))
+    places = described.select("text_key", F.explode(F.arrays_zip("keys", "places")).alias("s")).select("text_key", F.col("s.keys").alias("key"), F.col("s.places").alias("place"))
     # Copies give equal rows, so a hash that only one text has at one place has equal extremes.
     mark = F.xxhash64("text_key")
     # Written first: then both sides of the join are plain shuffles, and a hash that very many texts have is split.
-    several = suffixes.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low != high").select("key")
-    matching = written(suffixes.join(written(several, "several"), "key", "left_semi"), "matching")
+    several = places.groupBy("key").agg(F.min(mark).alias("low"), F.max(mark).alias("high")).filter("low != high").select("key")
+    matching = written(places.join(written(several, "several"), "key", "left_semi"), "matching")
 
     # One numbered row per text that matters, with its places; its words are read from one document that has it.
     wanted = matching.groupBy("text_key").agg(F.collect_set("place").alias("places"))
@@ -153,19 +283,30 @@ def repeated_passages(
     wanted = written(wanted.join(owner, "text_key").withColumn("number", F.monotonically_increasing_id()), "wanted")
     hashed = rows.withColumn("_key", F.unhex(F.md5("text")))
     texts = hashed.join(wanted, (hashed["_key"] == wanted["text_key"]) & hashed["doc_id"].eqNullSafe(wanted["_id"]))
-    windows = written(
-        texts.select("number", "text", "places").mapInArrow(_windows(length, gram, window), "key long, hash long, number long, at int"),
-        "windows",
+    node = F.unhex(F.md5(F.concat("right", "left")))
+    suffixes = written(
+        texts.select("number", "text", "places")
+        .mapInArrow(_suffixes(length, window), "key long, right binary, left binary, number long, place int")
+        .withColumn("node", node),
+        "suffixes",
     )
-    twice = windows.groupBy("key", "hash").agg(F.min("number").alias("low"), F.max("number").alias("high")).filter("low != high").select("key", "hash")
-    # Plain shuffles on both sides, so that a window that very many texts have is split at run time.
-    found = windows.join(written(twice, "twice"), ["key", "hash"], "left_semi").select("number", "at")
-
-    # Stretches of a text, united: one starts where no window before reaches, and ends where none behind begins.
-    listed = found.groupBy("number").agg(F.array_sort(F.collect_set("at")).alias("at"))
-    starts = F.expr(f"filter(at, (x, i) -> i = 0 OR at[greatest(i - 1, 0)] + {length} < x)").alias("start")
-    ends = F.expr(f"transform(filter(at, (x, i) -> i = size(at) - 1 OR at[least(i + 1, size(at) - 1)] > x + {length}), x -> x + {length})").alias("end")
-    united = listed.select("number", F.arrays_zip(starts, ends).alias("spans"))
+    # Equal suffixes are combined before the shuffle, so that a passage that very many texts have is few rows.
+    nodes = suffixes.groupBy("key", "node", "right", "left").agg(F.min("number").alias("low"), F.max("number").alias("high"))
+    start = {"most_right": F.lit(0), "most_left": F.lit(0), "first": F.lit(window), "last": F.lit(-1)}
+    nodes = written(nodes.withColumns(start), "nodes")
+    for side, order in (("right", ["key", "right", "left"]), ("left", ["key", "left", "right"])):
+        nodes = written(nodes.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_extend(length, window, side), _NODE), f"by_{side}")
+    found = written(_stretches(nodes, length, window), "stretches")
+    found = suffixes.select("number", "node", "place").join(found, "node")
+    found = found.select("number", (F.col("place") - F.col("last")).alias("start"), (F.col("place") - F.col("first") + length).alias("end"))
+
+    # Stretches of a text, united: one begins where all before it have ended.
+    inside = Window.partitionBy("number").orderBy("start", "end")
+    reached = F.max("end").over(inside.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("new", F.coalesce(F.col("start") > reached, F.lit(True)).cast("int"))
+    found = found.withColumn("stretch", F.sum("new").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    united = found.groupBy("number", "stretch").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    united = united.groupBy("number").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
     united = written(united.join(wanted.select("number", "text_key"), "number").select("text_key", "spans"), "united")
     shared = described.groupBy("text_key").agg(F.count(F.lit(1)).alias("copies"))
     facts = written(shared.join(united, "text_key", "left").filter("copies > 1 OR spans IS NOT NULL"), "facts")

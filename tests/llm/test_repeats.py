@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from docpipe.llm.repeats import WINDOW, minimisers, repeated_passages
+from docpipe.llm.repeats import WINDOW, _extend, minimisers, repeated_passages
 from docpipe.llm.words import words
 
 
@@ -88,3 +89,46 @@ def test_a_match_between_better_neighbours(documents):
     rows = list(enumerate(texts))
     alone = [texts[0], texts[1]]
     assert run(documents(texts)) == brute(rows) and run(documents(alone)) == brute(list(enumerate(alone)))
+
+
+def sorted_suffixes(rng, n, width):
+    """Suffixes of few letters in order, in the columns that _extend reads."""
+    keys = sorted((rng.randint(0, 2), tuple(rng.randint(1, 2) for _ in range(4)), tuple(rng.randint(0, 1) for _ in range(width - 1))) for _ in range(n))
+    keys = sorted(set(keys))
+    low = [rng.randint(0, 3) for _ in keys]
+    high = [x + (rng.random() < 0.1) for x in low]
+    pack = lambda part: [np.array(k[part], ">u8").tobytes() for k in keys]
+    n = len(keys)
+    return pa.record_batch(
+        {"key": [k[0] for k in keys], "node": [str(i).encode() for i in range(n)], "right": pack(1), "left": pack(2), "low": low, "high": high}
+        | {"most_right": pa.array([0] * n, pa.int32()), "most_left": pa.array([0] * n, pa.int32())}
+        | {"first": pa.array([3] * n, pa.int32()), "last": pa.array([-1] * n, pa.int32())}
+    )
+
+
+def test_neighbours_do_not_depend_on_batches():
+    rows = sorted_suffixes(random.Random(3), 200, 3)
+    answers = []
+    for size in (1, 2, 7, 1000):
+        batches = [rows.slice(i, size) for i in range(0, rows.num_rows, size)]
+        answers.append(pa.Table.from_batches(list(_extend(4, 3, "right")(iter(batches)))).to_pylist())
+    assert len(answers[0]) == rows.num_rows and all(a == answers[0] for a in answers)
+    given = rows.to_pylist()
+    common = lambda a, b: next((i for i in range(len(a) // 8) if a[8 * i : 8 * i + 8] != b[8 * i : 8 * i + 8] or not any(a[8 * i : 8 * i + 8])), len(a) // 8)
+    ends = {0, rows.num_rows - 1}
+    for i, (row, got) in enumerate(zip(given, answers[0], strict=True)):
+        others = [o for o in given if o["key"] == row["key"] and not (o["low"] == o["high"] == row["low"] == row["high"])]
+        most = max((common(row["right"], o["right"]) for o in others), default=0)
+        assert got["most_right"] == most or (got["most_right"] == 4 and (i in ends or given[0]["low"] == row["low"] or given[-1]["low"] == row["low"]))
+
+
+def test_ranges_over_many_tasks(spark, documents):
+    """A passage that all texts have, sorted over many tasks whose ends do not see their neighbours."""
+    rng = random.Random(5)
+    passage = [f"h{i}" for i in range(90)]
+    texts = [" ".join([f"a{k}x{i}" for i in range(rng.randint(0, 40))] + passage[: rng.randint(45, 90)] + [f"b{k}x{i}" for i in range(rng.randint(0, 30))]) for k in range(80)]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert run(documents(texts)) == brute(list(enumerate(texts)))
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
