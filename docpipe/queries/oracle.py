@@ -622,6 +622,7 @@ add(
         JOIN chunks c ON c.record_id = f.record_id AND c.chunk_index = f.chunk_index
         WHERE q.record_id IN (SELECT record_id FROM crecs WHERE {LIVE})""",
 )
+add("chunk_lookup_written", ORACLES["chunk_lookup"])
 add(
     "lookup_misses",
     f"""WITH {RECORDS} SELECT record_id, key, CASE WHEN record_id NOT IN (SELECT record_id FROM crecs WHERE {LIVE}) THEN 'record not found' ELSE 'chunk not found' END AS reason

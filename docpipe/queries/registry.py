@@ -25,6 +25,7 @@ from docpipe.operators import text as X
 from docpipe.operators.json_files import split_json_files
 from docpipe.plans import route as P
 from docpipe.plans.ingest import publish_ingest, stage, staged_conversion, work_dir
+from docpipe.plans.lookup import lookup, write_lookup
 from docpipe.plans.publish import Store
 from docpipe.plans.retention import compact, expire, live
 from docpipe.queries import fixtures as D
@@ -548,6 +549,15 @@ def chunk_lookup(spark, sf_dir):
     )
 
 
+@query
+def chunk_lookup_written(spark, sf_dir):
+    """The same from a table laid out for lookups."""
+    chunks = D.record_chunks(spark, sf_dir)
+    path = work_dir(spark, "lookup")
+    write_lookup(chunks, path, chunks.count(), per_bucket=1_000)
+    return lookup(D.conversation_records(spark, sf_dir), path, D.lookup_requests(spark, sf_dir), D.AS_OF)
+
+
 @query
 def lookup_misses(spark, sf_dir):
     return R.lookup_misses(

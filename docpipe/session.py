@@ -16,6 +16,8 @@ SETTINGS = {
     # Token jobs sort many small groups per task; keep them in the hash map for longer before sorting.
     "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "65536",
     "spark.sql.parquet.filterPushdown": "true",
+    # The ids of a lookup are compared one by one with Bloom filters and page bounds, not only their range.
+    "spark.sql.parquet.pushdown.inFilterThreshold": "200",
 }
 
 
