@@ -19,13 +19,14 @@ HEADING_MAX_CHARS = 120
 STALE_AFTER_DAYS = 1
 DELETE_AFTER_DAYS = 30
 
-# Extensions of archive members that hold readable text.
-ARCHIVE_TEXT_EXTENSIONS = (
-    "txt md json xml csv yml yaml toml ini cfg conf log sh bat ps1 py js ts tsx jsx css html htm svg "
-    "lua rb go rs java c cpp h hpp sql r m swift"
-).split()
+# Fixed values. Extensions of archive members that hold readable text.
+ARCHIVE_TEXT_EXTENSIONS = [
+    "txt", "md", "json", "xml", "csv", "yml", "yaml", "toml", "ini", "cfg", "conf", "log", "sh", "bat", "ps1",
+    "py", "js", "ts", "tsx", "jsx", "css", "html", "htm", "svg", "lua", "rb", "go", "rs", "java", "c", "cpp", "h",
+    "hpp", "sql", "r", "m", "swift",
+]
 
-# Header substring -> kind, first match wins.
+# Fixed values, down to the text audit. Header substring -> kind, first match wins.
 HEADER_KINDS = [
     ("text/html", "html"),
     ("application/pdf", "pdf"),
@@ -48,7 +49,7 @@ EXTENSION_KINDS = {
 # Header substrings that mark a body of unknown kind as binary.
 BINARY_HEADERS = ["application/pdf", "application/octet-stream", "image/", "audio/", "video/"]
 
-# Text audit: names and extensions that are never scanned, and the extensions scanned at the top level.
+# Fixed values. Text audit: names and extensions that are never scanned, and the extensions scanned at the top level.
 AUDIT_SKIP_NAMES = ["node_modules", ".git", "dist", "data.sqlite"]
 AUDIT_SKIP_EXTENSIONS = [".db", ".sqlite"]
 AUDIT_SCAN_DIRS = ["src", "docs", "tools"]

@@ -16,7 +16,7 @@ from docpipe.constants import (
 )
 from docpipe.functions.arrays import let
 
-# How a heading line starts: a section number, a named part with a number, or a customary title.
+# Fixed values. How a heading line starts: a section number, a named part with a number, or a customary title.
 HEADING_START = (
     rf"(?i)^(?:\d++(?:\.\d++)*+\.?[{SPACE_CLASS}]"
     rf"|(?:chapter|section|part|appendix)[{SPACE_CLASS}]++\d"
