@@ -1,105 +1,34 @@
-"""JSON documents as a token job: validity, indentation, split by member.
+"""JSON documents: validity, indentation, split by member.
 
-Tokens, numbers and keys keep their text and order; nothing is parsed into values and written back. One exchange
-brings a document to one task; its size is bounded by the response size limit.
+Tokens, numbers and keys keep their text and order; nothing is parsed into values and written back. A document is read
+inside its row by array expressions, so that nothing is sorted and a task holds one document at a time; one exchange
+spreads the documents, whose size is bounded by the response size limit.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docpipe.functions import json as J
-from docpipe.functions.arrays import ordered_concat
-from docpipe.operators.common import ROW, by_document, in_order
-
-OPENERS = ["{", "["]
-CLOSERS = ["}", "]"]
-
-
-def json_tokens(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
-    """Token rows with class, depth after the token and neighbours; a text without tokens gives one row."""
-    docs = by_document(df.select(id_col, json_col), [id_col])
-    tokens = docs.select(id_col, ROW, F.posexplode_outer(J.json_tokens(F.col(json_col))).alias("pos", "token")).select(
-        id_col, ROW, "pos", "token", J.token_class(F.col("token")).alias("cls")
-    )
-    running = in_order([id_col, ROW], "pos")
-    at = Window.partitionBy(id_col, ROW).orderBy("pos")
-    step = F.when(F.col("cls").isin(OPENERS), 1).when(F.col("cls").isin(CLOSERS), -1).otherwise(0)
-    return tokens.select(
-        "*",
-        F.sum(step).over(running).alias("depth"),
-        F.first("cls").over(running).alias("root"),
-        F.lag("cls", 1).over(at).alias("prev"),
-        F.lag("cls", 2).over(at).alias("prev2"),
-        F.lead("cls", 1).over(at).alias("next"),
-        F.lead("cls", 2).over(at).alias("next2"),
-    )
-
-
-def with_validity(tokens: DataFrame, id_col: str) -> DataFrame:
-    """Adds ``ok``: whether the token may stand where it does. A text is valid if all of its tokens are ok."""
-    level = F.col("depth") + F.when(F.col("cls").isin(CLOSERS), 1).otherwise(0)
-    same_level = in_order([id_col, ROW, "level"], "pos")
-    # The container a token separates or closes is the last one opened on its level.
-    container = F.last(F.when(F.col("cls").isin(OPENERS), F.col("cls")), ignorenulls=True).over(same_level)
-    cls, nxt = F.col("cls"), F.col("next")
-    key_next = (nxt == "s") & (F.col("next2") == ":")
-    value_next = nxt.isin("s", "v", "{", "[") & ~F.coalesce(key_next, F.lit(False))
-    done = nxt.isNull() & (F.col("depth") == 0)
-    after_value = done | ((F.col("depth") > 0) & nxt.isin(",", "}", "]"))
-    ok = (
-        F.when(cls == "{", (nxt == "}") | key_next)
-        .when(cls == "[", (nxt == "]") | value_next)
-        .when(cls == ",", F.when(F.col("container") == "{", key_next).otherwise((F.col("container") == "[") & value_next))
-        .when(cls == ":", (F.col("prev") == "s") & F.col("prev2").isin("{", ",") & value_next)
-        .when(cls == "s", after_value | (nxt == ":"))
-        .when(cls == "v", after_value)
-        .when(cls == "}", (F.col("container") == "{") & after_value)
-        .when(cls == "]", (F.col("container") == "[") & after_value)
-    )
-    return (
-        tokens.withColumn("level", level)
-        .withColumn("container", container)
-        .withColumn("ok", F.coalesce(ok, F.lit(False)))
-        .drop("level", "container")
-    )
-
-
-def _fragment(depth: Column, inner: Column) -> Column:
-    """Text of a token with the line break and indentation before it. ``inner``: not the first of its value."""
-    cls, token = F.col("cls"), F.col("token")
-
-    def indented(level: Column) -> Column:
-        return F.concat(F.lit("\n"), F.repeat(F.lit("  "), level.cast("int")), token)
-
-    starts = F.col("prev").isin("{", "[", ",") & inner
-    return (
-        F.when(cls.isin(CLOSERS), F.when(F.col("prev").isin(OPENERS), token).otherwise(indented(depth)))
-        .when(cls == ",", token)
-        .when(cls == ":", F.lit(": "))
-        .when(starts, indented(depth - F.when(cls.isin(OPENERS), 1).otherwise(0)))
-        .otherwise(token)
-    )
+
+
+def _spread(df: DataFrame, id_col: str, json_col: str) -> DataFrame:
+    """Documents dealt by id and text, so that a repeated or missing id does not gather others in one task."""
+    return df.select(id_col, json_col).repartition(F.col(id_col), F.xxhash64(json_col))
 
 
 def json_valid(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
     """Strict validity of every text; a null or empty one is not valid."""
-    tokens = with_validity(json_tokens(df, id_col, json_col), id_col)
-    return tokens.groupBy(id_col, ROW).agg(F.every("ok").alias("valid")).drop(ROW)
+    return _spread(df, id_col, json_col).select(id_col, J.valid(F.col(json_col)).alias("valid"))
 
 
 def json_pretty(df: DataFrame, id_col: str = "doc_id", json_col: str = "json") -> DataFrame:
     """Text indented by two spaces; null where the text is not valid JSON."""
-    tokens = with_validity(json_tokens(df, id_col, json_col), id_col)
-    pretty = ordered_concat(F.col("pos"), _fragment(F.col("depth"), F.lit(True)))
-    return (
-        tokens.groupBy(id_col, ROW)
-        .agg(F.every("ok").alias("valid"), pretty.alias("text"))
-        .select(id_col, "valid", F.when(F.col("valid"), F.col("text")).alias("pretty"))
-    )
+    pretty = _spread(df, id_col, json_col).select(id_col, J.pretty(F.col(json_col)).alias("pretty"))
+    return pretty.select(id_col, F.col("pretty").isNotNull().alias("valid"), "pretty")
 
 
 def split_json(
@@ -107,51 +36,17 @@ def split_json(
     id_col: str = "doc_id",
     json_col: str = "json",
     roots: Sequence[str] = ("object", "array", "scalar"),
+    distribute: bool = True,
 ) -> DataFrame:
-    """One chunk per member of an object, item of an array, or scalar; none for invalid texts."""
-    tokens = json_tokens(df, id_col, json_col)
-    root = F.when(F.col("root") == "{", "object").when(F.col("root") == "[", "array").otherwise("scalar")
-    comma = (F.col("cls") == ",") & (F.col("depth") == 1)
-    tokens = tokens.select(
-        "*",
-        root.alias("kind"),
-        F.sum(F.when(comma, 1).otherwise(0)).over(in_order([id_col, ROW], "pos")).cast("int").alias("member"),
-        comma.alias("comma"),
-    )
-    tokens = with_validity(tokens, id_col)
-
-    nested = F.col("kind") != "scalar"
-    is_key = (F.col("kind") == "object") & (F.col("depth") == 1) & (F.col("cls") == "s") & (F.col("next") == ":")
-    outer = nested & ((F.col("pos") == 0) | (F.col("depth") == 0))
-    between = F.col("comma") | ((F.col("kind") == "object") & (F.col("depth") == 1) & (F.col("cls") == ":"))
-    # The first token of an item follows the outer bracket or a separating comma.
-    opens = F.when(F.col("cls").isin(OPENERS), 1).otherwise(0)
-    inner = (F.col("depth") - opens) > 1
-    text = F.when(is_key | outer | between, "").otherwise(_fragment(F.col("depth") - 1, inner))
-    text = F.when(nested, text).otherwise(F.col("token"))
-    content = ~(outer | between | is_key)
-
-    members = tokens.groupBy(id_col, ROW, "kind", "member").agg(
-        F.every("ok").alias("ok"),
-        F.max(F.when(is_key, J.string_value(F.col("token")))).alias("name"),
-        F.max(F.when(content, 1).otherwise(0)).alias("used"),
-        ordered_concat(F.col("pos"), text).alias("content"),
-    )
-    index = F.col("member").cast("string")
-    return (
-        members.withColumn("valid", F.min("ok").over(Window.partitionBy(id_col, ROW)))
-        .filter(F.col("valid") & (F.col("used") == 1) & F.col("kind").isin(*roots))
-        .select(
-            id_col,
-            F.col("member").alias("chunk_index"),
-            F.when(F.col("kind") == "object", F.col("name"))
-            .when(F.col("kind") == "array", F.concat(F.lit("item_"), index))
-            .otherwise("value")
-            .alias("key"),
-            F.when(F.col("kind") == "object", F.col("name"))
-            .when(F.col("kind") == "array", F.concat(F.lit("["), index, F.lit("]")))
-            .otherwise("value")
-            .alias("title"),
-            "content",
-        )
-    )
+    """One chunk per member of an object, item of an array, or scalar; none for invalid texts.
+
+    ``distribute=False`` is for input that is spread already.
+    """
+    docs = _spread(df, id_col, json_col) if distribute else df.select(id_col, json_col)
+    kind, name, index = F.col("m.kind"), F.col("m.name"), F.col("chunk_index").cast("string")
+
+    def named(before: str, after: str) -> Column:
+        return F.when(kind == "object", name).when(kind == "array", F.concat(F.lit(before), index, F.lit(after))).otherwise("value")
+
+    members = docs.select(id_col, F.posexplode(J.members(F.col(json_col))).alias("chunk_index", "m")).filter(kind.isin(*roots))
+    return members.select(id_col, "chunk_index", named("item_", "").alias("key"), named("[", "]").alias("title"), F.col("m.content").alias("content"))

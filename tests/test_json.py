@@ -1,9 +1,14 @@
 import json
 import random
+import re
+from itertools import accumulate
 
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
+from docpipe.functions.arrays import running_sums
 from docpipe.operators import json_tokens as J
 
 
@@ -76,3 +81,23 @@ def test_members_keep_order_duplicates_and_text(table):
 def test_roots(table):
     df = table(['{"a":1}', "[1]", "1"], "json")
     assert [r.doc_id for r in J.split_json(df, roots=["array"]).collect()] == [1]
+
+
+def test_running_sums(spark):
+    for n in (0, 1, 32, 33, 1024, 1025, 33_000):
+        values = [i % 5 - 2 for i in range(n)]
+        got = spark.createDataFrame([(values,)], "v array<int>").select(running_sums(F.col("v"))).first()[0]
+        assert got == list(accumulate(values)), n
+
+
+def test_validity_at_any_depth(table):
+    deep = [f"{o * d}{inner}{c * e}" for o, c in ("[]", ('{"a":', "}")) for d in (31, 32, 33, 60) for e in (d - 1, d, d + 1) for inner in ("1", '"a":1', "[1,2]", '{"a"}')]
+    deep += ["[" * 40 + "1" + "]" * 39 + "}", "[" * 40 + "1," + "]" * 40, "[" * 40 + "1, 2" + "]" * 40, "[" * 40 + "]" * 40 + "[]"]
+    got = [r.valid for r in J.json_valid(table(deep, "json")).orderBy("doc_id").collect()]
+    assert got == [strict(t) for t in deep]
+
+
+@pytest.mark.parametrize("job", [J.json_valid, J.json_pretty, J.split_json])
+def test_documents_are_not_sorted(table, plan, job):
+    """Rows of tokens, their sorts and windows were what spilled and what a task held."""
+    assert not re.search(r"Sort|Window|Aggregate", plan(job(table(["[1]"], "json"))))
