@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 FILE, BLOCK, PLACE = "file", "_block", "_place"
+# Four hexadecimal digits tell the pieces of a run apart.
+PIECES_PER_RUN = 16_384
 BOM = "﻿"
 
 
@@ -31,6 +33,20 @@ def read_pieces(spark: SparkSession, path: str, separator: str) -> DataFrame:
     )
 
 
+def runs_of_pieces(pieces: DataFrame, separator: str, size: int = PIECES_PER_RUN) -> DataFrame:
+    """The pieces put together to runs of at most ``size`` in the same columns; a run lies within a block.
+
+    The pieces of a run are read by one task. Their order is written before them, as a list needs not keep it.
+    """
+    parts = [c for c in pieces.columns if c not in (FILE, BLOCK, PLACE, "piece")]
+    order = F.lpad(F.hex(F.col(PLACE) % size), 4, "0")
+    coded = F.concat(order.cast("binary"), F.col("piece").cast("binary"))
+    run = F.expr(f"{PLACE} div {size}")
+    runs = pieces.groupBy(FILE, BLOCK, run.alias(PLACE)).agg(*[F.first(c).alias(c) for c in parts], F.sort_array(F.collect_list(coded)).alias("p"))
+    text = F.array_join(F.expr("transform(p, b -> cast(substring(b, 5) AS string))"), separator)
+    return runs.select(FILE, BLOCK, PLACE, *parts, text.alias("piece"))
+
+
 def with_sums_before(pieces: DataFrame, sums: dict[str, Column]) -> DataFrame:
     """Add sums over all pieces of the file before each piece; a block is the largest group that is sorted."""
     own = {f"_{name}": amount for name, amount in sums.items()}

@@ -9,6 +9,7 @@ from docpipe.operators.csv_cells import csv_cells, split_csv
 from docpipe.operators.csv_files import csv_file_cells, csv_file_groups, csv_file_records
 from docpipe.operators.json_files import split_json_files
 from docpipe.operators.json_tokens import split_json
+from docpipe.sources.pieces import read_pieces, runs_of_pieces
 
 EDGES = ["", "\n", "\n\n", "a", "a\n", "a\n\n", 'a\n""', 'a\n""\n', "a,", "a,b\n1,2\n", 'a,"x\ny",b\n"\n\n",2\n', '"open\nto the end\n', '"open\n', 'x"y\nz"w\n1', "﻿a,b\n1,2", "﻿a\n", "\r\n a\r\n", '"a""b"\n"""\n"""']
 
@@ -78,3 +79,23 @@ def test_json(spark, table, tmp_path, small_blocks):
         mine, theirs = (sorted(tuple(r)[1:] for r in rows if r[0] == i) for rows in (got, expected))
         assert mine == theirs, (i, text)
     assert len({r[0] for r in got}) > 12
+
+
+def test_pieces_travel_in_runs(spark, tmp_path):
+    """Not piece by piece: rows of single pieces were shuffled and sorted again for every sum."""
+    path = write(tmp_path / "in", [",".join(f"é{i}" for i in range(1000)), ",,a,", "b"], "json")
+    rows = runs_of_pieces(read_pieces(spark, path, ","), ",", 300).select("doc", "piece").collect()
+    # The first pieces of a run of numbers may belong to the file before.
+    assert 5 <= len(rows) <= 8
+    assert sorted(",".join(r.piece for r in rows if r.doc == d) for d in (1, 2)) == [",,a", "b"]
+    whole = sorted((r.piece for r in rows if r.doc == 0), key=lambda t: int(t.split(",")[0][1:]))
+    assert ",".join(whole) == ",".join(f"é{i}" for i in range(1000))
+
+
+def test_items_across_runs(spark, table, tmp_path, monkeypatch):
+    """Several runs in a block: strings, depth and items go on from one into the next."""
+    monkeypatch.setattr(runs_of_pieces, "__defaults__", (3,))
+    values = ["[" + ",".join(f'{{"a,\\",{i}": [{i}, ["]", "{{"]], "b": "x,,,,\\\\"}}' for i in range(40)) + "]", '{"k": [1,2,3,4,5,6,7], "l": ",,,,,,", "m": 1}']
+    got = split_json_files(spark, write(tmp_path / "in", values, "json")).drop("file").collect()
+    expected = split_json(table(values, "json")).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, expected)) and len(got) == 43
