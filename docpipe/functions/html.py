@@ -29,6 +29,7 @@ NOISE = (
 MARKS = "\x01\x02\x03\x04\x05\x06\x07\x0b\x0e\x0f"
 # Stands before a letter that means a character of the page that is one of these.
 HIDDEN = "\x10"
+LETTERS = "".join(chr(ord(char) + 64) for char in HIDDEN + MARKS)
 
 VOID_TAGS = "area base br col embed hr img input link meta param source track wbr".split()
 BLOCK_TAGS = (
@@ -117,20 +118,30 @@ def clean_html(html: str) -> str:
     return f"regexp_replace({html}, {quote(NOISE)}, '')"
 
 
+def has(text: str, *parts: str) -> str:
+    """Whether one of the parts occurs; far cheaper than a pattern that looks for them."""
+    return "(" + " OR ".join(f"contains({text}, '{part}')" for part in parts) + ")"
+
+
 def hide_marks(text: str) -> str:
     """Text in which none of the MARKS occurs; see shown_marks."""
-    hidden = "h"
-    for char in HIDDEN + MARKS:
-        hidden = f"replace({hidden}, '{char}', '{HIDDEN}{chr(ord(char) + 64)}')"
-    return bind(text, "h", f"CASE WHEN h RLIKE '[{HIDDEN}{MARKS}]' THEN {hidden} ELSE h END")
+    hidden = HIDDEN + MARKS
+    # One pass finds them all: a replacement of each would go through the whole text every time.
+    pieces = f"regexp_extract_all(h, '[{hidden}]|[^{hidden}]++', 0)"
+    piece = f"CASE WHEN contains('{hidden}', substr(c, 1, 1)) THEN concat('{HIDDEN}', translate(c, '{hidden}', '{LETTERS}')) ELSE c END"
+    return bind(text, "h", f"CASE WHEN h RLIKE '[{hidden}]' THEN array_join(transform({pieces}, c -> {piece}), '') ELSE h END")
 
 
 def shown_marks(text: Column) -> Column:
     """The characters that hide_marks hid, in their places. ``text`` should be a plain column."""
-    shown = text
-    for char in MARKS + HIDDEN:
-        shown = F.replace(shown, F.lit(HIDDEN + chr(ord(char) + 64)), F.lit(char))
-    return F.when(F.contains(text, F.lit(HIDDEN)), shown).otherwise(text)
+    pieces = F.regexp_extract_all(text, F.lit(f"{HIDDEN}[{LETTERS}]|[^{HIDDEN}]++|{HIDDEN}"), F.lit(0))
+    shown = F.transform(
+        pieces,
+        lambda p: F.when(
+            F.startswith(p, F.lit(HIDDEN)) & (p != HIDDEN), F.translate(F.substring(p, 2, 1), LETTERS, HIDDEN + MARKS)
+        ).otherwise(p),
+    )
+    return F.when(F.contains(text, F.lit(HIDDEN)), F.array_join(shown, "")).otherwise(text)
 
 
 def html_tokens(body: str) -> str:
@@ -147,6 +158,11 @@ def one_of(tag: str, names: list[str]) -> str:
     return f"coalesce({tag} IN ({', '.join(repr(n) for n in names)}), false)"
 
 
+def either(tag: str, names: list[str]) -> str:
+    """As one_of for a condition of few names; null counts as false there. Equality needs no generated code to be fast."""
+    return "(" + " OR ".join(f"{tag} = '{name}'" for name in names) + ")"
+
+
 def tag_kind(token: str, tag: str) -> str:
     """text, open, close or void."""
     return (
@@ -163,7 +179,8 @@ def attribute(token: str, name: str) -> str:
 
 
 def collapse_space(text: str) -> str:
-    return f"regexp_replace({text}, r'[ \t\r\n]{{2,}}|[\t\r\n]', ' ')"
+    run = "regexp_replace(w, r'[ \t\r\n]{2,}|[\t\r\n]', ' ')"
+    return bind(text, "w", f"CASE WHEN {has('w', '  ', chr(9), chr(13), chr(10))} THEN {run} ELSE w END")
 
 
 def decoded_text(token: str) -> str:
@@ -173,7 +190,7 @@ def decoded_text(token: str) -> str:
 
 def escape_markdown(text: str, starts_block: str) -> str:
     """Escape what Markdown would read as markup; some marks count only where a text starts."""
-    inline = rf"regexp_replace({text}, r'([\\*`\[\]_])', r'\\$1')"
+    inline = rf"regexp_replace({text}, r'[\\*`\[\]_]', r'\\$0')"
     start = f"CASE WHEN {starts_block} THEN ltrim(i) ELSE i END"
     marks = rf"regexp_replace(s, r'^(-|\+ |=+|#{{1,6}} |~~~|>)', r'\\$1')"
     number = rf"regexp_replace({marks}, r'^(\d+)\. ', r'$1\\. ')"

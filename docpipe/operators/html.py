@@ -148,8 +148,8 @@ CASE
   WHEN tag = 'br' THEN CASE WHEN pre_depth > 0 THEN '\n' ELSE '\x0b' END
   WHEN pre_depth > 0 AND tag <> 'pre' THEN ''
   WHEN tag = 'hr' THEN '* * *'
-  WHEN {H.one_of("tag", H.STRONG_TAGS)} THEN {_closing("strong", "\x01", "\x02")}
-  WHEN {H.one_of("tag", H.EMPHASIS_TAGS)} THEN {_closing("emphasis", "\x03", "\x04")}
+  WHEN {H.either("tag", H.STRONG_TAGS)} THEN {_closing("strong", "\x01", "\x02")}
+  WHEN {H.either("tag", H.EMPHASIS_TAGS)} THEN {_closing("emphasis", "\x03", "\x04")}
   WHEN tag = 'code' THEN {_closing("code", "\x0e", "\x0f")}
   WHEN tag = 'img' THEN {H.hide_marks(IMAGE)}
   WHEN tag = 'a' THEN concat(
@@ -221,48 +221,57 @@ def html_blocks(
 
 
 def _without_empty(text: str) -> str:
-    """Marks around nothing are removed, and what is empty then, until none is left."""
-    empty = "\x01\x02|\x03\x04|\x0e\x0f"
-    rounds = f"length({text}) - length(translate({text}, '\x01\x03\x0e', ''))"
-    shorter = H.bind(f"regexp_replace(a.rest, '{empty}', '')", "r", "named_struct('rest', r, 'more', length(r) < length(a.rest))")
+    """Marks around nothing are removed, and what is empty then, until none is left.
+
+    Only marks side by side can become empty, so the levels are gone through within each run of marks, not over the
+    words between the runs.
+    """
+    empty = ("\x01\x02", "\x03\x04", "\x0e\x0f")
+    either = "|".join(empty)
+    marks = "".join(empty)
+    rounds = "length(p) div 2"
+    shorter = H.bind(f"regexp_replace(a.rest, '{either}', '')", "r", "named_struct('rest', r, 'more', length(r) < length(a.rest))")
     loop = (
-        f"aggregate(sequence(1, {rounds}), named_struct('rest', {text}, 'more', true), "
+        f"aggregate(sequence(1, {rounds}), named_struct('rest', p, 'more', true), "
         f"(a, i) -> CASE WHEN a.more THEN {shorter} ELSE a END, a -> a.rest)"
     )
-    return f"CASE WHEN {text} RLIKE '{empty}' THEN {loop} ELSE {text} END"
+    first = ", ".join(f"'{mark}'" for mark in marks)
+    run = f"CASE WHEN substr(p, 1, 1) IN ({first}) AND {H.has('p', *empty)} THEN {loop} ELSE p END"
+    pieces = f"regexp_extract_all({text}, '[{marks}]++|[^{marks}]++', 0)"
+    return f"CASE WHEN {H.has(text, *empty)} THEN array_join(transform({pieces}, p -> {run}), '') ELSE {text} END"
 
 
 def _block_text_sql() -> str:
-    """Markdown of the marked-up text of one block, from the columns raw and open_link."""
+    """Markdown of the marked-up text of one block, from the columns raw and open_link.
 
-    def replace(t: str, old: str, new: str) -> str:
-        return f"replace({t}, '{old}', '{new}')"
+    A pattern goes through the whole text, so each is tried only where what it is about occurs.
+    """
 
-    def regexp(t: str, pattern: str, new: str) -> str:
-        return f"regexp_replace({t}, '{pattern}', '{new}')"
+    def regexp(t: str, where: Sequence[str], pattern: str, new: str) -> str:
+        return H.bind(t, "s", f"CASE WHEN {H.has('s', *where)} THEN regexp_replace(s, '{pattern}', '{new}') ELSE s END")
 
     # A link still open at the end of the block is closed there.
     text = "concat(raw, CASE WHEN open_link IS NOT NULL THEN concat('\x06', open_link, '\x07') ELSE '' END)"
     # Space moves out of the marks, empty marks and links go away. Each run is looked at once, from its start.
-    marks = regexp("t", "(?<![\x01\x03\x05])([\x01\x03\x05]++) +", " $1")
-    marks = regexp(marks, "(?<! ) ++([\x02\x04]+)", "$1 ")
+    marks = regexp("t", ["\x01 ", "\x03 ", "\x05 "], "(?<![\x01\x03\x05])([\x01\x03\x05]++) +", " $1")
+    marks = regexp(marks, [" \x02", " \x04"], "(?<! ) ++([\x02\x04]+)", "$1 ")
     marks = H.bind(marks, "e", _without_empty("e"))
-    marks = regexp(marks, "\x05( *)\x06[^\x07]*\x07", "$1")
-    marks = regexp(regexp(marks, " {2,}", " "), " *\x0b *", "\x0b")
+    marks = regexp(marks, ["\x05"], "\x05( *)\x06[^\x07]*\x07", "$1")
+    marks = regexp(regexp(marks, ["  "], " {2,}", " "), ["\x0b"], " *\x0b *", "\x0b")
     marks = f"rtrim(' \x0b\x01\x03\x0e', ltrim(' \x0b', {marks}))"
     # What is open is closed at the end of the block: every closing mark has its opening one.
-    closed = "m"
-    for start, end, out in (("\x0e", "\x0f", "`"), ("\x03", "\x04", "_"), ("\x01", "\x02", "**")):
-        still_open = f"length(replace(m, '{end}', '')) - length(replace(m, '{start}', ''))"
-        closed = f"concat({closed}, repeat('{out}', {still_open}))"
-    for mark, out in (
-        ("\x01", "**"), ("\x02", "**"), ("\x03", "_"), ("\x04", "_"), ("\x0e", "`"), ("\x0f", "`"),
-        ("\x05", "["), ("\x06", "]("), ("\x07", ")"), ("\x0b", "  \\n"),
-    ):
-        closed = replace(closed, mark, out)
-    marked = H.bind(marks, "m", closed)
-    plain = f"trim({regexp('t', ' {2,}', ' ')})"
-    return H.bind(text, "t", f"CASE WHEN t RLIKE '[\x01-\x07\x0b\x0e\x0f]' THEN {marked} ELSE {plain} END")
+    paired = (("\x0e", "\x0f", "`"), ("\x03", "\x04", "_"), ("\x01", "\x02", "**"))
+    still_open = [
+        f"repeat('{out}', size(filter(q, p -> p = '{start}')) - size(filter(q, p -> p = '{end}')))" for start, end, out in paired
+    ]
+    written = {mark: out for start, end, out in paired for mark in (start, end)}
+    written |= {"\x05": "[", "\x06": "](", "\x07": ")", "\x0b": "  \\n"}
+    cases = " ".join(f"WHEN '{mark}' THEN '{out}'" for mark, out in written.items())
+    piece = f"CASE WHEN contains('{H.MARKS}', substr(p, 1, 1)) THEN CASE p {cases} END ELSE p END"
+    closed = f"concat(array_join(transform(q, p -> {piece}), ''), {', '.join(still_open)})"
+    marked = H.bind(f"regexp_extract_all({marks}, '[{H.MARKS}]|[^{H.MARKS}]++', 0)", "q", closed)
+    plain = f"trim({regexp('t', ['  '], ' {2,}', ' ')})"
+    return H.bind(text, "t", f"CASE WHEN t RLIKE '[{H.MARKS}]' THEN {marked} ELSE {plain} END")
 
 
 BLOCK_TEXT = _block_text_sql()

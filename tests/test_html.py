@@ -1,10 +1,12 @@
 from random import Random
+from time import monotonic
 
 import pytest
 from pyspark.sql import functions as F
 
 from docpipe.functions import html as FH
 from docpipe.operators import html as H
+from docpipe.queries import fixtures as D
 
 MARKDOWN = [
     ("<h1>Hello</h1><p>World</p>", "# Hello\n\nWorld"),
@@ -151,3 +153,33 @@ def test_all_names_and_long_numbers(table):
     html = "<p>&alpha; &Omega; &sum; &check; &bsol; &nosuch;</p><ol start='12345678901'><li>x</li></ol>"
     text = H.html_to_markdown(table([html], "html"), ["doc_id"]).first().markdown
     assert text.startswith("α Ω ∑ ✓") and "12345678901." in text and "&nosuch;" in text
+
+
+def test_words_between_marks_are_not_gone_through_level_by_level(table):
+    def markdown(words, levels):
+        html = f"<p>{words}" + "<b>" * levels + "</b>" * levels + f"{words}<i>x</i>"
+        return H.html_to_markdown(table([html], "html"), ["doc_id"]).first().markdown
+
+    assert markdown("word ", 2) == "word word _x_"
+    words = "word " * 40_000
+    start = monotonic()
+    text = markdown(words, 6_000)
+    assert monotonic() - start < 60
+    assert text == words + words + "_x_"
+
+
+def test_hidden_marks_come_back(apply):
+    values = ["", "plain", FH.MARKS + FH.HIDDEN, "\x10A\x01\x10\x10Bé\x02😀\x10P", "\x10", "\x10\x10", "a\x10Zb\x0b\x0bc", None]
+    hidden = apply(values, F.expr(FH.hide_marks("v")))
+    assert hidden[1] == "plain" and not any(set(FH.MARKS) & set(text) for text in hidden[:-1])
+    assert apply(hidden, FH.shown_marks(F.col("v"))) == values
+    # An escape that none of them wrote stays.
+    assert apply(["\x10", "\x10\x10B", "a\x10Zb"], FH.shown_marks(F.col("v"))) == ["\x10", "\x10\x02", "a\x10Zb"]
+
+
+def test_nested_marks_input_keeps_letters_and_digits(spark, tmp_path):
+    texts = ["Aé9 — zZ0\n\t[x]_y", "", None, "…", "ªß²Ω٣a"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.html for r in D.html_nested_marks(spark, str(tmp_path)).collect()}
+    for i, words in enumerate(["A 9 zZ0 x y", "", "", "", "a"]):
+        assert f"a\x02 {words} \x10B</b>" in got[i]
