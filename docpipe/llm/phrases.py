@@ -2,12 +2,13 @@
 
 Texts become blocks of one language. Every run of words of a block gets a Rabin-Karp fingerprint from prefix polynomials.
 A block sends each of its fingerprints once, with its number of occurrences and the block as the pointer, packed by
-ranges of fingerprints; a shuffle adds them up by range, and each block learns which of its own are frequent. Runs of
-three and four words are sent only where all runs of two words inside them are frequent, as they cannot be frequent
-otherwise. Then the blocks read their frequent phrases from the text, and these are counted by text, so that colliding
-fingerprints fall apart: a fingerprint only proposes.
+ranges of fingerprints; a shuffle adds them up by range, and each block learns which of its own are frequent: a bit for
+each fingerprint it sent, in the order sent. Runs of three and four words are sent only where all runs of two words inside
+them are frequent, as they cannot be frequent otherwise. Then the blocks read their frequent phrases from the text, and
+these are counted by text, so that colliding fingerprints fall apart: a fingerprint only proposes.
 
-No table of all phrases reaches a task: a block gets only what it holds itself.
+No table of all phrases reaches a task: a block gets only what it holds itself. A block and its bits reach Python as a
+group of narrow rows, one block at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401 (pa.compute)
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, GroupedData, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docpipe.llm.common import body, table, written
@@ -39,6 +40,11 @@ RANGE_WORDS = 500_000
 CELL = 5
 #: Parts of a language that are ranked apart before their best are ranked together.
 PARTS = 64
+#: Bytes of texts that become blocks at a time, and rows of phrases that leave Python at a time.
+TAKEN = 4 << 20
+PHRASES = 1 << 15
+#: Blocks are wide rows: the writer looks at its size after each one, and a reader takes a row group at a time.
+NARROW = {"parquet.block.size": str(4 << 20), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
 _TABLE = bytearray(range(256))
 _TABLE[65:91] = bytes(range(97, 123))
@@ -58,6 +64,14 @@ def _count_words(data: bytes) -> int:
     return int(inside[:1].sum() + (inside[1:] & ~inside[:-1]).sum())
 
 
+def _some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of TAKEN bytes of text, one row at least: what is copied of a batch does not grow with it."""
+    for batch in batches:
+        sizes = pa.compute.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+        for at in _slices(sizes, TAKEN):
+            yield batch.slice(at.start, at.stop - at.start)
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Texts (lang, text) to blocks (lang, data, n_words): pieces end with a line break, words are parted by blanks."""
     held: dict[str, list[bytes]] = {}
@@ -80,11 +94,11 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if at < len(data):
             held[lang], sizes[lang] = [data[at:]], len(data) - at
 
-    for batch in batches:
+    for batch in _some(batches):
         langs = batch.column("lang").dictionary_encode()
         for k, lang in enumerate(langs.dictionary.to_pylist()):
             texts = batch.column("text").filter(pa.compute.equal(langs.indices, k))
-            data = b"\n".join(t.as_buffer().to_pybytes() for t in texts).translate(_TABLE) + b"\n"
+            data = b"\n".join([t.as_buffer() for t in texts] + [b""]).translate(_TABLE)
             held.setdefault(lang, []).append(data)
             sizes[lang] = sizes.get(lang, 0) + len(data)
             if sizes[lang] >= 2 * BLOCK:
@@ -100,7 +114,18 @@ def text_blocks(docs: DataFrame, text_column: str = "text", lang_column: str = "
     """The words of all texts as a table (block, lang, data, n_words)."""
     rows = docs.select(F.coalesce(F.col(lang_column).cast("string"), F.lit(UNKNOWN)).alias("lang"), body(text_column).alias("text"))
     blocks = rows.mapInArrow(_cut, "lang string, data binary, n_words long")
-    return written(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks")
+    return written(blocks.withColumn("block", F.monotonically_increasing_id()), "blocks", NARROW)
+
+
+def _words(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """First bytes, ends and hashes of all words, and the number of words of each piece; some pieces at a time."""
+    parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.int64))]
+    for at in _slices(np.diff(offsets)):
+        first = offsets[at.start]
+        found = words(values[first : offsets[at.stop]], offsets[at.start : at.stop + 1] - first)
+        parts.append((found.starts + first, found.ends + first, found.hashes, found.counts))
+    starts, ends, hashes, counts = zip(*parts, strict=True)
+    return np.concatenate(starts), np.concatenate(ends), np.concatenate(hashes), np.concatenate(counts)
 
 
 class Block:
@@ -111,9 +136,8 @@ class Block:
         values = np.frombuffer(data, np.uint8)
         ends = np.flatnonzero(values == 10) + 1
         offsets = np.concatenate(([0], ends if len(ends) and ends[-1] == len(values) else np.append(ends, len(values))))
-        found = words(values, offsets)
-        self.starts, self.ends, self.hashes = found.starts, found.ends, found.hashes
-        self.last = np.repeat(found.bounds[1:], found.counts)  # the first word of the next piece, for each word
+        self.starts, self.ends, self.hashes, counts = _words(values, offsets)
+        self.last = np.repeat(np.cumsum(counts), counts)  # the first word of the next piece, for each word
         self.salt = int.from_bytes(lang.encode()[:8].ljust(8, b"\0"), "little") ^ (len(lang.encode()) * _SEED & (1 << 64) - 1)
         for part in range(8, len(lang.encode()), 8):
             self.salt = (self.salt * _ODD + int.from_bytes(lang.encode()[part : part + 8], "little")) & (1 << 64) - 1
@@ -196,6 +220,11 @@ def _numbers(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return wide_.view("<u8").ravel().astype(np.uint64), sizes // CELL
 
 
+def _sorted_set(values: np.ndarray) -> np.ndarray:
+    ordered = np.sort(values)
+    return ordered[np.concatenate((np.ones(min(len(ordered), 1), bool), ordered[1:] != ordered[:-1]))]
+
+
 class Ranges:
     """2**bits ranges of fingerprints. A fingerprint in its range keeps 8 * CELL bits; what that merges only proposes more."""
 
@@ -207,7 +236,7 @@ class Ranges:
 
     def packed(self, prints: np.ndarray, k: int, block: int, least: int) -> pa.RecordBatch:
         """A row per range: each fingerprint once, and its number of occurrences, up to `least`."""
-        ordered = np.sort(self.short(prints))
+        ordered = np.sort(self.short(prints))  # the order of the bits that come back
         heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         counts = np.minimum(np.diff(np.append(heads, len(ordered))), least).astype(np.uint32)
         ordered = ordered[heads]
@@ -226,10 +255,22 @@ class Ranges:
         )
 
 
-def _frequent(rows: list[dict], k: int) -> np.ndarray:
-    """The short fingerprints that a block was told for runs of k words, sorted."""
-    own = [np.uint64(r["range"] << (8 * CELL)) + _numbers(pa.array([r["cells"]], pa.binary()))[0] for r in rows if r["k"] == k]
-    return np.sort(np.concatenate(own)) if own else np.zeros(0, np.uint64)
+def _frequent(block: Block, at: np.ndarray, k: int, ranges: Ranges, told: pa.Table) -> np.ndarray:
+    """The frequent short fingerprints, sorted, of those sent for the runs of k words at `at`; a bit tells which."""
+    told = told.filter(pa.compute.equal(told.column("k"), k)).sort_by("range")
+    if not len(told) or not len(at):
+        return np.zeros(0, np.uint64)
+    sent = _sorted_set(ranges.short(block.fingerprints(at, k)))
+    own = told.column("range").to_numpy().astype(np.uint64)
+    bounds = np.searchsorted(sent >> np.uint64(8 * CELL), np.concatenate((own, own + np.uint64(1))))
+    first, counts = bounds[: len(own)], bounds[len(own) :] - bounds[: len(own)]
+    sizes = pa.compute.binary_length(told.column("bits")).to_numpy().astype(np.int64)
+    if not (sizes == -(-counts // 8)).all():
+        raise ValueError("a block was told of other fingerprints than it sent")
+    bits = np.unpackbits(np.frombuffer(b"".join(b.as_buffer() for b in told.column("bits")), np.uint8)).view(bool)
+    inside = np.arange(int(counts.sum())) - np.repeat(np.cumsum(counts) - counts, counts)
+    often = bits[np.repeat(8 * (np.cumsum(sizes) - sizes), counts) + inside]
+    return sent[(np.repeat(first, counts) + inside)[often]]
 
 
 def _told(block: Block, at: np.ndarray, k: int, ranges: Ranges, frequent: np.ndarray) -> np.ndarray:
@@ -247,6 +288,31 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
 
 
 PACKED = "k int, range int, block long, cells binary, counts binary"
+TOLD = "k int, range int, block long, bits binary"
+
+
+def _with_told(batches: Iterator[pa.RecordBatch]) -> tuple[str, bytes, pa.Table]:
+    """Language and data of one block, and the rows of TOLD that it got."""
+    rows = pa.Table.from_batches(list(batches))
+    is_block = pa.compute.is_valid(rows.column("data"))
+    block = rows.filter(is_block)
+    return block.column("lang")[0].as_py(), block.column("data")[0].as_py(), rows.filter(pa.compute.invert(is_block)).select(["k", "range", "bits"])
+
+
+def _long(block: Block, k: int, known: np.ndarray) -> np.ndarray:
+    """The runs of k words in which all runs of two words are known."""
+    at = block.runs(k)
+    for j in range(k - 1):
+        at = at[known[at + j]]
+    return at
+
+
+def _pairs(block: Block, longest: int, ranges: Ranges, told: pa.Table) -> np.ndarray:
+    """For each word, whether a frequent run of two words starts there."""
+    known = np.zeros(len(block.hashes) + max(longest, 2), bool)
+    pairs = block.runs(2)
+    known[pairs] = _told(block, pairs, 2, ranges, _frequent(block, pairs, 2, ranges, told))
+    return known
 
 
 def _short_runs(ranges: Ranges, least: int):
@@ -264,26 +330,24 @@ def _short_runs(ranges: Ranges, least: int):
 
 
 def _long_runs(ranges: Ranges, longest: int, least: int):
-    """Fingerprints of the longer runs in which all runs of two words are frequent."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            block = Block(row["lang"], row["data"])
-            known = np.zeros(len(block.hashes) + longest, bool)
-            pairs = block.runs(2)
-            known[pairs] = _told(block, pairs, 2, ranges, _frequent(row["own"], 2))
-            for k in range(3, longest + 1):
-                at = block.runs(k)
-                for j in range(k - 1):
-                    at = at[known[at + j]]
-                if len(at):
-                    yield ranges.packed(block.fingerprints(at, k), k, row["block"], least)
+    """Fingerprints of the longer runs in which all runs of two words are frequent; for the rows of one block."""
+
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lang, data, told = _with_told(batches)
+        if not len(told):
+            return
+        block = Block(lang, data)
+        known = _pairs(block, longest, ranges, told)
+        for k in range(3, longest + 1):
+            at = _long(block, k, known)
+            if len(at):
+                yield ranges.packed(block.fingerprints(at, k), k, key[0].as_py(), least)
 
     return run
 
 
 def _sum_range(least: int):
-    """The frequent fingerprints of one range, packed again for each block that has them."""
+    """Which fingerprints of one range are frequent: a bit for each one that a block sent, for the blocks that have any."""
 
     def run(rows: pa.Table) -> pa.Table:
         cells, sizes = _numbers(rows.column("cells"))
@@ -291,35 +355,43 @@ def _sum_range(least: int):
         order = np.argsort(cells, kind="stable")
         ordered = cells[order]
         heads = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        often = np.add.reduceat(counts[order], heads) >= least
-        kept = np.sort(order[np.repeat(often, np.diff(np.append(heads, len(ordered))))])  # in the order of the rows
-        owner = np.repeat(np.arange(len(sizes)), sizes)[kept]
-        bounds = np.searchsorted(owner, np.arange(len(sizes) + 1))
-        out = rows.select(["k", "range", "block"]).append_column("cells", _binary(_cells(cells[kept]), bounds, CELL))
-        return out.filter(pa.array(np.diff(bounds) > 0))
+        often = np.zeros(len(cells), bool)  # in the order of the rows
+        often[order] = np.repeat(np.add.reduceat(counts[order], heads) >= least, np.diff(np.append(heads, len(ordered))))
+        first = np.cumsum(sizes) - sizes
+        octets = -(-sizes // 8)
+        bounds = np.concatenate(([0], np.cumsum(octets)))
+        bits = np.zeros(8 * bounds[-1], bool)
+        bits[np.arange(len(cells)) + np.repeat(8 * bounds[:-1] - first, sizes)] = often
+        out = rows.select(["k", "range", "block"]).append_column("bits", _binary(np.packbits(bits), bounds, 1))
+        return out.filter(pa.array(np.logical_or.reduceat(often, first)))
 
     return run
 
 
 def _read(ranges: Ranges, longest: int):
-    """The frequent phrases of a block and how often it has each."""
+    """The frequent phrases of a block and how often it has each; for the rows of one block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in _rows(batches):
-            block, data = Block(row["lang"], row["data"]), row["data"]
-            number = block.same_words()
-            for k in range(1, longest + 1):
-                at = block.runs(k)
-                at = at[_told(block, at, k, ranges, _frequent(row["own"], k))]
-                for counts, first in _distinct(block, at, k, number):
-                    starts, ends = block.starts[first].tolist(), block.ends[first + k - 1].tolist()
+        lang, data, told = _with_told(batches)
+        if not len(told):
+            return
+        block = Block(lang, data)
+        number = block.same_words()
+        known = _pairs(block, longest, ranges, told)
+        for k in range(1, longest + 1):
+            at = block.runs(k) if k < 3 else _long(block, k, known)
+            at = at[_told(block, at, k, ranges, _frequent(block, at, k, ranges, told))]
+            for counts, first in _distinct(block, at, k, number):
+                for row in range(0, len(first), PHRASES):
+                    heads = first[row : row + PHRASES]
+                    starts, ends = block.starts[heads].tolist(), block.ends[heads + k - 1].tolist()
                     phrases = [b" ".join(data[s:e].split()) for s, e in zip(starts, ends, strict=True)]
                     yield pa.record_batch(
                         {
-                            "lang": pa.array([row["lang"]] * len(first), pa.string()),
-                            "k": np.full(len(first), k, np.int32),
+                            "lang": pa.array([lang] * len(heads), pa.string()),
+                            "k": np.full(len(heads), k, np.int32),
                             "phrase": pa.array(phrases, pa.binary()).cast(pa.string()),
-                            "n": counts,
+                            "n": counts[row : row + PHRASES],
                         }
                     )
 
@@ -332,16 +404,15 @@ def frequent_phrases(blocks: DataFrame, longest: int = LONGEST, least: int = LEA
     ranges = Ranges(min(max((total // RANGE_WORDS).bit_length(), 4), 64 - 8 * CELL))
 
     def frequent(sent: DataFrame, name: str) -> DataFrame:
-        return written(sent.groupBy("k", "range").applyInArrow(_sum_range(least), "k int, range int, block long, cells binary"), name)
+        return written(sent.groupBy("k", "range").applyInArrow(_sum_range(least), TOLD), name)
 
-    def told(own: DataFrame) -> DataFrame:
-        own = own.groupBy("block").agg(F.collect_list(F.struct("k", "range", "cells")).alias("own"))
-        return blocks.select("block", "lang", "data").join(own, "block")
+    def told(own: DataFrame) -> GroupedData:
+        return blocks.select("block", "lang", "data").unionByName(own, allowMissingColumns=True).groupBy("block")
 
     found = frequent(blocks.select("block", "lang", "data").mapInArrow(_short_runs(ranges, least), PACKED), "frequent")
-    longer = told(found.filter(F.col("k") == 2)).mapInArrow(_long_runs(ranges, longest, least), PACKED)
+    longer = told(found.filter(F.col("k") == 2)).applyInArrow(_long_runs(ranges, longest, least), PACKED)
     found = found.unionByName(frequent(longer, "longer"))
-    read = told(found).mapInArrow(_read(ranges, longest), "lang string, k int, phrase string, n long")
+    read = told(found).applyInArrow(_read(ranges, longest), "lang string, k int, phrase string, n long")
     return written(read.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "phrases")
 
 
